@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mistrail.plans import key_load, packet_runs
+from mistrail.plans import key_load, packet_runs, positions_per_tick, trajectory_quality
 
-_MODULES = [packet_runs, key_load]
+_MODULES = [trajectory_quality, packet_runs, positions_per_tick, key_load]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
