@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Items of one group; each group is packed by itself and wastes at most about one container.
 GROUP_ITEMS = 8192
 #: Nodes of the search tree after which a group keeps the best packing found so far, and fillings tried per container.
-NODES = 40_000
+NODES = 6_000
 FILLINGS = 6
 
 
