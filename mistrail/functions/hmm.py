@@ -7,7 +7,7 @@ import numpy as np
 #: A sequence longer than this is cut; each part also sees so many readings of its neighbours, after which a chain that
 #: leaves its states as quickly as ours has forgotten where it began.
 SEGMENT = 512
-OVERLAP = 24
+OVERLAP = 96
 
 
 def segments(starts: np.ndarray, n: int, segment: int = SEGMENT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

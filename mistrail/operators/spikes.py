@@ -17,7 +17,7 @@ from mistrail.operators.hot_keys import HOT_ROWS, PIECE_ROWS, hot_cuts, join_cut
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 #: Rows of its neighbours that a piece of a hot source also sees, in units of the order column.
-HALO = 32.0
+HALO = 96.0
 
 
 @dataclass(frozen=True)
