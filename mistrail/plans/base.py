@@ -73,7 +73,7 @@ def visible_ticks(spark: SparkSession, data_dir: str) -> DataFrame:
     begin = F.greatest(F.ceil(F.col("t") - 1e-9), F.lit(0))
     spread = changes.withColumn("first", begin).withColumn("next", F.coalesce(F.lead(begin).over(order), F.col("n_ticks").cast("long")))
     spread = spread.withColumn("last", F.least("next", F.col("n_ticks").cast("long")) - 1).filter("last >= first")
-    return spread.select("match_id", "slot", "team", F.explode(F.sequence("first", "last")).cast("int").alias("tick"), "visible")
+    return spread.select("match_id", "slot", "team", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("tick"), "visible")
 
 
 ROSTER = "roster AS (SELECT match_id, slot, min(net_id) AS net_id, max(CASE WHEN team >= 0 THEN team END) AS team FROM hero GROUP BY match_id, slot)"
