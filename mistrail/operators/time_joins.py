@@ -23,7 +23,10 @@ def as_of(probes: DataFrame, readings: DataFrame, keys: list[str], probe_t: str,
     value = F.struct(*[F.col(c).alias(n) for c, n in values.items()])
     key_cols = [F.col(k) for k in keys]
     left = probes.withColumn("__row", F.struct(*[F.col(c) for c in probes.columns])).select(*key_cols, (F.col(probe_t).cast("double") * sign).alias("__t"), "__row")
-    right = readings.filter(F.col(reading_t).isNotNull()).select(*key_cols, (F.col(reading_t).cast("double") * sign).alias("__t"), value.alias("__value"))
+    usable = F.col(reading_t).isNotNull()
+    for k in keys:
+        usable = usable & F.col(k).isNotNull()
+    right = readings.filter(usable).select(*key_cols, (F.col(reading_t).cast("double") * sign).alias("__t"), value.alias("__value"))
     kind = left.schema["__row"].dataType
     both = left.withColumn("__value", F.lit(None).cast(right.schema["__value"].dataType)).unionByName(right.withColumn("__row", F.lit(None).cast(kind)))
     both = both.withColumn("__slice", F.floor(F.col("__t") / slice_s))

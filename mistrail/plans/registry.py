@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mistrail.plans import belief_queries, key_load, packet_log, packet_runs, positions_per_tick, resolution, shard_tables, trajectory_quality, vision, ward_fill
+from mistrail.plans import belief_queries, export_queries, key_load, packet_log, packet_runs, positions_per_tick, resolution, shard_tables, trajectory_quality, vision, ward_fill
 
-_MODULES = [trajectory_quality, packet_runs, positions_per_tick, ward_fill, key_load, shard_tables, packet_log, resolution, vision, belief_queries]
+_MODULES = [trajectory_quality, packet_runs, positions_per_tick, ward_fill, key_load, shard_tables, packet_log, resolution, vision, belief_queries, export_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
