@@ -14,30 +14,35 @@ PIECE_ROWS = 250_000
 BROADCAST_KEYS = 500
 
 
-def hot_cuts(df: DataFrame, keys: list[str], order: str, coarse: list[str] | None = None, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame | None:
-    """(``keys``, cuts) of the keys with more than ``hot_rows`` rows, or None if there are none.
+def split_hot(df: DataFrame, keys: list[str], order: str, coarse: list[str] | None = None, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` and the (``keys``, cuts) of the keys with more than ``hot_rows`` rows, or None if there are none.
 
     ``coarse`` are keys whose groups hold those of ``keys``: as long as none of them is large, one count by them is all
-    that is run. The counts combine on the map side, so that a hot key costs no more than any other.
-    ``cuts`` are approximate quantiles of ``order``; rows with equal ``order`` stay in one piece.
+    that is run. Where one is, exact copies of rows are brought to one each beforehand (combining on the map side), so
+    that a key isn't hot by its copies alone: callers must count copies once anyhow. The counts combine on the map side,
+    so that a hot key costs no more than any other. ``cuts`` are approximate quantiles of ``order``; rows with equal
+    ``order`` stay in one piece.
     """
     coarse = coarse or keys
     large = df.groupBy(*coarse).agg(F.count(F.lit(1)).alias("n_coarse")).filter(F.col("n_coarse") > hot_rows)
     most = large.agg(F.max("n_coarse"), F.count(F.lit(1))).first()
     if not most[1]:
-        return None
+        return df, None
+    df = df.distinct()
+    part = df
     if coarse != keys:
-        small = large.drop("n_coarse")
-        df = df.join(F.broadcast(small) if most[1] <= BROADCAST_KEYS else small, coarse, "left_semi")
+        renamed = large.select(*[F.col(k).alias(f"__{k}") for k in coarse])
+        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in coarse]
+        part = df.join(F.broadcast(renamed) if most[1] <= BROADCAST_KEYS else renamed, on, "left_semi")
     pieces = min(1024, max(2, math.ceil(most[0] / piece_rows)))
     fractions = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     cuts = (
-        df.groupBy(*keys)
+        part.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n_rows"), F.percentile_approx(F.col(order).cast("double"), fractions, 10_000).alias("cuts"))
         .filter(F.col("n_rows") > hot_rows)
         .select(*keys, F.array_distinct("cuts").alias("cuts"))
     )
-    return cuts if cuts.limit(1).count() else None
+    return df, (cuts if cuts.limit(1).count() else None)
 
 
 def join_cuts(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mistrail.functions.arrow_groups import floats, whole_groups
+from mistrail.operators.hot_keys import HOT_ROWS
 
 #: Half width of the kernel in ticks, least run of ticks without a reading that counts as missing, ticks of one block.
 HALF_WIDTH = 5
@@ -69,7 +70,7 @@ def fit_blocks(kind: np.ndarray, t: np.ndarray, x: np.ndarray, z: np.ndarray, we
 _OUT = "match_id string, slot int, tick int, x double, z double, support double, n_readings double, missing boolean"
 
 
-def positions_on_grid(grid: DataFrame, marks: DataFrame, anchors: DataFrame, half_width: int = HALF_WIDTH, least_gap: int = LEAST_GAP) -> DataFrame:
+def positions_on_grid(grid: DataFrame, marks: DataFrame, anchors: DataFrame, half_width: int = HALF_WIDTH, least_gap: int = LEAST_GAP, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(match_id, slot, tick, x, z, support, n_readings, missing), one row per grid time.
 
     ``grid``: match_id, slot, n_ticks; the grid of a source is 0..n_ticks-1. ``marks``: match_id, slot, tick, x, z, the
@@ -94,6 +95,9 @@ def positions_on_grid(grid: DataFrame, marks: DataFrame, anchors: DataFrame, hal
     none = F.lit(None).cast("double")
     header = ends.select("match_id", F.col("slot").cast("int").alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_ticks") - 1) / BLOCK))).alias("block"), F.lit(GRID).cast("tinyint").alias("kind"), F.col("n_ticks").cast("double").alias("t"), none.alias("x"), none.alias("z"), F.lit(1.0).alias("w"))
     on_grid = marks.filter("match_id IS NOT NULL AND slot IS NOT NULL AND tick >= 0").select("match_id", F.col("slot").cast("int").alias("slot"), F.col("tick").cast("double").alias("t"), "x", "z", F.lit(COVER).cast("tinyint").alias("kind"), F.lit(1.0).alias("w"))
+    # Copies of a row mustn't fill a block: where a match is that large, they are brought together before the shuffle.
+    if on_grid.groupBy("match_id").count().filter(F.col("count") > hot_rows).limit(1).count():
+        on_grid = on_grid.groupBy("match_id", "slot", "t", "x", "z", "kind").agg(F.sum("w").alias("w"))
     usable = anchors.filter("match_id IS NOT NULL AND slot IS NOT NULL AND t >= 0 AND t < 1e15").groupBy("match_id", F.col("slot").cast("int").alias("slot"), F.floor(F.col("t") * CELLS).alias("cell"))
     off_grid = usable.agg(F.avg("t").alias("t"), F.avg("x").alias("x"), F.avg("z").alias("z"), F.count(F.lit(1)).cast("double").alias("w"))
     # The mean of times within a cell may be rounded up to its end.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mistrail.operators.hot_keys import HOT_ROWS, PIECE_ROWS, hot_cuts, join_cuts, piece_of
+from mistrail.operators.hot_keys import HOT_ROWS, PIECE_ROWS, join_cuts, piece_of, split_hot
 
 
 def collapse_runs(
@@ -35,8 +35,8 @@ def collapse_runs(
     edges of neighbouring pieces are joined afterwards.
 
     Defined results: rows whose value is null or NaN are left out beforehand; rows of an entity with equal time and seq
-    are resent rows and count once (the smallest value stands); rows without seq or time count and come first; null keys
-    are equal to each other; no rows give no rows. Other columns of ``events`` don't matter, whatever their names.
+    are resent rows and count once (the smallest value stands), as do copies of a row without seq; rows without seq or time
+    come first; null keys are equal to each other; no rows give no rows. Other columns of ``events`` don't matter, whatever their names.
     """
     keys = [f"k{i}" for i in range(len(entity))]
     df = events.select(
@@ -45,7 +45,7 @@ def collapse_runs(
         F.col(seq).cast("long").alias("s"),
         F.col(value).cast("double").alias("v"),
     ).filter("v IS NOT NULL AND NOT isnan(v)")
-    cuts = hot_cuts(df, keys, "t", [keys[entity.index(c)] for c in coarse] if coarse else None, hot_rows, piece_rows)
+    df, cuts = split_hot(df, keys, "t", [keys[entity.index(c)] for c in coarse] if coarse else None, hot_rows, piece_rows)
     if cuts is None:
         within = keys
     else:
@@ -55,7 +55,7 @@ def collapse_runs(
     df = df.withColumn("h", F.xxhash64(*within))
     part = ["h", *within]
     in_time = Window.partitionBy(*part).orderBy("t", "s", "v")
-    seen_before = F.lag("s").over(in_time).eqNullSafe(F.col("s")) & F.lag("t").over(in_time).eqNullSafe(F.col("t")) & F.col("s").isNotNull()
+    seen_before = F.lag("s").over(in_time).eqNullSafe(F.col("s")) & F.lag("t").over(in_time).eqNullSafe(F.col("t")) & (F.col("s").isNotNull() | (F.lag("v").over(in_time) == F.col("v")))
     df = df.withColumn("resent", F.coalesce(seen_before, F.lit(False))).filter("NOT resent").drop("resent")
     df = df.withColumn("rn", F.row_number().over(in_time)).withColumn("split", F.coalesce(F.abs(F.col("v") - F.lag("v").over(in_time)) >= tolerance, F.lit(False)).cast("int"))
     df = df.withColumn("splits", F.sum("split").over(in_time.rowsBetween(Window.unboundedPreceding, 0))).drop("split")

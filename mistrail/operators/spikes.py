@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mistrail.functions.arrow_groups import floats, whole_groups
 from mistrail.functions.hmm import posteriors
-from mistrail.operators.hot_keys import HOT_ROWS, PIECE_ROWS, hot_cuts, join_cuts, piece_of
+from mistrail.operators.hot_keys import HOT_ROWS, PIECE_ROWS, join_cuts, piece_of, split_hot
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 #: Rows of its neighbours that a piece of a hot source also sees, in units of the order column.
@@ -230,7 +230,7 @@ def flag_readings(readings: DataFrame, model: SpikeModel = SpikeModel(), hot_row
     keys = ["src", "match_id", "slot"]
     columns = ["src", "match_id", "slot", "row_no", "at", "x", "z", "speed", "residual"]
     df = readings.select(*columns).filter("at IS NOT NULL AND NOT isnan(at) AND row_no IS NOT NULL")
-    cuts = hot_cuts(df, keys, "at", ["match_id"], hot_rows, piece_rows)
+    df, cuts = split_hot(df, keys, "at", ["match_id"], hot_rows, piece_rows)
     if cuts is None:
         df = df.withColumn("piece", F.lit(0)).withColumn("own", F.lit(True))
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Packets of one leaf span at most so many seconds, and a node merges so many neighbours.
@@ -39,11 +39,13 @@ def visible_time(packets: DataFrame, levels: int = 4) -> DataFrame:
     out; after its last packet a unit's visibility is unknown and counts as none; no packets give no rows.
     """
     df = packets.select("match_id", "seq", "t", "net_id", "leaving").filter("t IS NOT NULL AND NOT isnan(t) AND leaving IS NOT NULL AND net_id IS NOT NULL")
-    leaf = F.floor(F.col("t") / LEAF_SECONDS).alias("node")
-    one = F.struct(F.col("t").alias("t0"), "seq", F.col("leaving").alias("on"))
-    states = df.groupBy("net_id", "match_id", leaf).agg(F.array_sort(F.collect_set(one)).alias("rows"))
-    states = states.select("net_id", "match_id", "node", F.transform("rows", lambda r: F.struct(r["t0"].alias("t0"), r["t0"].alias("t1"), r["on"].alias("on"), F.lit(0.0).alias("seconds"), F.lit(1).cast("long").alias("n"))).alias("states"))
-    states = states.select("net_id", "match_id", "node", _joined(F.col("states")).alias("state"))
+    df = df.withColumn("node", F.floor(F.col("t") / LEAF_SECONDS))
+    order = Window.partitionBy("net_id", "match_id", "node").orderBy("t", "seq", "leaving")
+    again = F.lag("seq").over(order).eqNullSafe(F.col("seq")) & (F.lag("t").over(order) == F.col("t")) & (F.lag("leaving").over(order) == F.col("leaving"))
+    df = df.withColumn("again", F.coalesce(again, F.lit(False))).filter("NOT again")
+    df = df.withColumn("held", F.when(F.col("leaving"), F.coalesce(F.lead("t").over(order) - F.col("t"), F.lit(0.0))).otherwise(0.0))
+    state = F.struct(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max_by("leaving", F.struct("t", "seq", "leaving")).alias("on"), F.sum("held").alias("seconds"), F.count(F.lit(1)).alias("n"))
+    states = df.groupBy("net_id", "match_id", "node").agg(state.alias("state"))
     for level in range(levels):
         node = F.floor(F.col("node") / FAN_IN) if level + 1 < levels else F.lit(0).cast("long")
         states = states.groupBy("net_id", "match_id", node.alias("node")).agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("at"), "state"))).alias("states"))

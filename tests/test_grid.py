@@ -61,3 +61,11 @@ def test_nulls_empty_and_unusable(spark):
     assert [(r.tick, r.missing, r.x) for r in rows] == [(0, False, None), (1, False, None), *[(k, True, None) for k in range(2, 8)]]
     none = spark.createDataFrame([], GRID)
     assert positions_on_grid(none, spark.createDataFrame(marks, MARKS), spark.createDataFrame(anchors, ANCHORS)).collect() == []
+
+
+def test_copies_of_a_hot_match_change_nothing(spark):
+    marks = spark.createDataFrame([("m", 0, k, 10.0 * k, 5.0, "") for k in range(20) for _ in range(1 + 30 * (k == 7))], MARKS)
+    base = spark.createDataFrame([("m", 0, 20, 1)], GRID)
+    none = spark.createDataFrame([], ANCHORS)
+    plain, hot = (sorted((r.tick, round(r.x, 6), r.n_readings) for r in positions_on_grid(base, marks, none, hot_rows=n).collect()) for n in (10**6, 10))
+    assert plain == hot and len(plain) == 20

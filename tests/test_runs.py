@@ -59,5 +59,6 @@ def test_linked_values_do_not_join_neighbours(spark):
 def test_nulls_and_empty(spark):
     rows = [(None, None, None, None, 1.0, None), (None, None, None, None, 1.0, None), ("m", 1, 1.0, 1, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert [(r.m, r.n_events) for r in collapse_runs(df, ["m", "id"], "t", "seq", "v", 0.01).collect()] == [(None, 2)]
+    assert [(r.m, r.n_events) for r in collapse_runs(df, ["m", "id"], "t", "seq", "v", 0.01).collect()] == [(None, 1)]
+    assert [(r.m, r.n_events) for r in collapse_runs(df, ["m", "id"], "t", "seq", "v", 0.01, hot_rows=1).collect()] == [(None, 1)]
     assert collapse_runs(df.limit(0), ["m", "id"], "t", "seq", "v", 0.01).collect() == []
