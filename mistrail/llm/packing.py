@@ -203,15 +203,15 @@ def pack_items(items: DataFrame, item_id: str, size: str, capacity: int, group_i
     An item above the capacity fills containers of its own, and what is left of it is packed like any other item; no
     other item is divided. ``container`` numbers them uniquely, not without gaps.
 
-    Items are dealt by hash into groups of about ``group_items``, and every group is packed by itself, by bin completion;
+    Items are dealt by hash of id and row into groups of about ``group_items``, and every group is packed by itself, by bin completion;
     a group has the sizes of the whole, so that it wastes at most about one container more than the whole would.
 
     Defined results: items of size 0 (missing texts) or of null size take no room and lie in a container of their group;
-    repeated ids are items of their own; null ids are dealt by row number; no items give no rows.
+    repeated and null ids are items of their own, and spread like any others; no items give no rows.
     """
     rows = items.select(F.col(item_id).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     groups = max(1, math.ceil(items.count() / group_items))
-    dealt = F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    dealt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         base = int(frame["group"].iloc[0]) << 32
