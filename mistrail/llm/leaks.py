@@ -9,12 +9,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mistrail.llm.letters import joined, letters
 from mistrail.llm.wu_manber import WuManber
 
+#: Bytes of texts that a task searches at a time.
+TEXT_BYTES = 4_000_000
+
 
 @dataclass(frozen=True)
 class LeakModel:
@@ -207,8 +211,11 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             passages = _passages(ids, texts, model)
             for batch in batches:
-                for low in range(0, batch.num_rows, 1000):
-                    part = batch.slice(low, 1000)
+                # Texts are searched some megabytes at a time; one that is longer, alone.
+                place = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // TEXT_BYTES
+                edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+                for low, high in zip(edges, edges[1:]):
+                    part = batch.slice(low, high - low)
                     numbers, bodies = part.column(0).to_pylist(), part.column(1).to_pylist()
                     hits = passages.find(bodies)
                     if hits:

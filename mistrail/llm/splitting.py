@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 
 from mistrail.llm.tokens import token_starts
 
-#: Boundaries by strength: claims, paragraphs, sentences; a word boundary has strength 1.
+#: Boundaries by strength: headings of claims, claims, paragraphs, sentences; a word boundary has strength 1.
 _BOUNDARIES = (
+    (5, re.compile(r"\n[ \t]*(?=(?:<claims>|(?:patent )?claims?\b|what (?:is|we) claimed?\b|we claim\b|(?:patent)?ansprüche\b|revendications\b|【?特許請求の範囲)[^\n]{0,24}\n)", re.IGNORECASE)),
     (4, re.compile(r"\n[ \t]*(?=\d{1,3}[ \t]*[.)][ \t])")),
     (3, re.compile(r"\n[ \t\r]*\n\s*|\s(?=\[\d{4,5}\])")),
     (2, re.compile(r"[.!?;]['\")\]]*\s+(?=[\[(\"'A-Z0-9À-Þ])|[。！？]\s*")),

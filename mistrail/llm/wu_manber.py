@@ -9,6 +9,8 @@ BLOCK = 10
 BITS = 20
 #: Length of the stretches of text that are scanned side by side.
 STRETCH = 2048
+#: Letters that are scanned at a time.
+SLICE = 4_000_000
 
 
 class WuManber:
@@ -54,8 +56,16 @@ class WuManber:
         return h
 
     def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, pattern number) of every occurrence in ``text``, an array of bytes."""
-        text, n = np.ascontiguousarray(text), len(text)
+        """(position, pattern number) of every occurrence in ``text``, an array of bytes of any length."""
+        parts = []
+        for begin in range(0, max(1, len(text)), SLICE):
+            at, number = self._find(np.ascontiguousarray(text[begin : begin + SLICE + self.letters.shape[1]]))
+            own = at < SLICE
+            parts.append((at[own] + begin, number[own]))
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+    def _find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(text)
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if n < self.least or not self.patterns:
             return nothing

@@ -71,3 +71,11 @@ def test_empty_and_repeated(spark):
     tests = spark.createDataFrame([(1, text)], "item_id long, item_text string")
     assert find_leaks(docs, "doc_id", "text", tests, "item_id", "item_text").collect() == []
     assert find_leaks(tests.toDF("doc_id", "text"), "doc_id", "text", tests.limit(0), "item_id", "item_text").collect() == []
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(12)
+    item = sentence(rng, 60)
+    long = " ".join(sentence(rng, 900_000))
+    assert len(long) > 6_000_000
+    assert pairs(spark, [long + " " + " ".join(item) + " " + long[:500_000], long], [" ".join(item)]) == {(0, 100)}

@@ -58,3 +58,15 @@ def test_documents(spark):
     assert all(r.n_tokens <= 1000 and len(RULE.findall(r.piece)) == r.n_tokens for r in got)
     assert split_texts(df.limit(0), "doc_id", "text").collect() == []
     assert {r.doc_id: r.n for r in df.select("doc_id", token_count(df.text).alias("n")).collect()} == {1: 1600, 2: 1, 3: 0, 4: 0, None: 1600}
+
+
+def test_a_heading_goes_with_its_claims():
+    text = "Body text goes on here with some words. " * 8 + "\n\nWhat is claimed is:\n\n1. A valve with a seat and a spring that holds it. \n2. The valve of claim 1, wherein the seat is round."
+    cut = [end for _, _, _, end in pieces_of(text, SplitModel(80, 8))[:-1]]
+    assert any(text[c:].startswith("What is claimed") for c in cut)
+
+
+def test_a_very_long_text_is_split_in_time():
+    text = "Alpha beta gamma delta epsilon. Zeta eta theta 12. " * 30_000
+    pieces = pieces_of(text)
+    assert max(size for _, size, _, _ in pieces) <= 1000 and pieces[-1][3] == len(text)
