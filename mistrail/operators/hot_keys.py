@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mistrail.sources.tables import with_checkpoint_dir
+
 #: A key with more rows than this is cut into pieces of about PIECE_ROWS rows along its order.
-HOT_ROWS = 1_000_000
-PIECE_ROWS = 250_000
+HOT_ROWS = 300_000
+PIECE_ROWS = 150_000
 #: The cut points of so many hot keys are broadcast (a few KB each); more are joined by shuffle.
 BROADCAST_KEYS = 500
 
@@ -42,6 +44,8 @@ def split_hot(df: DataFrame, keys: list[str], order: str, coarse: list[str] | No
         .filter(F.col("n_rows") > hot_rows)
         .select(*keys, F.array_distinct("cuts").alias("cuts"))
     )
+    with_checkpoint_dir(df.sparkSession)
+    cuts = cuts.checkpoint()
     return df, (cuts if cuts.limit(1).count() else None)
 
 
