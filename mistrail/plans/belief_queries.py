@@ -103,7 +103,7 @@ def detection(spark: SparkSession, data_dir: str) -> DataFrame:
     return probes(spark, data_dir).groupBy("match_id", "tick", "slot", "team").agg(F.max(pd).alias("pd"))
 
 
-@query(_DETECT + " SELECT match_id, tick, slot, team, pd FROM rings")
+@query(_DETECT + " SELECT match_id, tick, slot, team, CAST(pd AS DOUBLE) AS pd FROM rings")
 def h8_detection(spark, data_dir):
     """Detection by radius: interior, ring at the edge, outside."""
     return detection(spark, data_dir)
@@ -204,7 +204,7 @@ def i3_entropy(spark, data_dir):
     return per.select("match_id", F.round(F.least(F.col("plain") + (F.col("k") - 1) / (2.0 * F.col("n") * F.log(F.lit(2.0))), F.lit(10.0)), 6).alias("bits"))
 
 
-@query("WITH " + _HIST + ", c AS (SELECT match_id, p, sum(p) OVER (PARTITION BY match_id ORDER BY p DESC, bin ROWS UNBOUNDED PRECEDING) AS upto FROM hist), q AS (SELECT unnest([0.5, 0.9, 0.95]) AS q) SELECT match_id, q, count(*) FILTER (WHERE round(upto - p, 9) < q) AS n_bins FROM c, q GROUP BY match_id, q")
+@query("WITH " + _HIST + ", c AS (SELECT match_id, p, sum(p) OVER (PARTITION BY match_id ORDER BY p DESC, bin ROWS UNBOUNDED PRECEDING) AS upto FROM hist), q AS (SELECT CAST(unnest([0.5, 0.9, 0.95]) AS DOUBLE) AS q) SELECT match_id, q, count(*) FILTER (WHERE round(upto - p, 9) < q) AS n_bins FROM c, q GROUP BY match_id, q")
 def i4_density_regions(spark, data_dir):
     """Bins of the smallest region that holds a given share of the mass."""
     order = Window.partitionBy("match_id").orderBy(F.desc("p"), "bin").rowsBetween(Window.unboundedPreceding, 0)

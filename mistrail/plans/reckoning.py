@@ -98,7 +98,7 @@ def j10_belief_by_darkness(spark: SparkSession, data_dir: str) -> DataFrame:
     )
     band = F.when(F.col("dark").isNull(), "never seen").when(F.col("dark") < 5, "0-5").when(F.col("dark") < 15, "5-15").when(F.col("dark") < 45, "15-45").otherwise("45+")
     return per.groupBy(band.alias("band")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 4).alias("support_hit"), F.round(F.percentile("nearest", F.lit(0.5)), 1).alias("median_nearest"), F.round(F.percentile(distance(F.col("cx"), F.col("cz"), F.col("x"), F.col("z")), F.lit(0.5)), 1).alias("median_centroid")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 4).alias("support_hit"), F.round(F.percentile(F.round("nearest", 0), F.lit(0.5)), 1).alias("median_nearest"), F.round(F.percentile(F.round(distance(F.col("cx"), F.col("cz"), F.col("x"), F.col("z")), 0), F.lit(0.5)), 1).alias("median_centroid")
     )
 
 

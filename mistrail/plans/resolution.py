@@ -308,7 +308,7 @@ def e1_cells_walked(spark, data_dir):
 
 
 @query(f"""WITH {base.ROSTER}, {base.FOG}, {base.TRANSITIONS}, {base.TICKS}
-SELECT match_id, tick, bit_or(CASE WHEN visible = 1 THEN CAST(1 AS BIGINT) << slot ELSE 0 END) AS mask, bit_count(bit_or(CASE WHEN visible = 1 THEN CAST(1 AS BIGINT) << slot ELSE 0 END)) AS n_visible FROM visible_ticks GROUP BY match_id, tick""")
+SELECT match_id, tick, bit_or(CASE WHEN visible = 1 THEN CAST(1 AS BIGINT) << slot ELSE 0 END) AS mask, bit_count(bit_or(CASE WHEN visible = 1 THEN CAST(1 AS BIGINT) << slot ELSE 0 END))::INT AS n_visible FROM visible_ticks GROUP BY match_id, tick""")
 def e4_visible_masks(spark, data_dir):
     """The visible heroes of each tick as a set of bits, and how many they are."""
     bit = F.when(F.col("visible") == 1, F.expr("shiftleft(1L, slot)")).otherwise(F.lit(0).cast("long"))

@@ -325,15 +325,18 @@ def j7_nearest_sources(spark, data_dir):
 
 
 @query(_AGREE.replace(f", {base.FOG}", f", {base.ANCHORS}, ages AS (SELECT p.match_id, p.slot, p.tick, p.tick - a.t AS age FROM positions p ASOF LEFT JOIN anchors a ON p.match_id = a.match_id AND p.slot = a.slot AND p.tick >= a.t), {base.FOG}", 1) + """
-SELECT CASE WHEN age IS NULL THEN 'none' WHEN age < 0.5 THEN '0-0.5' WHEN age < 2 THEN '0.5-2' WHEN age < 5 THEN '2-5' ELSE '5+' END AS band, fog, count(*) AS n, round(avg(CASE WHEN ours = fog THEN 1.0 ELSE 0.0 END), 6) AS agree, round(quantile_cont(nearest, 0.5), 3) AS median_nearest,
+SELECT CASE WHEN age IS NULL THEN 'none' WHEN age < 0.5 THEN '0-0.5' WHEN age < 2 THEN '0.5-2' WHEN age < 5 THEN '2-5' ELSE '5+' END AS band, fog, count(*) AS n, round(avg(CASE WHEN ours = fog THEN 1.0 ELSE 0.0 END), 6) AS agree, round(quantile_cont(round(nearest, 0), 0.5), 3) AS median_nearest,
  round(avg(CASE WHEN nearest > 1350 THEN 1.0 ELSE 0.0 END), 6) AS share_far FROM agreement g JOIN ages a ON g.match_id = a.match_id AND g.slot = a.slot AND g.tick = a.tick GROUP BY band, fog""")
 def j8_staleness(spark, data_dir):
-    """Agreement by the age of the hero's last anchor and the fog record's state."""
+    """Agreement by the age of the hero's last anchor and the fog record's state.
+
+    Distances are rounded to whole units, so that the exact median of all rows counts few distinct values.
+    """
     age = F.col("age")
     band = F.when(age.isNull(), "none").when(age < 0.5, "0-0.5").when(age < 2, "0.5-2").when(age < 5, "2-5").otherwise("5+")
     joined = agreement(spark, data_dir).join(anchor_ages(spark, data_dir), ["match_id", "slot", "tick"])
     return joined.groupBy(band.alias("band"), "fog").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("ours") == F.col("fog"), 1.0).otherwise(0.0)), 6).alias("agree"), F.round(F.percentile("nearest", F.lit(0.5)), 3).alias("median_nearest"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("ours") == F.col("fog"), 1.0).otherwise(0.0)), 6).alias("agree"), F.round(F.percentile(F.round("nearest", 0), F.lit(0.5)), 3).alias("median_nearest"),
         F.round(F.avg(F.when(F.col("nearest") > 1350, 1.0).otherwise(0.0)), 6).alias("share_far"),
     )
 
@@ -362,15 +365,16 @@ def j14_corpus_spread(spark, data_dir):
 @query("WITH " + _TICKS + f""", {base.POSITIONS}, h AS (SELECT p.match_id, p.tick, p.slot, r.team, p.x, p.z, v.visible FROM positions p JOIN roster r ON p.match_id = r.match_id AND p.slot = r.slot
  JOIN visible_ticks v ON p.match_id = v.match_id AND p.slot = v.slot AND p.tick = v.tick WHERE r.team IS NOT NULL AND p.tick % 2 = 0),
 e AS (SELECT a.match_id, a.slot, a.tick, a.visible, a.team = b.team AS ally, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z))) AS d FROM h a JOIN h b ON a.match_id = b.match_id AND a.tick = b.tick AND a.slot <> b.slot GROUP BY ALL)
-SELECT ally, visible, count(*) AS n, round(quantile_cont(d, 0.5), 3) AS median FROM e GROUP BY ally, visible""")
+SELECT ally, visible, count(*) AS n, round(quantile_cont(round(d, 0), 0.5), 3) AS median FROM e GROUP BY ally, visible""")
 def j13_neighbours_by_fog_state(spark, data_dir):
-    """Median distance of the nearest ally and the nearest opponent of hidden and of visible heroes, every two seconds."""
+    """Median distance of the nearest ally and the nearest opponent of hidden and of visible heroes, every two
+    seconds; distances in whole units, so that the exact median of all rows counts few distinct values."""
     teams = base.visible_ticks(spark, data_dir).filter("team IS NOT NULL AND tick % 2 = 0").select("match_id", "slot", "tick", "team", "visible")
     h = base.positions(spark, data_dir).join(teams, ["match_id", "slot", "tick"])
     other = h.select("match_id", "tick", F.col("slot").alias("s2"), F.col("team").alias("t2"), F.col("x").alias("x2"), F.col("z").alias("z2"))
     pairs = h.join(other, ["match_id", "tick"]).filter("slot <> s2")
     near = pairs.groupBy("match_id", "slot", "tick", "visible", (F.col("team") == F.col("t2")).alias("ally")).agg(F.min(distance(F.col("x"), F.col("z"), F.col("x2"), F.col("z2"))).alias("d"))
-    return near.groupBy("ally", "visible").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("d", F.lit(0.5)), 3).alias("median"))
+    return near.groupBy("ally", "visible").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(F.round("d", 0), F.lit(0.5)), 3).alias("median"))
 
 
 @query()
