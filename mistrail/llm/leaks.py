@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mistrail.llm.letters import joined, letters
+from mistrail.llm.letters import IS_LETTER, joined, letters, plain
 from mistrail.llm.wu_manber import WuManber
 
 #: Bytes of texts that a task searches at a time.
@@ -47,17 +47,25 @@ class Passages:
     def __init__(self, ids: list[int], texts: list[str], model: LeakModel):
         self.ids, self.model = np.array(ids, np.int64), model
         self.letters: list[bytes] = []
+        #: Of each item, its numerals by the letter before which they stand: [(letter, [(word, digits)])].
+        self.numerals: list[dict[int, list[tuple[int, bytes]]]] = []
         self.word: list[np.ndarray] = []
         self.word_start: list[np.ndarray] = []
         where: dict[bytes, list[tuple[int, int]]] = {}
         for number, text in enumerate(texts):
-            words = [letters(w.encode()) for w in re.findall(r"\w+", text)]
+            tokens = re.findall(r"\w+", text)
+            words = [letters(w.encode()) for w in tokens]
             size = np.array([len(w) for w in words], np.int64)
             begin = np.cumsum(size) - size
             whole = b"".join(words)
             self.letters.append(whole)
             self.word.append(np.repeat(np.arange(len(words)), size))
             self.word_start.append(np.append(begin, len(whole)))
+            numerals: dict[int, list[tuple[int, bytes]]] = {}
+            for k, token in enumerate(tokens):
+                if not words[k] and token.isdecimal():
+                    numerals.setdefault(int(begin[k]), []).append((k, str(int(token)).encode()))
+            self.numerals.append(numerals)
             for k in np.flatnonzero(size):
                 last = k + model.apart - 1
                 while last < len(words) and begin[last] - begin[k] < model.window:
@@ -73,17 +81,20 @@ class Passages:
         self.place = np.array([p for _, p in places], np.int64)
         self.search = WuManber(self.patterns, model.window)
 
-    def _onward(self, text: bytes, j: int, item: int, i: int) -> tuple[int, int]:
-        """Last word that belongs to the passage going right from an agreement at (j, i), first replaced word (or -1)."""
+    def _onward(self, text: bytes, j: int, item: int, i: int) -> tuple[int, list[int], list[tuple[int, int, int]]]:
+        """Going right from an agreement at (j, i): last word of the passage, replaced words, stretches (i, j, length) that agree."""
         own, word, start, m = self.letters[item], self.word[item], self.word_start[item], self.model
-        replaced = first = -1
+        replaced: list[int] = []
+        agreed: list[tuple[int, int, int]] = []
         while i < len(own):
             n = min(len(own) - i, 64)
             a, b = own[i : i + n], text[j : j + n]
             if a == b:
+                agreed.append((i, j, n))
                 i, j = i + n, j + n
                 continue
             n = next(k for k in range(n) if k >= len(b) or a[k] != b[k])
+            agreed.append((i, j, n))
             i, j = i + n, j + n
             at = int(word[i])
             last = at - 1 if i else -1
@@ -92,58 +103,82 @@ class Passages:
             if i == start[at] and (k := ahead[: 2 + m.resume].find(own[i : i + m.resume])) > 0:
                 j += k
                 continue
-            if replaced >= 0 and at - replaced < m.apart:
-                return last, first
+            if replaced and at - replaced[-1] < m.apart:
+                return last, replaced, agreed
             on = int(start[at + 1]) if at + 1 < len(start) else len(own)
             k = ahead.find(own[on : on + m.resume]) if len(own) - on >= m.resume else -1
             if k < 0:
-                return last, first
-            replaced, first = at, at if first < 0 else first
+                return last, replaced, agreed
+            replaced.append(at)
             i, j = on, j + k
-        return int(word[-1]), first
+        return int(word[-1]), replaced, agreed
 
-    def _backward(self, text: bytes, j: int, item: int, i: int) -> tuple[int, int]:
-        """The same going left from the letters before (j, i)."""
+    def _backward(self, text: bytes, j: int, item: int, i: int) -> tuple[int, list[int], list[tuple[int, int, int]]]:
+        """The same going left from the letters before (j, i), with the first word."""
         own, word, start, m = self.letters[item], self.word[item], self.word_start[item], self.model
-        replaced = first = -1
+        replaced: list[int] = []
+        agreed: list[tuple[int, int, int]] = []
         while i > 0:
             n = min(i, j, 64)
             a, b = own[i - n : i], text[j - n : j]
             if n and a == b:
+                agreed.append((i - n, j - n, n))
                 i, j = i - n, j - n
                 continue
             k = 0
             while k < n and a[n - 1 - k] == b[n - 1 - k]:
                 k += 1
             i, j = i - k, j - k
+            agreed.append((i, j, k))
             if not i:
                 break
             at = int(word[i - 1])
-            nxt = at + 1
             behind = text[max(0, j - m.search - m.resume) : j]
             close = behind[-2 - m.resume :]
             if i == start[at + 1] and i >= m.resume and (k := close.rfind(own[i - m.resume : i])) >= 0 and k + m.resume < len(close):
                 j -= len(close) - k - m.resume
                 continue
-            if replaced >= 0 and replaced - at < m.apart:
-                return nxt, first
+            if replaced and replaced[-1] - at < m.apart:
+                return at + 1, replaced, agreed
             on = int(start[at])
             k = behind.rfind(own[on - m.resume : on]) if on >= m.resume else -1
             if k < 0:
-                return nxt, first
-            replaced, first = at, at if first < 0 else first
+                return at + 1, replaced, agreed
+            replaced.append(at)
             i, j = on, j - (len(behind) - k - m.resume)
-        return 0, first
-
-    def passage(self, text: bytes, j: int, item: int, i: int) -> tuple[int, int]:
-        """First and last word of the passage of ``item`` through the agreement of text[j:] and item[i:]."""
-        last, right = self._onward(text, j, item, i)
-        first, left = self._backward(text, j, item, i)
-        if left >= 0 and right >= 0 and right - left < self.model.apart:
-            # Only one of the two replaced words can be in it.
-            one, other = (left + 1, last), (first, right - 1)
-            return one if one[1] - one[0] >= other[1] - other[0] else other
-        return first, last
+        return 0, replaced, agreed
+
+    def _longest(self, first: int, last: int, replaced: list[int]) -> int:
+        """Words of the longest stretch of first..last in which any two replaced words are ``apart`` words apart."""
+        clashes = [(a, b) for a, b in zip(replaced, replaced[1:]) if b - a < self.model.apart]
+        starts = [first, *(a + 1 for a, _ in clashes)]
+        ends = [*(b - 1 for _, b in clashes), last]
+        return max(b - a + 1 for a, b in zip(starts, ends))
+
+    def passage(self, text: bytes, raw: bytes, j: int, item: int, i: int) -> int:
+        """Words of the passage of ``item`` through the agreement of text[j:] and item[i:].
+
+        ``raw`` is the plain text whose letters ``text`` is. A numeral of the item that doesn't stand at its place there is
+        a replaced word; numerals that only stand in the text are added ones.
+        """
+        last, right, ahead = self._onward(text, j, item, i)
+        first, left, behind = self._backward(text, j, item, i)
+        words = self._longest(first, last, sorted([*left, *right]))
+        if words < self.model.least_words or not self.numerals[item]:
+            return words
+        place = np.flatnonzero(IS_LETTER[np.frombuffer(raw, np.uint8)])
+        changed = set()
+        for a, b, n in [*ahead, *behind]:
+            for letter, numerals in self.numerals[item].items():
+                if a < letter < a + n:
+                    at = b + letter - a
+                    given = [str(int(g)).encode() for g in re.findall(rb"\d+", raw[place[at - 1] + 1 : place[at]])]
+                    for word, digits in numerals:
+                        if digits in given:
+                            given = given[given.index(digits) + 1 :]
+                        else:
+                            changed.add(word)
+        return self._longest(first, last, sorted({*left, *right, *changed})) if changed else words
 
     def find(self, texts: list[bytes | None]) -> list[tuple[int, int, int]]:
         """(text number, item number, words of the longest passage) for passages of at least ``least_words``."""
@@ -163,17 +198,16 @@ class Passages:
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (position[1:] - position[:-1] > 400)
         best: dict[tuple[int, int], int] = {}
-        text, base = b"", -1
+        text, raw, base = b"", b"", -1
         for k in np.flatnonzero(new):
             if doc[k] != base:
                 base = int(doc[k])
                 stop = begins[base + 1] - 1 if base + 1 < len(begins) else len(whole) - 1
-                text = whole[begins[base] : stop].tobytes()
+                text, raw = whole[begins[base] : stop].tobytes(), plain(texts[base]).replace(b"\x00", b" ")
             key = (base, int(item[k]))
             if best.get(key, 0) >= self.model.least_words:
                 continue
-            first, last = self.passage(text, int(position[k] - begins[base]), key[1], int(inside[k]))
-            best[key] = max(best.get(key, 0), last - first + 1)
+            best[key] = max(best.get(key, 0), self.passage(text, raw, int(position[k] - begins[base]), key[1], int(inside[k])))
         return [(d, i, n) for (d, i), n in best.items() if n >= self.model.least_words]
 
 
@@ -186,8 +220,8 @@ def _passages(ids: tuple[int, ...], texts: tuple[str, ...], model: LeakModel) ->
 def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, model: LeakModel = LeakModel()) -> DataFrame:
     """(doc_id, item_id, n_words): documents in which at least ``least_words`` successive words of an item stand.
 
-    Case, punctuation, spacing, hyphens, line breaks, character forms, markup and numerals don't matter, and single words
-    may be replaced if they are ``apart`` words apart. n_words is the length of a passage found, in words of the item.
+    Case, punctuation, spacing, hyphens, line breaks, character forms, markup and added numerals don't matter, and single
+    words (or numerals) may be replaced if they are ``apart`` words apart. n_words is the length of a passage found, in words of the item.
 
     Method: Wu-Manber search for all stretches of apart - 1 words of the items at once. Blocks of letters index a shift
     table that skips impossible positions, the hash of a window selects the patterns of a bucket, and direct comparison

@@ -13,6 +13,8 @@ _ENTITY = re.compile(rb"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]\w{1,8});")
 #: letters, ligatures, full-width and mathematical letters.
 _FORMS = (b"\xe2\x84", b"\xe2\x85", b"\xe2\x92", b"\xe2\x93", b"\xef\xac", b"\xef\xbc", b"\xef\xbd", b"\xf0\x9d", b"\xf0\x9f\x84")
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+#: Whether a byte is an ASCII letter.
+IS_LETTER = np.array([65 <= i <= 90 or 97 <= i <= 122 for i in range(256)])
 _DROP = bytes(i for i in range(1, 256) if not (65 <= i <= 90 or 97 <= i <= 122))
 
 

@@ -79,3 +79,17 @@ def test_a_very_long_text(spark):
     long = " ".join(sentence(rng, 900_000))
     assert len(long) > 6_000_000
     assert pairs(spark, [long + " " + " ".join(item) + " " + long[:500_000], long], [" ".join(item)]) == {(0, 100)}
+
+
+def test_changed_numerals_are_replaced_words_and_added_ones_are_not(spark):
+    rng = random.Random(21)
+    words = sentence(rng, 60)
+    for k, n in zip(range(5, 60, 5), ("57", "4.34", "12", "801", "9", "33", "7.5", "64", "210", "18", "96")):
+        words[k] = n
+    item, part = " ".join(words), words[10:45]
+    changed = [str(int(float(w)) + 1) if w[0].isdigit() else w for w in part]
+    one = [w if w != "801" else "802" for w in part]
+    added = [w + " (40)" if k % 7 == 3 and not w[0].isdigit() else w for k, w in enumerate(part)]
+    filler = " ".join(sentence(rng, 40))
+    documents = [f"{filler} {' '.join(d)} {filler}" for d in (part, changed, one, added)]
+    assert pairs(spark, documents, [item]) == {(0, 100), (2, 100), (3, 100)}
