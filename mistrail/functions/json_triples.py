@@ -23,20 +23,44 @@ def _text(token: str) -> str:
     return json.loads(token) if "\\" in token else token[1:-1]
 
 
-def triples(text: str, maps: frozenset[str] = frozenset(), path: str = "", ordinals: tuple[str, ...] = ()) -> Iterator[tuple[str, tuple[str, ...], str | None, str]]:
+class Wanted:
+    """Which paths are wanted, by prefix, and which can lead to one; both are looked up once per path."""
+
+    def __init__(self, prefixes: list[str] | None):
+        self.prefixes = prefixes
+        self.known: dict[str, tuple[bool, bool]] = {}
+
+    def __call__(self, path: str) -> tuple[bool, bool]:
+        """(whether the path is wanted, whether something below it may be)."""
+        found = self.known.get(path)
+        if found is None:
+            under = self.prefixes is None or any(path.startswith(p) for p in self.prefixes)
+            found = self.known[path] = under, under or any(p.startswith(path) for p in self.prefixes)
+        return found
+
+
+def triples(text: str, maps: frozenset[str] = frozenset(), path: str = "", ordinals: tuple[str, ...] = (), wanted: Wanted = Wanted(None)) -> Iterator[tuple[str, tuple[str, ...], str | None, str]]:
     """Triples of a valid JSON text.
 
     In a path, ``.k`` is a member, ``[]`` an array item and ``{}`` an entry of a map whose keys are data (``maps`` has the
     paths of such maps); each ``[]`` and ``{}`` has its ordinal: the position in the array, the key of the entry. An
     object directly in a map entry counts as an array of one, a map given as JSON text is read as that map. Objects have
-    a triple of their own, without value; arrays have none.
+    a triple of their own, without value; arrays have none. What isn't ``wanted`` is passed over.
     """
     #: Frames of open containers: [is array, path, ordinals, position or key]
     stack: list[list] = []
     key: str | None = None
     want_key = False
+    passed = 0
     for match in _TOKEN.finditer(text):
         token = match.group()
+        if passed:
+            # Inside a container that nothing is wanted from, only its end matters.
+            if token in "{[":
+                passed += 1
+            elif token in "}]":
+                passed -= 1
+            continue
         if token == ":":
             continue
         if token == ",":
@@ -49,7 +73,7 @@ def triples(text: str, maps: frozenset[str] = frozenset(), path: str = "", ordin
             stack.pop()
             want_key = False
             continue
-        if want_key and stack and not stack[-1][0]:
+        if want_key:
             key, want_key = _text(token), False
             continue
         if stack:
@@ -62,21 +86,24 @@ def triples(text: str, maps: frozenset[str] = frozenset(), path: str = "", ordin
                 here, place = f"{at}.{key}" if at else key, ords
         else:
             here, place = path, ordinals
-        if token == "[":
-            stack.append([True, here, place, 0])
-        elif token == "{":
-            if here.endswith("{}"):
-                here, place = f"{here}[]", (*place, "0")
-            yield here, place, None, "object"
-            stack.append([False, here, place, None])
-            want_key = True
+        if token == "{" and here.endswith("{}"):
+            here, place = f"{here}[]", (*place, "0")
+        own, below = wanted(here)
+        if token == "[" or token == "{":
+            if not below:
+                passed = 1
+            elif token == "[":
+                stack.append([True, here, place, 0])
+            else:
+                if own:
+                    yield here, place, None, "object"
+                stack.append([False, here, place, None])
+                want_key = True
         elif token[0] == '"':
-            value = _text(token)
+            value = _text(token) if own or here in maps else ""
             if here in maps and is_json(value):
-                yield from triples(value, maps, here, place)
-            else:
+                yield from triples(value, maps, here, place, wanted)
+            elif own:
                 yield here, place, value, "string"
-        elif token == "null":
-            yield here, place, None, "null"
-        else:
-            yield here, place, token, "boolean" if token in ("true", "false") else "number"
+        elif own:
+            yield here, place, None if token == "null" else token, "null" if token == "null" else "boolean" if token in ("true", "false") else "number"

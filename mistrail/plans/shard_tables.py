@@ -5,57 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mistrail.operators.nested_tables import record_triples, repeated_ancestor, table_of
+from mistrail.operators.nested_tables import FlatTable, flat_tables, record_triples, repeated_ancestor
 from mistrail.sources.tables import table
 
 ENTRIES = "events[].Replication.net_id_to_replication_datas"
+#: The flat tables by name: attribute objects, and packets that give a position.
+REPLICATION = FlatTable(ENTRIES + "{}[]", {"primary_index": "primary_index", "secondary_index": "secondary_index", "attr_name": "name", "float_value": "data.Float", "int_value": "data.Int"})
+KEYS_ONLY = FlatTable(ENTRIES + "{}[]", {})
+CASTS = FlatTable("events[]", {"owner": "CastSpellAns.caster_net_id", "x": "CastSpellAns.source_position.x", "y": "CastSpellAns.source_position.y", "z": "CastSpellAns.source_position.z"}, ("x", "z"))
+CAMPS = FlatTable("events[]", {"owner": "CreateNeutral.net_id", "x": "CreateNeutral.position1.x", "y": "CreateNeutral.position1.y", "z": "CreateNeutral.position1.z"}, ("x", "z"))
 
 
-def shard_triples(spark: SparkSession, data_dir: str) -> DataFrame:
-    return record_triples(table(spark, data_dir, "raw_shard", "line_id", "body"), "line_id", "body", [ENTRIES])
+def shard_tables(spark: SparkSession, data_dir: str, tables: dict[str, FlatTable]) -> DataFrame:
+    """The rows of ``tables`` from all shards; only their paths are parsed."""
+    prefixes = [p for t in tables.values() for p in t.prefixes()]
+    parsed = record_triples(table(spark, data_dir, "raw_shard", "line_id", "body"), "line_id", "body", [ENTRIES], prefixes)
+    return flat_tables(parsed, tables).withColumnRenamed("record_id", "line_id").withColumnRenamed("table", "child").withColumn("event_no", F.expr("try_cast(o0 AS INT)"))
 
 
-def replication_entries(parsed: DataFrame) -> DataFrame:
-    """One row per attribute object: line, event, net id, place in the net id's array, and what it says."""
-    columns = {"primary_index": "primary_index", "secondary_index": "secondary_index", "attr_name": "name", "float_value": "data.Float", "int_value": "data.Int"}
-    flat = table_of(parsed, ENTRIES + "{}[]", columns)
-    number = lambda c, kind: F.expr(f"try_cast({c} AS {kind})")
-    return flat.select(
-        F.col("record_id").alias("line_id"), number("o0", "int").alias("event_no"), number("o1", "long").alias("net_id"), number("o2", "int").alias("item_no"),
-        number("primary_index", "int").alias("primary_index"), number("secondary_index", "int").alias("secondary_index"), "attr_name",
-        F.coalesce(number("float_value", "double"), number("int_value", "double")).alias("repl_value"),
-    )
-
-
-def positions_of(parsed: DataFrame, kind: str, field: str, owner: str) -> DataFrame:
-    """One row per packet of ``kind`` that gives x or z of ``field``."""
-    columns = {"owner": f"{kind}.{owner}", "x": f"{kind}.{field}.x", "y": f"{kind}.{field}.y", "z": f"{kind}.{field}.z"}
-    flat = table_of(parsed, "events[]", columns, must_have=["x", "z"])
-    number = lambda c, kind: F.expr(f"try_cast({c} AS {kind})")
-    return flat.select(F.col("record_id").alias("line_id"), number("o0", "int").alias("event_no"), F.coalesce(number("owner", "long"), F.lit(0).cast("long")).alias("owner_id"), *[number(c, "double").alias(c) for c in "xyz"])
+def _number(column: str, kind: str):
+    return F.expr(f"try_cast({column} AS {kind})")
 
 
 def p6_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    parsed = shard_triples(spark, data_dir)
-    entries = replication_entries(parsed).select("line_id", "event_no", F.lit("replication").alias("child"), F.col("net_id").alias("owner_id"), "item_no")
-    casts = positions_of(parsed, "CastSpellAns", "source_position", "caster_net_id").select("line_id", "event_no", F.lit("source_position").alias("child"), "owner_id", F.lit(0).alias("item_no"))
-    camps = positions_of(parsed, "CreateNeutral", "position1", "net_id").select("line_id", "event_no", F.lit("position1").alias("child"), "owner_id", F.lit(0).alias("item_no"))
-    return entries.unionByName(casts).unionByName(camps)
+    rows = shard_tables(spark, data_dir, {"replication": KEYS_ONLY, "source_position": CASTS, "position1": CAMPS})
+    entry = F.col("child") == "replication"
+    owner = F.when(entry, _number("o1", "BIGINT")).otherwise(F.coalesce(_number("owner", "BIGINT"), F.lit(0)))
+    return rows.select("line_id", "event_no", "child", owner.alias("owner_id"), F.when(entry, _number("o2", "INT")).otherwise(0).alias("item_no"))
 
 
 def p6_replication(spark: SparkSession, data_dir: str) -> DataFrame:
-    return replication_entries(shard_triples(spark, data_dir))
+    """One row per attribute object: line, event, net id, place in the net id's array, and what it says."""
+    rows = shard_tables(spark, data_dir, {"replication": REPLICATION})
+    return rows.select(
+        "line_id", "event_no", _number("o1", "BIGINT").alias("net_id"), _number("o2", "INT").alias("item_no"), _number("primary_index", "INT").alias("primary_index"), _number("secondary_index", "INT").alias("secondary_index"), "attr_name",
+        F.coalesce(_number("float_value", "DOUBLE"), _number("int_value", "DOUBLE")).alias("repl_value"),
+    )
 
 
 def p6_positions(spark: SparkSession, data_dir: str) -> DataFrame:
-    parsed = shard_triples(spark, data_dir)
-    casts = positions_of(parsed, "CastSpellAns", "source_position", "caster_net_id").withColumn("child", F.lit("source_position"))
-    return casts.unionByName(positions_of(parsed, "CreateNeutral", "position1", "net_id").withColumn("child", F.lit("position1")))
+    """One row per cast or camp that gives x or z of its position."""
+    rows = shard_tables(spark, data_dir, {"source_position": CASTS, "position1": CAMPS})
+    return rows.select("line_id", "event_no", "child", F.coalesce(_number("owner", "BIGINT"), F.lit(0)).alias("owner_id"), *[_number(c, "DOUBLE").alias(c) for c in "xyz"])
 
 
 def p6_paths(spark: SparkSession, data_dir: str) -> DataFrame:
     """Which columns each flat table would have: values and types per path."""
-    return shard_triples(spark, data_dir).groupBy(repeated_ancestor(F.col("path")).alias("ancestor"), "path", "type").agg(F.count(F.lit(1)).alias("n_values"))
+    parsed = record_triples(table(spark, data_dir, "raw_shard", "line_id", "body"), "line_id", "body", [ENTRIES])
+    return parsed.groupBy(repeated_ancestor(F.col("path")).alias("ancestor"), "path", "type").agg(F.count(F.lit(1)).alias("n_values"))
 
 
 _EVENTS = """

@@ -1,7 +1,7 @@
 import json
 import random
 
-from mistrail.functions.json_triples import is_json, triples
+from mistrail.functions.json_triples import Wanted, is_json, triples
 from mistrail.operators.nested_tables import record_triples, table_of
 
 
@@ -45,7 +45,11 @@ def test_triples_equal_those_of_the_parsed_tree():
     for _ in range(300):
         value = {"m": {str(k): tree(rng, 2) for k in range(rng.randrange(3))}, "rest": tree(rng)}
         for text in (json.dumps(value), json.dumps(value, ensure_ascii=False, indent=1)):
-            assert list(triples(text, frozenset(["m"]))) == list(leaves(value, {"m"}))
+            every = list(leaves(value, {"m"}))
+            assert list(triples(text, frozenset(["m"]))) == every
+            for prefixes in (["m{}[]"], ["rest.a0", "rest[]"], ["rest.k", "m{}[].b"], []):
+                some = [t for t in every if any(t[0].startswith(p) for p in prefixes)]
+                assert list(triples(text, frozenset(["m"]), wanted=Wanted(prefixes))) == some
 
 
 def test_validity():
