@@ -275,9 +275,16 @@ def d21_ward_share(spark, data_dir):
 
 
 ROLES = ["top", "jungle", "mid", "bot", "support"]
+_PERMUTATIONS = ", ".join(f"({k}, {i}, '{ROLES[r]}')" for k, roles in enumerate(itertools.permutations(range(5))) for i, r in enumerate(roles))
 
 
-@query()
+@query(f"""WITH {base.ROSTER}, {_LANE_SHARE}, {_WARD_SHARE}, s AS (SELECT r.match_id, r.team, r.slot, coalesce(max(share) FILTER (WHERE spot = 'top'), 0) AS top, coalesce(max(share) FILTER (WHERE spot = 'jungle'), 0) AS jungle,
+ coalesce(max(share) FILTER (WHERE spot = 'mid'), 0) AS mid, coalesce(max(share) FILTER (WHERE spot = 'bot'), 0) AS bot FROM roster r LEFT JOIN shares h ON r.match_id = h.match_id AND r.slot = h.slot WHERE r.team IS NOT NULL GROUP BY ALL),
+five AS (SELECT s.*, coalesce(w.share, 0) AS wards, row_number() OVER (PARTITION BY s.match_id, s.team ORDER BY s.slot) - 1 AS i, count(*) OVER (PARTITION BY s.match_id, s.team) AS n FROM s LEFT JOIN ward_shares w ON s.match_id = w.match_id AND s.slot = w.slot),
+p AS (SELECT * FROM (VALUES {_PERMUTATIONS}) v(k, i, role)),
+t AS (SELECT f.match_id, f.team, p.k, round(sum(CASE p.role WHEN 'top' THEN top WHEN 'jungle' THEN jungle WHEN 'mid' THEN mid WHEN 'bot' THEN bot ELSE bot * 0.5 + 1.5 * wards END), 9) AS score FROM five f JOIN p ON f.i = p.i WHERE f.n = 5 GROUP BY f.match_id, f.team, p.k),
+best AS (SELECT match_id, team, arg_max(k, struct_pack(score := score, k := -k)) AS k, max(score) AS score FROM t GROUP BY match_id, team)
+SELECT b.match_id, b.team, f.slot, p.role, round(b.score, 6) AS score FROM best b JOIN p ON b.k = p.k JOIN five f ON f.match_id = b.match_id AND f.team = b.team AND f.i = p.i""")
 def d22_roles(spark, data_dir):
     """Roles of the five heroes of each complete team: the assignment with the greatest sum of scores.
 

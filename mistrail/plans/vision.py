@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mistrail.functions.geometry import LANES, distance, lane_distance, lane_distance_sql, lane_fraction, segments
 from mistrail.operators.time_joins import as_of
 from mistrail.plans import base
+from mistrail.plans.packet_log import _WAYPOINTS, waypoints
 from mistrail.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -130,6 +131,31 @@ def f4_sight_table(spark, data_dir):
     return lines.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_visible"), word(F.col("bit") < 62, "bit").alias("low_word"), word(F.col("bit") >= 62, "bit - 62").alias("high_word"))
 
 
+@query(f"""WITH {base.POSITIONS}, {_WALKED}, near AS (SELECT i, j, i + di AS ni, j + dj AS nj FROM walked, range(-1, 2) a(di), range(-1, 2) b(dj) WHERE di <> 0 OR dj <> 0)
+SELECT n.i, n.j, count(*) FILTER (WHERE w.i IS NULL) AS n_closed FROM near n LEFT JOIN walked w ON n.ni = w.i AND n.nj = w.j WHERE n.ni BETWEEN 0 AND {SIDE - 1} AND n.nj BETWEEN 0 AND {SIDE - 1} GROUP BY n.i, n.j HAVING count(*) FILTER (WHERE w.i IS NULL) > 0""")
+def f3_boundary_cells(spark, data_dir):
+    """Walked cells next to closed ground, where sight lines are in doubt."""
+    walked = walked_cells(spark, data_dir)
+    around = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    near = walked.withColumn("o", F.explode(around)).select("i", "j", (F.col("i") + F.col("o.di")).alias("ni"), (F.col("j") + F.col("o.dj")).alias("nj")).filter(F.col("ni").between(0, SIDE - 1) & F.col("nj").between(0, SIDE - 1))
+    ground = walked.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.lit(1).alias("open"))
+    return near.join(ground, ["ni", "nj"], "left").groupBy("i", "j").agg(F.count_if(F.col("open").isNull()).alias("n_closed")).filter("n_closed > 0")
+
+
+@query(_WAYPOINTS + f""", {base.POSITIONS}, {_WALKED}, p AS (SELECT match_id, line_id, event_no, point_no, x, z, CAST(floor(x / {CELL}) AS INT) AS ci, CAST(floor(z / {CELL}) AS INT) AS cj FROM waypoints WHERE x IS NOT NULL AND z IS NOT NULL),
+t AS (SELECT p.*, w.i, w.j, pow((w.i + 0.5) * {CELL} - x, 2) + pow((w.j + 0.5) * {CELL} - z, 2) AS d2 FROM p, range(-3, 4) a(di), range(-3, 4) b(dj) JOIN walked w ON w.i = p.ci + di AND w.j = p.cj + dj)
+SELECT match_id, line_id, event_no, point_no, i, j, round(sqrt(d2), 4) AS distance FROM t QUALIFY row_number() OVER (PARTITION BY match_id, line_id, event_no, point_no, x, z ORDER BY d2, i, j) = 1""")
+def e10_nearest_open_cells(spark, data_dir):
+    """The nearest walked cell of each waypoint, within three cells: its surroundings are looked up by equality."""
+    at = lambda c: F.floor(F.col(c) / CELL).cast("int")
+    window = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-3, 4) for b in range(-3, 4)])
+    points = waypoints(spark, data_dir).filter("x IS NOT NULL AND z IS NOT NULL").withColumn("o", F.explode(window))
+    tries = points.select("match_id", "line_id", "event_no", "point_no", "x", "z", (at("x") + F.col("o.di")).alias("i"), (at("z") + F.col("o.dj")).alias("j")).join(walked_cells(spark, data_dir), ["i", "j"])
+    d2 = ((F.col("i") + 0.5) * CELL - F.col("x")) * ((F.col("i") + 0.5) * CELL - F.col("x")) + ((F.col("j") + 0.5) * CELL - F.col("z")) * ((F.col("j") + 0.5) * CELL - F.col("z"))
+    best = tries.groupBy("match_id", "line_id", "event_no", "point_no", "x", "z").agg(F.min(F.struct(d2.alias("d2"), "i", "j")).alias("b"))
+    return best.select("match_id", "line_id", "event_no", "point_no", "b.i", "b.j", F.round(F.sqrt("b.d2"), 4).alias("distance"))
+
+
 _MASKS = _SOURCES + f""", few AS (SELECT *, CAST(floor(x / {CELL}) AS INT) AS ci, CAST(floor(z / {CELL}) AS INT) AS cj FROM sources WHERE tick % {MASK_STRIDE} = 0),
 spread AS (SELECT match_id, tick, team, x, z, r, ci + di AS i, cj + dj AS j FROM few, range(-6, 7) a(di), range(-6, 7) b(dj)),
 lit AS (SELECT DISTINCT match_id, tick, team, i, j FROM spread WHERE i BETWEEN 0 AND {SIDE - 1} AND j BETWEEN 0 AND {SIDE - 1} AND pow((i + 0.5) * {CELL} - x, 2) + pow((j + 0.5) * {CELL} - z, 2) <= r * r),
