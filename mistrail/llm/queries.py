@@ -1,10 +1,11 @@
-"""Problems 7 to 9: packing, leaked test passages and splitting of documents."""
+"""Problems 2 and 7 to 9: runs of packets, and packing, leaked test passages and splitting of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mistrail.llm import packet_runs
 from mistrail.llm.leaks import find_leaks
 from mistrail.llm.packing import pack_items
 from mistrail.llm.splitting import split_texts
@@ -59,10 +60,10 @@ def p9_pieces(spark: SparkSession, data_dir: str) -> DataFrame:
     return split_texts(table(spark, data_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_containers, p7_fill, p8_found, p8_per_item, p9_found, p9_pieces)}
+QUERIES = packet_runs.QUERIES | {f.__name__: f for f in (p7_found, p7_containers, p7_fill, p8_found, p8_per_item, p9_found, p9_pieces)}
 #: The WordPunct rule in the regular expressions of the SQL engine, whose \\w is ASCII only.
 _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s\p{Z}]+'))"
-SQL = {
+SQL = packet_runs.SQL | {
     "p7_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > 2048",
     "p9_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > 1000",
 }
