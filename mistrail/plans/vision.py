@@ -17,7 +17,7 @@ QUERIES, SQL = {}, {}
 SIDE = 64
 CELL = base.MAP_SIDE / SIDE
 RAY_STEPS = 8
-#: Only every so many ticks where a mask of cells is built.
+#: Only every so many ticks in the SQL of f7_team_masks, f9_mask_areas and k5_coarse_masks; the queries _per_tick have all.
 MASK_STRIDE = 30
 #: Radius and seconds of the disc around an attacker that the fog gives away.
 REVEAL_RADIUS, REVEAL_S = 400.0, 4
@@ -162,41 +162,67 @@ lit AS (SELECT DISTINCT match_id, tick, team, i, j FROM spread WHERE i BETWEEN 0
 masks AS (SELECT match_id, tick, team, CAST(i AS INT) AS word, bit_or(CAST(1 AS BIGINT) << CAST(j % 32 AS INT)) FILTER (WHERE j < 32) AS low, bit_or(CAST(1 AS BIGINT) << CAST(j % 32 AS INT)) FILTER (WHERE j >= 32) AS high FROM lit GROUP BY match_id, tick, team, i)"""
 
 
-def team_masks(spark: SparkSession, data_dir: str) -> DataFrame:
+#: The same for all ticks.
+_ALL_MASKS = _MASKS.replace(f" WHERE tick % {MASK_STRIDE} = 0", "")
+
+
+def _row_bits(first, last):
+    """Bits first..last of a word of 32; 0 where there are none."""
+    first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(31))
+    return F.when(first <= last, F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), last - first + 1) - 1, first)).otherwise(F.lit(0).cast("long"))
+
+
+def team_masks(spark: SparkSession, data_dir: str, stride: int = 1) -> DataFrame:
     """(match_id, tick, team, word, low, high): the cells that a team's sources light up, a row of the grid in two words.
 
-    Each source is spread over the cells around it; the union of sources is a bitwise or, which combines on the map side.
+    Sources of a team and tick are brought together once; each is spread over the rows of the grid around it, where it
+    lights one run of cells, and the union of sources is a bitwise or of these runs, without another shuffle.
     """
-    few = sources(spark, data_dir).filter(F.col("tick") % MASK_STRIDE == 0)
-    window = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-6, 7) for b in range(-6, 7)])
-    spread = few.withColumn("o", F.explode(window))
-    cells = spread.withColumn("i", (F.floor(F.col("x") / CELL) + F.col("o.di")).cast("int")).withColumn("j", (F.floor(F.col("z") / CELL) + F.col("o.dj")).cast("int"))
-    dx, dz = (F.col("i") + 0.5) * CELL - F.col("x"), (F.col("j") + 0.5) * CELL - F.col("z")
-    lit = cells.filter(F.col("i").between(0, SIDE - 1) & F.col("j").between(0, SIDE - 1) & (dx * dx + dz * dz <= F.col("r") * F.col("r")))
-    word = lambda cond: F.bit_or(F.when(cond, F.expr("shiftleft(1L, j % 32)")))
-    return lit.groupBy("match_id", "tick", "team", F.col("i").alias("word")).agg(word(F.col("j") < 32).alias("low"), word(F.col("j") >= 32).alias("high"))
+    few = sources(spark, data_dir).select("match_id", "tick", "team", "x", "z", "r")
+    few = (few.filter(F.col("tick") % stride == 0) if stride > 1 else few).repartition("match_id", "tick", "team")
+    around = F.array(*[F.lit(a) for a in range(-6, 7)])
+    rows = few.withColumn("d", F.explode(around)).withColumn("i", (F.floor(F.col("x") / CELL) + F.col("d")).cast("int")).withColumn("cj", F.floor(F.col("z") / CELL).cast("int")).filter(F.col("i").between(0, SIDE - 1))
+    dx, centre = (F.col("i") + 0.5) * CELL - F.col("x"), lambda j: (j + 0.5) * CELL - F.col("z")
+    inside = lambda j: dx * dx + centre(j) * centre(j) <= F.col("r") * F.col("r")
+    half = F.sqrt(F.greatest(F.col("r") * F.col("r") - dx * dx, F.lit(0.0)))
+    # The root may be off by a last digit: the run is taken a trifle too long, and its ends are tried by the distance itself.
+    rows = rows.withColumn("a", F.ceil((F.col("z") - half) / CELL - 0.5 - 1e-9).cast("int")).withColumn("b", F.floor((F.col("z") + half) / CELL - 0.5 + 1e-9).cast("int"))
+    first, last = F.col("a") + F.when(inside(F.col("a")), 0).otherwise(1), F.col("b") - F.when(inside(F.col("b")), 0).otherwise(1)
+    rows = rows.withColumn("first", F.greatest(first, F.col("cj") - 6, F.lit(0))).withColumn("last", F.least(last, F.col("cj") + 6, F.lit(SIDE - 1)))
+    lit = rows.select("match_id", "tick", "team", F.col("i").alias("word"), _row_bits(F.col("first"), F.col("last")).alias("low"), _row_bits(F.col("first") - 32, F.col("last") - 32).alias("high"))
+    # Empty rows go at the end: a filter on first <= last would be pushed down with its expressions repeated, too long to compile.
+    return lit.groupBy("match_id", "tick", "team", "word").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high")).filter("low <> 0 OR high <> 0")
 
 
 @query(_MASKS + " SELECT match_id, tick, team, word, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks")
 def f7_team_masks(spark, data_dir):
-    """Union of a team's sources on the coarse grid, every 30 ticks."""
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return team_masks(spark, data_dir).select("match_id", "tick", "team", "word", zero("low"), zero("high"))
+    """Union of a team's sources on the coarse grid, at every MASK_STRIDE-th tick as its SQL has it; all ticks: f7_team_masks_per_tick."""
+    return team_masks(spark, data_dir, MASK_STRIDE)
+
+
+@query(_ALL_MASKS + " SELECT match_id, tick, team, word, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks")
+def f7_team_masks_per_tick(spark, data_dir):
+    """Union of a team's sources on the coarse grid, at every tick."""
+    return team_masks(spark, data_dir)
+
+
+def mask_areas(masks: DataFrame) -> DataFrame:
+    return masks.groupBy("match_id", "tick", "team").agg(F.sum(F.bit_count("low") + F.bit_count("high")).alias("n_cells"))
 
 
 @query(_MASKS + " SELECT match_id, tick, team, CAST(sum(bit_count(coalesce(low, 0)) + bit_count(coalesce(high, 0))) AS BIGINT) AS n_cells FROM masks GROUP BY match_id, tick, team")
 def f9_mask_areas(spark, data_dir):
-    """Lit cells per team, by counting bits."""
-    bits = F.bit_count(F.coalesce("low", F.lit(0).cast("long"))) + F.bit_count(F.coalesce("high", F.lit(0).cast("long")))
-    return team_masks(spark, data_dir).groupBy("match_id", "tick", "team").agg(F.sum(bits).alias("n_cells"))
+    """Lit cells per team, by counting bits, at every MASK_STRIDE-th tick as its SQL has it; all ticks: f9_mask_areas_per_tick."""
+    return mask_areas(team_masks(spark, data_dir, MASK_STRIDE))
 
 
-@query(_MASKS + f""", c AS (SELECT match_id, tick, team, word, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS q, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks),
-d AS (SELECT match_id, tick, team, word // 8 AS i, q AS j, bool_or(CASE WHEN q < 4 THEN ((low >> (8 * q)) & 255) ELSE ((high >> (8 * (q - 4))) & 255) END <> 0) AS lit FROM c GROUP BY ALL)
-SELECT match_id, tick, team, CAST(bit_or(CASE WHEN lit AND i * 8 + j < 62 THEN CAST(1 AS BIGINT) << CAST(i * 8 + j AS INT) ELSE 0 END) AS BIGINT) AS cells, count(*) FILTER (WHERE lit) AS n_lit FROM d GROUP BY match_id, tick, team""")
-def k5_coarse_masks(spark, data_dir):
-    """Team masks at an eighth of the resolution: a coarse cell is lit if any of its cells is."""
-    masks = team_masks(spark, data_dir).select("match_id", "tick", "team", "word", F.coalesce("low", F.lit(0).cast("long")).alias("low"), F.coalesce("high", F.lit(0).cast("long")).alias("high"))
+@query(_ALL_MASKS + " SELECT match_id, tick, team, CAST(sum(bit_count(coalesce(low, 0)) + bit_count(coalesce(high, 0))) AS BIGINT) AS n_cells FROM masks GROUP BY match_id, tick, team")
+def f9_mask_areas_per_tick(spark, data_dir):
+    """Lit cells per team at every tick."""
+    return mask_areas(team_masks(spark, data_dir))
+
+
+def coarse_masks(masks: DataFrame) -> DataFrame:
     quarters = masks.withColumn("j", F.explode(F.array(*[F.lit(q) for q in range(8)])))
     lit = F.expr("CASE WHEN j < 4 THEN (shiftrightunsigned(low, 8 * j) & 255L) ELSE (shiftrightunsigned(high, 8 * (j - 4)) & 255L) END") != 0
     coarse = quarters.groupBy("match_id", "tick", "team", F.expr("CAST(word DIV 8 AS INT)").alias("i"), "j").agg(F.max(lit).alias("lit"))
@@ -204,6 +230,22 @@ def k5_coarse_masks(spark, data_dir):
     return coarse.groupBy("match_id", "tick", "team").agg(F.bit_or(bit).alias("cells"), F.count_if("lit").alias("n_lit"))
 
 
+@query(_MASKS + f""", c AS (SELECT match_id, tick, team, word, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS q, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks),
+d AS (SELECT match_id, tick, team, word // 8 AS i, q AS j, bool_or(CASE WHEN q < 4 THEN ((low >> (8 * q)) & 255) ELSE ((high >> (8 * (q - 4))) & 255) END <> 0) AS lit FROM c GROUP BY ALL)
+SELECT match_id, tick, team, CAST(bit_or(CASE WHEN lit AND i * 8 + j < 62 THEN CAST(1 AS BIGINT) << CAST(i * 8 + j AS INT) ELSE 0 END) AS BIGINT) AS cells, count(*) FILTER (WHERE lit) AS n_lit FROM d GROUP BY match_id, tick, team""")
+def k5_coarse_masks(spark, data_dir):
+    """Team masks at an eighth of the resolution: a coarse cell is lit if any of its cells is. At every MASK_STRIDE-th tick as its SQL has it; all ticks: k5_coarse_masks_per_tick."""
+    return coarse_masks(team_masks(spark, data_dir, MASK_STRIDE))
+
+
+@query(_ALL_MASKS + f""", c AS (SELECT match_id, tick, team, word, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS q, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks),
+d AS (SELECT match_id, tick, team, word // 8 AS i, q AS j, bool_or(CASE WHEN q < 4 THEN ((low >> (8 * q)) & 255) ELSE ((high >> (8 * (q - 4))) & 255) END <> 0) AS lit FROM c GROUP BY ALL)
+SELECT match_id, tick, team, CAST(bit_or(CASE WHEN lit AND i * 8 + j < 62 THEN CAST(1 AS BIGINT) << CAST(i * 8 + j AS INT) ELSE 0 END) AS BIGINT) AS cells, count(*) FILTER (WHERE lit) AS n_lit FROM d GROUP BY match_id, tick, team""")
+def k5_coarse_masks_per_tick(spark, data_dir):
+    """Team masks at an eighth of the resolution, at every tick."""
+    return coarse_masks(team_masks(spark, data_dir))
+
+
 @query(_SOURCES + " SELECT match_id, CAST(tick AS INT) AS tick, team, count(*) AS n_wards, max(r) AS widest FROM ward_sources GROUP BY match_id, tick, team")
 def g4_ward_layer(spark, data_dir):
     """Living wards of each team at each tick."""
