@@ -155,8 +155,8 @@ class Passages:
         ends = [*(b - 1 for _, b in clashes), last]
         return max(b - a + 1 for a, b in zip(starts, ends))
 
-    def passage(self, text: bytes, raw: bytes, j: int, item: int, i: int) -> int:
-        """Words of the passage of ``item`` through the agreement of text[j:] and item[i:].
+    def passage(self, text: bytes, raw: bytes, j: int, item: int, i: int) -> tuple[int, list[tuple[int, int, int]]]:
+        """Words of the passage of ``item`` through the agreement of text[j:] and item[i:], and the stretches (i, j, length) that agree.
 
         ``raw`` is the plain text whose letters ``text`` is. A numeral of the item that doesn't stand at its place there is
         a replaced word; numerals that only stand in the text are added ones.
@@ -165,7 +165,7 @@ class Passages:
         first, left, behind = self._backward(text, j, item, i)
         words = self._longest(first, last, sorted([*left, *right]))
         if words < self.model.least_words or not self.numerals[item]:
-            return words
+            return words, [*ahead, *behind]
         place = np.flatnonzero(IS_LETTER[np.frombuffer(raw, np.uint8)])
         changed = set()
         for a, b, n in [*ahead, *behind]:
@@ -178,7 +178,7 @@ class Passages:
                             given = given[given.index(digits) + 1 :]
                         else:
                             changed.add(word)
-        return self._longest(first, last, sorted({*left, *right, *changed})) if changed else words
+        return self._longest(first, last, sorted({*left, *right, *changed})) if changed else words, [*ahead, *behind]
 
     def find(self, texts: list[bytes | None]) -> list[tuple[int, int, int]]:
         """(text number, item number, words of the longest passage) for passages of at least ``least_words``."""
@@ -191,23 +191,27 @@ class Passages:
         place = np.repeat(self.first[number], size) + nth
         position, item, inside = np.repeat(at, size), self.item[place], self.place[place]
         doc = np.searchsorted(begins, position, "right") - 1
-        # One candidate for all stretches that lie on one diagonal of a text and an item.
+        # A hit within what an earlier attempt followed on its diagonal would give the same passage; any other is followed.
         diagonal = position - inside
         order = np.lexsort((position, diagonal, item, doc))
-        doc, item, position, inside, diagonal = doc[order], item[order], position[order], inside[order], diagonal[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (position[1:] - position[:-1] > 400)
         best: dict[tuple[int, int], int] = {}
-        text, raw, base = b"", b"", -1
-        for k in np.flatnonzero(new):
-            if doc[k] != base:
-                base = int(doc[k])
+        followed: dict[int, list[tuple[int, int]]] = {}
+        text, raw, base, key = b"", b"", -1, (-1, -1)
+        for d, n, p, i in zip(doc[order].tolist(), item[order].tolist(), position[order].tolist(), inside[order].tolist()):
+            if d != base:
+                base = d
                 stop = begins[base + 1] - 1 if base + 1 < len(begins) else len(whole) - 1
                 text, raw = whole[begins[base] : stop].tobytes(), plain(texts[base]).replace(b"\x00", b" ")
-            key = (base, int(item[k]))
-            if best.get(key, 0) >= self.model.least_words:
+            if key != (d, n):
+                key, followed = (d, n), {}
+            j = p - int(begins[d])
+            if any(low <= j < high for low, high in followed.get(j - i, ())):
                 continue
-            best[key] = max(best.get(key, 0), self.passage(text, raw, int(position[k] - begins[base]), key[1], int(inside[k])))
+            words, agreed = self.passage(text, raw, j, n, i)
+            best[key] = max(best.get(key, 0), words)
+            for at, to, length in agreed:
+                if length:
+                    followed.setdefault(to - at, []).append((to, to + length))
         return [(d, i, n) for (d, i), n in best.items() if n >= self.model.least_words]
 
 
@@ -221,7 +225,7 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
     """(doc_id, item_id, n_words): documents in which at least ``least_words`` successive words of an item stand.
 
     Case, punctuation, spacing, hyphens, line breaks, character forms, markup and added numerals don't matter, and single
-    words (or numerals) may be replaced if they are ``apart`` words apart. n_words is the length of a passage found, in words of the item.
+    words (or numerals) may be replaced if they are ``apart`` words apart. n_words is the length of the longest passage found, in words of the item.
 
     Method: Wu-Manber search for all stretches of apart - 1 words of the items at once. Blocks of letters index a shift
     table that skips impossible positions, the hash of a window selects the patterns of a bucket, and direct comparison

@@ -93,3 +93,15 @@ def test_changed_numerals_are_replaced_words_and_added_ones_are_not(spark):
     filler = " ".join(sentence(rng, 40))
     documents = [f"{filler} {' '.join(d)} {filler}" for d in (part, changed, one, added)]
     assert pairs(spark, documents, [item]) == {(0, 100), (2, 100), (3, 100)}
+
+
+def test_passages_after_a_break_on_the_same_diagonal(spark):
+    rng = random.Random(12)
+    item = [f"{w}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k, w in enumerate(sentence(rng, 100))]
+    swapped = lambda first, at, last: " ".join([*item[first:at], item[at + 1], item[at], *item[at + 2 : last]])
+    documents = [swapped(0, 10, 61), swapped(0, 30, 90), swapped(0, 10, 30)]
+    docs = spark.createDataFrame(list(enumerate(documents)), "doc_id long, text string")
+    tests = spark.createDataFrame([(100, " ".join(item))], "item_id long, item_text string")
+    got = {r.doc_id: r.n_words for r in find_leaks(docs, "doc_id", "text", tests, "item_id", "item_text").collect()}
+    # Of the two swapped words one may count as replaced, so the passage has the words after the break and at most one more.
+    assert set(got) == {0, 1} and 49 <= got[0] <= 50 and 58 <= got[1] <= 59
