@@ -8,19 +8,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from mistrail.sources.tables import with_checkpoint_dir
 
-#: Predictions of a group fall into so many bins; a bin keeps so many donors (those with the smallest hashes).
-BINS = 512
-DONORS_PER_BIN = 8
+#: Groups of more rows are cut along the prediction into pieces of about so many.
+PIECE_ROWS = 200_000
 #: A record copies from one of so many nearest donors.
 NEAREST = 5
 #: Rows that the fit over all groups counts for in the fit of one.
 POOLED_ROWS = 25.0
 RIDGE = 1e-6
-#: Donor bins that are broadcast at most; a group has at most BINS of them.
-BROADCAST_BINS = 20_000
+#: Groups whose fits are broadcast at most.
+BROADCAST_GROUPS = 39
 EVERY = "\x00every group"
 
 
@@ -51,17 +51,49 @@ def _solver(k: int, pooled: np.ndarray):
     return solve
 
 
-def fill_by_matching(records: DataFrame, key: list[str], group: Column, predictors: list[Column], target: str, score: Column, value_type: str = "double") -> DataFrame:
+def _in_pieces(rows: DataFrame, piece_rows: int) -> DataFrame:
+    """``rows`` with ``piece``: numbers that rise with (p, h) within a group, 0 for groups of at most ``piece_rows`` rows."""
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > piece_rows)
+    most = sizes.agg(F.max("n")).first()[0]
+    if not most:
+        return rows.withColumn("piece", F.lit(0).cast("long"))
+    n = -(-most // piece_rows)
+    cuts = rows.join(F.broadcast(sizes.select("g")), "g").groupBy("g").agg(F.percentile_approx("p", [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("cuts"))
+    below, upto = F.size(F.filter("cuts", lambda c: c < F.col("p"))), F.size(F.filter("cuts", lambda c: c <= F.col("p")))
+    # Where a prediction is a cut, its rows are dealt by their hash, over as many pieces as it is cuts.
+    share = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * (upto - below)).cast("long")
+    piece = F.when(F.col("cuts").isNull(), 0).when(upto == below, 2 * below).otherwise(2 * below + 1 + F.least(share, upto - below - 1))
+    return rows.join(F.broadcast(cuts), "g", "left").withColumn("piece", piece.cast("long")).drop("cuts")
+
+
+def _edges(searched: DataFrame) -> DataFrame:
+    """(g, piece, before, after): the NEAREST donors before and after each piece, nearest first."""
+    at = Window.partitionBy("g", "piece")
+    order, back = ("p", "h", "id"), (F.desc("p"), F.desc("h"), F.desc("id"))
+    numbered = searched.filter("donor IS NOT NULL").withColumn("up", F.row_number().over(at.orderBy(*order))).withColumn("down", F.row_number().over(at.orderBy(*back))).filter((F.col("up") <= NEAREST) | (F.col("down") <= NEAREST))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= NEAREST, F.struct(c, "donor")))), lambda x: x["donor"])
+    ends = numbered.groupBy("g", "piece").agg(listed("up").alias("head"), F.reverse(listed("down")).alias("tail"))
+    pieces = Window.partitionBy("g").orderBy("piece")
+    ends = ends.withColumn("to_here", F.slice(F.reverse(F.flatten(F.collect_list("tail").over(pieces.rowsBetween(1 - NEAREST, 0)))), 1, NEAREST))
+    ends = ends.withColumn("from_here", F.slice(F.flatten(F.collect_list("head").over(pieces.rowsBetween(0, NEAREST - 1))), 1, NEAREST))
+    every = searched.select("g", "piece").distinct().join(ends, ["g", "piece"], "left")
+    before = F.last("to_here", True).over(pieces.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("from_here", True).over(pieces.rowsBetween(1, Window.unboundedFollowing))
+    return every.select("g", "piece", before.alias("before"), after.alias("after"))
+
+
+def fill_by_matching(records: DataFrame, key: list[str], group: Column, predictors: list[Column], target: str, score: Column, value_type: str = "double", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``key`` and ``target`` with the gaps of ``target`` filled: key, <target>, <target>_filled, <target>_donor.
 
     ``score`` is what the predictors predict for a record whose ``target`` is known (a bounded function of it, so that an
     infinite value does no harm). <target>_filled marks the copied values, <target>_donor is the donor's key as JSON.
 
     Method: one ridge regression of ``score`` on the predictors per group, pooled with that of all groups (sums combine
-    on the map side, one row per group is solved); every record gets its prediction. Donors are indexed by bins of the
-    prediction; a record with a gap searches its own bin and the next filled bins below and above, and copies the observed
-    value of one of the NEAREST donors, chosen by hash. A bin keeps DONORS_PER_BIN donors, the ones with the smallest
-    hashes: that is the sampling of donors which the method asks for, all records are fitted and filled. Groups without a
+    on the map side, one row per group is solved); every record gets its prediction. Donors and gaps of a group are sorted
+    by prediction (equal ones by hash); a gap looks at the NEAREST donors before and after it, and copies the observed
+    value of one of the NEAREST of these, chosen by hash: every donor can be chosen. Groups of more than ``piece_rows`` rows
+    are cut at quantiles of the prediction (a value that fills several pieces, by hash), and a piece sees the donors
+    at the edges of its neighbours, so that the result doesn't depend on the cuts. Groups without a
     donor search among all groups. The sums and the predictions are checkpointed, so that each input row is read twice.
 
     Defined results: a null or NaN predictor counts as 0 (give its absence as a predictor where it tells something); a
@@ -76,39 +108,36 @@ def fill_by_matching(records: DataFrame, key: list[str], group: Column, predicto
         *[F.coalesce(F.nanvl(p.cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"x{i}") for i, p in enumerate(predictors)],
     ).withColumn("y", F.when(F.col("value").isNotNull() & ~F.isnan("y"), F.col("y")))
     names = [F.col(f"key_{c}").alias(c) for c in key]
-    sums = base.filter("y IS NOT NULL").groupBy("g").agg(*_moments(k), F.min("y").alias("low"), F.max("y").alias("high")).checkpoint()
-    overall = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if c.startswith("m_")], F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("groups")).first()
+    sums = base.filter("y IS NOT NULL").groupBy("g").agg(*_moments(k)).checkpoint()
+    overall = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if c.startswith("m_")], F.count(F.lit(1)).alias("groups")).first()
     if not overall["groups"]:
         return base.select(*names, F.col("value").alias(target), F.lit(False).alias(f"{target}_filled"), F.lit(None).cast("string").alias(f"{target}_donor"))
-    few_groups = overall["groups"] <= BROADCAST_BINS // BINS
+    few_groups = overall["groups"] <= BROADCAST_GROUPS
     whole = _matrix(overall.asDict(), k)
     betas = sums.mapInPandas(_solver(k, whole / whole[0, 0] * POOLED_ROWS), "g string, beta array<double>")
     beta = F.coalesce("beta", F.array(*[F.lit(b) for b in _beta(whole)]))
     prediction = F.aggregate(F.zip_with(beta, F.array(F.lit(1.0), *[F.col(f"x{i}") for i in range(k)]), lambda b, x: b * x), F.lit(0.0), lambda a, b: a + b)
-    width = max(overall["high"] - overall["low"], 1e-9) / BINS
-    at = F.floor((F.col("p") - overall["low"]) / width)
     predicted = (
         base.join(F.broadcast(betas) if few_groups else betas, "g", "left")
         .withColumn("p", prediction)
-        .select("id", *[f"key_{c}" for c in key], "g", "value", "y", "p", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at)).cast("int").alias("bin"))
+        .select("id", *[f"key_{c}" for c in key], "g", "value", "y", "p", F.col("beta").isNotNull().alias("own"))
         .checkpoint()
     )
 
-    donor = F.struct(F.xxhash64("id", F.lit(17)).alias("order"), "id", "p", "value")
-    donors = predicted.filter("y IS NOT NULL").withColumn("g", F.explode(F.array("g", F.lit(EVERY))))
-    kept = donors.groupBy("g", "bin", F.pmod(F.xxhash64("id"), F.lit(DONORS_PER_BIN)).alias("salt")).agg(F.min(donor).alias("donor"))
-    bins = kept.groupBy("g", "bin").agg(F.collect_list("donor").alias("own"))
-    # Bins in which a record with a gap lies need a row, too; there are at most BINS rows per group.
-    searched = predicted.filter("value IS NULL").select("g", "bin").distinct().withColumn("g", F.explode(F.array("g", F.lit(EVERY)))).select("g", "bin", F.lit(None).cast(bins.schema["own"].dataType).alias("own"))
-    every_bin = bins.unionByName(searched).groupBy("g", "bin").agg(F.first("own", True).alias("own"))
-    below = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.partitionBy("g").orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
-    none = F.array().cast(bins.schema["own"].dataType)
-    near = every_bin.select("g", "bin", F.concat(F.coalesce("own", none), F.coalesce(F.last("own", True).over(below), none), F.coalesce(F.first("own", True).over(above), none)).alias("near"))
-    near = near.filter(F.size("near") > 0)
-    everywhere = near.filter(F.col("g") == EVERY).select("bin", F.col("near").alias("near_all"))
-    gaps = predicted.filter("value IS NULL").join(F.broadcast(near) if few_groups else near, ["g", "bin"], "left").join(F.broadcast(everywhere), "bin", "left")
-    ranked = F.array_sort(F.transform(F.coalesce("near", "near_all"), lambda d: F.struct(F.abs(d["p"] - F.col("p")).alias("far"), F.xxhash64(d["id"], F.col("id")).alias("order"), d["id"].alias("id"), d["value"].alias("value"))))
+    donors = predicted.filter("y IS NOT NULL").withColumn("donor", F.struct("id", "p", "value"))
+    if not predicted.filter("value IS NULL AND NOT own").isEmpty():
+        donors = donors.withColumn("g", F.explode(F.array("g", F.lit(EVERY))))
+    kind = donors.schema["donor"].dataType
+    gaps = predicted.filter("value IS NULL").withColumn("g", F.when(F.col("own"), F.col("g")).otherwise(EVERY)).withColumn("donor", F.lit(None).cast(kind))
+    searched = _in_pieces(donors.unionByName(gaps).withColumn("h", F.xxhash64("id", F.lit(17))), piece_rows)
+    over = "IGNORE NULLS OVER (PARTITION BY g, piece ORDER BY p, h, id)"
+    ranks = range(1, NEAREST + 1)
+    sides = searched.withColumns({f"{f}_{n}": F.expr(f"{f}(donor, {n}) {over}") for f in ("lag", "lead") for n in ranks}).filter("donor IS NULL")
+    gaps = sides.join(_edges(searched), ["g", "piece"], "left")
+    none = F.array().cast(ArrayType(kind))
+    side = lambda f, rest: F.slice(F.concat(F.filter(F.array(*[F.col(f"{f}_{n}") for n in ranks]), lambda d: d.isNotNull()), F.coalesce(rest, none)), 1, NEAREST)
+    near = F.concat(side("lag", F.col("before")), side("lead", F.col("after")))
+    ranked = F.array_sort(F.transform(near, lambda d: F.struct(F.abs(d["p"] - F.col("p")).alias("far"), F.xxhash64(d["id"], F.col("id")).alias("order"), d["id"].alias("id"), d["value"].alias("value"))))
     picked = gaps.withColumn("ranked", F.slice(ranked, 1, NEAREST)).withColumn("pick", F.when(F.size("ranked") > 0, F.element_at("ranked", (F.pmod(F.xxhash64("id", F.lit(5)), F.size("ranked")) + 1).cast("int"))))
     filled = picked.select(*names, F.col("pick.value").alias(target), F.col("pick").isNotNull().alias(f"{target}_filled"), F.col("pick.id").alias(f"{target}_donor"))
     rest = predicted.filter("value IS NOT NULL").select(*names, F.col("value").alias(target), F.lit(False).alias(f"{target}_filled"), F.lit(None).cast("string").alias(f"{target}_donor"))

@@ -45,3 +45,17 @@ def test_nothing_known_and_empty(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert [(r.value, r.value_filled) for r in run(df)] == [(None, False)]
     assert run(df.limit(0)) == []
+
+
+def test_every_donor_counts_and_cuts_change_nothing(spark):
+    rng = random.Random(5)
+    rows = [(i, "u", round(rng.random(), 3) if i % 3 else 0.5, None if i % 10 == 0 else float(i), "", 0.0) for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fill = lambda **k: {r.id: (r.value, r.value_donor) for r in fill_by_matching(df, ["id"], F.col("kind"), [F.col("a")], "value", F.col("a"), **k).collect() if r.value_filled}
+    got = fill()
+    assert len(got) == 600 and fill(piece_rows=100) == got
+    # The prediction follows a, so the donor's a is one of the five nearest of all donors' (a few have the same).
+    known, a = [r[2] for r in rows if r[3] is not None], {r[0]: r[2] for r in rows}
+    assert all(abs(a[int(v)] - a[i]) <= sorted(abs(k - a[i]) for k in known)[4] + 1e-9 for i, (v, _) in got.items())
+    # About 200 gaps lie at 0.5, as 1,800 donors do: many of them are chosen.
+    assert len({v for i, (v, _) in got.items() if a[i] == 0.5}) > 100
