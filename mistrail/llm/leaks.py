@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mistrail.llm.letters import IS_LETTER, joined, letters, plain
-from mistrail.llm.wu_manber import WuManber
+from mistrail.llm.letters import joined, letters, spelled
+from mistrail.llm.wu_manber import BLOCK, WuManber
 
-#: Bytes of texts that a task searches at a time.
+#: Bytes of texts that a task searches at a time, and that it holds where there are several blocks of items.
 TEXT_BYTES = 4_000_000
+HELD_BYTES = 64_000_000
+#: Letters of a block in the search for short stretches.
+SHORT_BLOCK = 6
+_WORD, _DIGITS = re.compile(rb"[\w\x80-\xff]*"), re.compile(rb"\d+")
 
 
 @dataclass(frozen=True)
@@ -27,13 +31,45 @@ class LeakModel:
     #: Successive words that make a passage, and least distance of two replaced words.
     least_words: int = 25
     apart: int = 8
-    #: Letters of the search window; shorter stretches of ``apart - 1`` words are lengthened to it.
+    #: Letters of the search window, and of the one for stretches of ``apart - 1`` words that have fewer.
     window: int = 20
-    #: Letters that must agree after a replaced word, and how far they are searched for.
+    short_window: int = 8
+    #: Letters that must agree after a replaced word, and how far they are searched for (a longer word: at its end).
     resume: int = 10
     search: int = 48
-    #: Bytes of passages whose tables one scan holds; more passages are searched in several scans.
+    #: Bytes of passages whose tables a task holds at a time, and that one scan of the corpus searches for.
     block_bytes: int = 8_000_000
+    scan_bytes: int = 64_000_000
+
+
+class _Text:
+    """A document: its letters, and where its words end."""
+
+    def __init__(self, letters: bytes, text: bytes):
+        self.letters, self.text = letters, text
+
+    @cached_property
+    def spelled(self) -> tuple[bytes, np.ndarray]:
+        """The plain text, and the position in it of each letter."""
+        return spelled(self.text)
+
+    def word_end(self, j: int) -> int:
+        """Number of letters up to the end of the word that holds letter ``j``."""
+        raw, place = self.spelled
+        return int(np.searchsorted(place, _WORD.match(raw, place[j]).end())) if j < len(place) else len(place)
+
+    def word_start(self, j: int) -> int:
+        """Number of letters before the word that holds the letter before ``j``."""
+        raw, place = self.spelled
+        at = int(place[j - 1]) if j else 0
+        while at and (raw[at - 1] >= 128 or raw[at - 1 : at].isalnum() or raw[at - 1] == 95):
+            at -= 1
+        return int(np.searchsorted(place, at))
+
+    def numerals(self, j: int) -> list[bytes]:
+        """The numerals that stand before letter ``j``, without leading zeros."""
+        raw, place = self.spelled
+        return [str(int(g)).encode() for g in _DIGITS.findall(raw, int(place[j - 1]) + 1, int(place[j]))]
 
 
 class Passages:
@@ -41,7 +77,8 @@ class Passages:
 
     Two replaced words of a passage are at least ``apart`` words apart, so ``apart - 1`` words between them are as in the
     item: a passage of ``least_words`` has such a stretch, and its occurrence in the corpus is where the passage is looked
-    for.
+    for. Stretches with fewer letters than the window make a search of their own with a shorter one; only those with fewer
+    than ``short_window`` letters are lengthened.
     """
 
     def __init__(self, ids: list[int], texts: list[str], model: LeakModel):
@@ -51,10 +88,11 @@ class Passages:
         self.numerals: list[dict[int, list[tuple[int, bytes]]]] = []
         self.word: list[np.ndarray] = []
         self.word_start: list[np.ndarray] = []
-        where: dict[bytes, list[tuple[int, int]]] = {}
+        long: dict[bytes, list[tuple[int, int]]] = {}
+        short: dict[bytes, list[tuple[int, int]]] = {}
         for number, text in enumerate(texts):
             tokens = re.findall(r"\w+", text)
-            words = [letters(w.encode()) for w in tokens]
+            words = [letters(w.encode("utf-8", "ignore")) for w in tokens]
             size = np.array([len(w) for w in words], np.int64)
             begin = np.cumsum(size) - size
             whole = b"".join(words)
@@ -66,24 +104,25 @@ class Passages:
                 if not words[k] and token.isdecimal():
                     numerals.setdefault(int(begin[k]), []).append((k, str(int(token)).encode()))
             self.numerals.append(numerals)
-            for k in np.flatnonzero(size):
+            if len(words) < model.least_words:
+                continue
+            for k in range(len(words) - model.apart + 2):
                 last = k + model.apart - 1
-                while last < len(words) and begin[last] - begin[k] < model.window:
+                while last < len(words) and begin[last] - begin[k] < model.short_window:
                     last += 1
                 stop = begin[last] if last < len(words) else len(whole)
-                if last <= len(words) and stop - begin[k] >= model.window:
-                    where.setdefault(whole[begin[k] : stop], []).append((number, int(begin[k])))
-        self.patterns = list(where)
-        count = np.array([len(where[p]) for p in self.patterns], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-        places = [x for p in self.patterns for x in where[p]]
-        self.item = np.array([i for i, _ in places], np.int64)
-        self.place = np.array([p for _, p in places], np.int64)
-        self.search = WuManber(self.patterns, model.window)
-
-    def _onward(self, text: bytes, j: int, item: int, i: int) -> tuple[int, list[int], list[tuple[int, int, int]]]:
+                if (n := stop - begin[k]) >= model.short_window:
+                    (long if n >= model.window else short).setdefault(whole[begin[k] : stop], []).append((number, int(begin[k])))
+        self.searches = []
+        for where, window, block in ((long, model.window, BLOCK), (short, model.short_window, SHORT_BLOCK)):
+            if where:
+                count = np.array([len(places) for places in where.values()], np.int64)
+                places = np.array([x for p in where.values() for x in p], np.int64)
+                self.searches.append((WuManber(list(where), window, block), np.concatenate([[0], np.cumsum(count)]), places[:, 0], places[:, 1]))
+
+    def _onward(self, doc: _Text, j: int, item: int, i: int) -> tuple[int, list[int], list[tuple[int, int, int]]]:
         """Going right from an agreement at (j, i): last word of the passage, replaced words, stretches (i, j, length) that agree."""
-        own, word, start, m = self.letters[item], self.word[item], self.word_start[item], self.model
+        own, word, start, m, text = self.letters[item], self.word[item], self.word_start[item], self.model, doc.letters
         replaced: list[int] = []
         agreed: list[tuple[int, int, int]] = []
         while i < len(own):
@@ -106,16 +145,21 @@ class Passages:
             if replaced and at - replaced[-1] < m.apart:
                 return last, replaced, agreed
             on = int(start[at + 1]) if at + 1 < len(start) else len(own)
-            k = ahead.find(own[on : on + m.resume]) if len(own) - on >= m.resume else -1
+            rest = own[on : on + m.resume]
+            k = ahead.find(rest) if len(rest) == m.resume else -1
+            if k < 0 and rest and text.find(rest, j) > j:
+                # A word of any length, or the last words of the item: they go on where the replacing word ends.
+                end = doc.word_end(j)
+                k = end - j if text[end : end + len(rest)] == rest else -1
             if k < 0:
                 return last, replaced, agreed
             replaced.append(at)
             i, j = on, j + k
         return int(word[-1]), replaced, agreed
 
-    def _backward(self, text: bytes, j: int, item: int, i: int) -> tuple[int, list[int], list[tuple[int, int, int]]]:
+    def _backward(self, doc: _Text, j: int, item: int, i: int) -> tuple[int, list[int], list[tuple[int, int, int]]]:
         """The same going left from the letters before (j, i), with the first word."""
-        own, word, start, m = self.letters[item], self.word[item], self.word_start[item], self.model
+        own, word, start, m, text = self.letters[item], self.word[item], self.word_start[item], self.model, doc.letters
         replaced: list[int] = []
         agreed: list[tuple[int, int, int]] = []
         while i > 0:
@@ -141,11 +185,16 @@ class Passages:
             if replaced and replaced[-1] - at < m.apart:
                 return at + 1, replaced, agreed
             on = int(start[at])
-            k = behind.rfind(own[on - m.resume : on]) if on >= m.resume else -1
-            if k < 0:
+            rest = own[max(0, on - m.resume) : on]
+            k = behind.rfind(rest) if len(rest) == m.resume else -1
+            back = len(behind) - k - m.resume if k >= 0 else -1
+            if back < 0 and rest and text.rfind(rest, 0, j) >= 0:
+                begin = doc.word_start(j)
+                back = j - begin if text[max(0, begin - len(rest)) : begin] == rest else -1
+            if back < 0:
                 return at + 1, replaced, agreed
             replaced.append(at)
-            i, j = on, j - (len(behind) - k - m.resume)
+            i, j = on, j - back
         return 0, replaced, agreed
 
     def _longest(self, first: int, last: int, replaced: list[int]) -> int:
@@ -155,24 +204,23 @@ class Passages:
         ends = [*(b - 1 for _, b in clashes), last]
         return max(b - a + 1 for a, b in zip(starts, ends))
 
-    def passage(self, text: bytes, raw: bytes, j: int, item: int, i: int) -> tuple[int, list[tuple[int, int, int]]]:
-        """Words of the passage of ``item`` through the agreement of text[j:] and item[i:], and the stretches (i, j, length) that agree.
+    def passage(self, doc: _Text, j: int, item: int, i: int) -> tuple[int, list[tuple[int, int, int]]]:
+        """Words of the passage of ``item`` through the agreement of the document from letter j and the item from letter i,
+        and the stretches (i, j, length) that agree.
 
-        ``raw`` is the plain text whose letters ``text`` is. A numeral of the item that doesn't stand at its place there is
-        a replaced word; numerals that only stand in the text are added ones.
+        A numeral of the item that doesn't stand at its place in the document is a replaced word; numerals that only stand
+        in the document are added ones.
         """
-        last, right, ahead = self._onward(text, j, item, i)
-        first, left, behind = self._backward(text, j, item, i)
+        last, right, ahead = self._onward(doc, j, item, i)
+        first, left, behind = self._backward(doc, j, item, i)
         words = self._longest(first, last, sorted([*left, *right]))
         if words < self.model.least_words or not self.numerals[item]:
             return words, [*ahead, *behind]
-        place = np.flatnonzero(IS_LETTER[np.frombuffer(raw, np.uint8)])
         changed = set()
         for a, b, n in [*ahead, *behind]:
             for letter, numerals in self.numerals[item].items():
                 if a < letter < a + n:
-                    at = b + letter - a
-                    given = [str(int(g)).encode() for g in re.findall(rb"\d+", raw[place[at - 1] + 1 : place[at]])]
+                    given = doc.numerals(b + letter - a)
                     for word, digits in numerals:
                         if digits in given:
                             given = given[given.index(digits) + 1 :]
@@ -180,34 +228,40 @@ class Passages:
                             changed.add(word)
         return self._longest(first, last, sorted({*left, *right, *changed})) if changed else words, [*ahead, *behind]
 
+    def _hits(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, item and letter of the item of every stretch that stands in ``whole``."""
+        parts = []
+        for search, first, items, places in self.searches:
+            at, number = search.find(whole)
+            size = first[number + 1] - first[number]
+            nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            place = np.repeat(first[number], size) + nth
+            parts.append((np.repeat(at, size), items[place], places[place]))
+        return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+
     def find(self, texts: list[bytes | None]) -> list[tuple[int, int, int]]:
         """(text number, item number, words of the longest passage) for passages of at least ``least_words``."""
         whole, begins = joined(texts)
-        at, number = self.search.find(whole)
-        if not len(at):
+        position, item, inside = self._hits(whole)
+        if not len(position):
             return []
-        size = self.first[number + 1] - self.first[number]
-        nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        place = np.repeat(self.first[number], size) + nth
-        position, item, inside = np.repeat(at, size), self.item[place], self.place[place]
-        doc = np.searchsorted(begins, position, "right") - 1
+        number = np.searchsorted(begins, position, "right") - 1
         # A hit within what an earlier attempt followed on its diagonal would give the same passage; any other is followed.
-        diagonal = position - inside
-        order = np.lexsort((position, diagonal, item, doc))
+        order = np.lexsort((position, position - inside, item, number))
         best: dict[tuple[int, int], int] = {}
         followed: dict[int, list[tuple[int, int]]] = {}
-        text, raw, base, key = b"", b"", -1, (-1, -1)
-        for d, n, p, i in zip(doc[order].tolist(), item[order].tolist(), position[order].tolist(), inside[order].tolist()):
+        doc, base, key = _Text(b"", b""), -1, (-1, -1)
+        for d, n, p, i in zip(number[order].tolist(), item[order].tolist(), position[order].tolist(), inside[order].tolist()):
             if d != base:
                 base = d
                 stop = begins[base + 1] - 1 if base + 1 < len(begins) else len(whole) - 1
-                text, raw = whole[begins[base] : stop].tobytes(), plain(texts[base]).replace(b"\x00", b" ")
+                doc = _Text(whole[begins[base] : stop].tobytes(), texts[base])
             if key != (d, n):
                 key, followed = (d, n), {}
             j = p - int(begins[d])
             if any(low <= j < high for low, high in followed.get(j - i, ())):
                 continue
-            words, agreed = self.passage(text, raw, j, n, i)
+            words, agreed = self.passage(doc, j, n, i)
             best[key] = max(best.get(key, 0), words)
             for at, to, length in agreed:
                 if length:
@@ -225,45 +279,68 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
     """(doc_id, item_id, n_words): documents in which at least ``least_words`` successive words of an item stand.
 
     Case, punctuation, spacing, hyphens, line breaks, character forms, markup and added numerals don't matter, and single
-    words (or numerals) may be replaced if they are ``apart`` words apart. n_words is the length of the longest passage found, in words of the item.
+    words (or numerals) may be replaced, by a word of any length, if they are ``apart`` words apart and ``resume`` letters
+    (or the rest of the item) agree behind them. n_words is the length of the longest passage found, in words of the item. Letters of all scripts count, but for Latin ones with marks (see
+    ``letters``).
 
     Method: Wu-Manber search for all stretches of apart - 1 words of the items at once. Blocks of letters index a shift
     table that skips impossible positions, the hash of a window selects the patterns of a bucket, and direct comparison
     confirms them; from there the passage is followed in both directions, over replaced words, and measured.
 
-    The corpus is read once, whole texts, without a shuffle; the items are the query set: blocks of at most
-    ``block_bytes`` of them are sent to the tasks, with a scan for each block (the 200 items of a test suite are one).
+    The corpus is read once, whole texts, without a shuffle; the items are the query set. Their tables are made in the
+    tasks, for ``block_bytes`` of items at a time; more than ``scan_bytes`` of items take a further scan each (the 200
+    items of a test suite are one block).
 
     Defined results: null and empty texts contain nothing; items without text or with fewer than ``least_words`` words
-    are never found; repeated documents and items count once; null ids stay null.
+    are never found; repeated documents and items count once; null ids stay null. A stretch of seven words with fewer than
+    ``short_window`` letters (numerals mostly) is only searched for together with the words after it.
     """
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).filter("length(item_text) > 0").distinct()
     size = wanted.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
-    blocks = -(-size // model.block_bytes)
+    scans = max(1, -(-size // model.scan_bytes))
     documents = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).filter("text IS NOT NULL")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32())])
 
     def scan(rows: list) -> DataFrame:
-        ids, texts = tuple(r[0] for r in rows), tuple(r[1] for r in rows)
+        blocks, held = [], model.block_bytes
+        for row in rows:
+            if held >= model.block_bytes:
+                blocks.append(([], []))
+                held = 0
+            blocks[-1][0].append(row[0])
+            blocks[-1][1].append(row[1])
+            held += len(row[1].encode("utf-8", "ignore"))
+        blocks = [(tuple(ids), tuple(texts)) for ids, texts in blocks]
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            passages = _passages(ids, texts, model)
-            for batch in batches:
-                # Texts are searched some megabytes at a time; one that is longer, alone.
-                place = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // TEXT_BYTES
-                edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+        def hits(numbers: list, bodies: list) -> Iterator[pa.RecordBatch]:
+            # Texts are searched some megabytes at a time; one that is longer, alone.
+            place = np.cumsum([len(b) for b in bodies]) // TEXT_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(bodies)]
+            for ids, texts in blocks:
+                passages = _passages(ids, texts, model)
                 for low, high in zip(edges, edges[1:]):
-                    part = batch.slice(low, high - low)
-                    numbers, bodies = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    hits = passages.find(bodies)
-                    if hits:
-                        columns = [[numbers[d] for d, _, _ in hits], [ids[i] for _, i, _ in hits], [n for _, _, n in hits]]
+                    found = passages.find(bodies[low:high])
+                    if found:
+                        columns = [[numbers[low + d] for d, _, _ in found], [ids[i] for _, i, _ in found], [n for _, _, n in found]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, bodies, held = [], [], 0
+            for batch in batches:
+                numbers.extend(batch.column(0).to_pylist())
+                bodies.extend(batch.column(1).to_pylist())
+                held += batch.nbytes
+                # With several blocks of items, as many texts wait as pay for making their tables.
+                if held >= (HELD_BYTES if len(blocks) > 1 else TEXT_BYTES):
+                    yield from hits(numbers, bodies)
+                    numbers, bodies, held = [], [], 0
+            if bodies:
+                yield from hits(numbers, bodies)
+
         return documents.mapInArrow(search, "doc_id long, item_id long, n_words int")
 
     found = None
-    for block in range(max(1, blocks)):
-        part = scan(wanted.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(max(1, blocks))) == block).orderBy("item_id", "item_text").collect())
+    for nth in range(scans):
+        part = scan(wanted.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(scans)) == nth).orderBy("item_id", "item_text").collect())
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
