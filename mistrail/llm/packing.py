@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 #: Items of one group; each group is packed by itself and wastes at most about one container.
 GROUP_ITEMS = 8192
-#: Nodes of the search tree after which a group keeps the best packing found so far, and fillings tried per container.
-NODES = 6_000
-FILLINGS = 6
+#: Nodes of the search tree after which a group keeps the best packing found so far.
+NODES = 20_000
 
 
 class _Sizes:
@@ -21,104 +20,105 @@ class _Sizes:
 
     def __init__(self, capacity: int, sizes: list[int]):
         self.capacity, self.count = capacity, [0] * (capacity + 1)
-        self.up = self.down = 0
+        self.up = 0
         for s in sizes:
             self.add(s)
 
     def add(self, s: int) -> None:
         if not self.count[s]:
             self.up |= 1 << s
-            self.down |= 1 << (self.capacity - s)
         self.count[s] += 1
 
     def take(self, s: int) -> None:
         self.count[s] -= 1
         if not self.count[s]:
             self.up &= ~(1 << s)
-            self.down &= ~(1 << (self.capacity - s))
 
     def largest(self, most: int) -> int:
         """The largest size of at most ``most`` that is left, 0 if there is none."""
         return (self.up & ((2 << most) - 1)).bit_length() - 1 if most > 0 and self.up & ((2 << most) - 1) else 0
 
-    def pairs(self, total: int) -> Iterator[tuple[int, int]]:
-        """Pairs of sizes with that sum, the more unequal first."""
-        both = self.up & (self.down >> (self.capacity - total)) & ~1
-        while both:
-            a = both.bit_length() - 1
-            b = total - a
-            if a < b:
-                return
-            both &= ~(1 << a)
-            if a != b or self.count[a] > 1:
-                yield a, b
-
-
-def _dominates(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
-    """Whether the items of ``other`` can be put into those of ``one`` as if they were containers."""
-    def place(k: int, room: list[int]) -> bool:
-        if k == len(other):
-            return True
-        for i, r in enumerate(room):
-            if r >= other[k]:
-                room[i] -= other[k]
-                if place(k + 1, room):
-                    return True
-                room[i] += other[k]
-        return False
-
-    return place(0, list(one))
-
-
-def fillings(left: _Sizes, room: int, waste: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with at most ``waste`` left over, least left over first.
-
-    While three of the largest items still fit, the largest is taken; the rest is filled by one, two or three items, the
-    best sums first. A filling whose items fit into those of an earlier one as into containers is dominated: whatever a
-    packing does with the earlier one's items it can do with these.
+
+class _Sums:
+    """Ways to make a sum of the items left: sizes that don't grow, those with the largest items first.
+
+    The sums that can't be made are remembered; after STUCK of them all that can be made of the items up to each size
+    are worked out, as the bits of a number, and nothing that can't is tried.
     """
-    head: list[int] = []
-    while (big := left.largest(room)) and 3 * big < room:
-        left.take(big)
-        head.append(big)
-        room -= big
-    found: list[tuple[int, ...]] = []
-
-    def keep(f: tuple[int, ...]) -> bool:
-        if not any(_dominates(g, f) for g in found):
-            found.append(f)
-        return len(found) >= limit
-
-    def search() -> None:
-        if not left.largest(room):
-            found.append(())
+
+    STUCK = 200
+
+    def __init__(self, left: _Sizes, room: int):
+        self.left, self.room = left, room
+        self.dead: set[tuple[int, int]] = set()
+        self.reach: dict[int, int] = {}
+
+    def _reachable(self) -> dict[int, int]:
+        bits, within, size = 1, (2 << self.room) - 1, 0
+        up = self.left.up & within
+        while up := up >> size + 1 << size + 1:
+            size = (up & -up).bit_length() - 1
+            for _ in range(min(self.left.count[size], self.room // size)):
+                bits |= bits << size & within
+            self.reach[size] = bits
+        return self.reach
+
+    def make(self, rest: int, most: int) -> Iterator[tuple[int, ...]]:
+        """``rest`` of items of at most ``most``."""
+        if not rest:
+            yield ()
             return
-        for total in range(room, max(0, room - waste) - 1, -1):
-            if total == 0:
-                keep(())
-                return
-            if left.count[total]:
-                keep((total,))
-                return  # it dominates every filling of this sum or less
-            for pair in left.pairs(total):
-                if keep(pair):
-                    return
-            a, tried = left.largest(total), 0
-            while a and 3 * a >= total and tried < 8:
-                left.take(a)
-                for b, c in left.pairs(total - a):
-                    if b <= a and keep((a, b, c)):
-                        left.add(a)
-                        return
-                left.add(a)
-                a, tried = left.largest(a - 1), tried + 1
-            if found:
-                return
-
-    search()
-    for s in head:
-        left.add(s)
-    return [(*head, *f) for f in found]
+        first = size = self.left.largest(min(rest, most))
+        made = False
+        while size and (rest, size) not in self.dead:
+            if self.reach and not self.reach[size] >> rest & 1:
+                break
+            for n in range(min(self.left.count[size], rest // size), 0, -1):
+                for tail in self.make(rest - n * size, size - 1):
+                    made = True
+                    yield (size,) * n + tail
+            size = self.left.largest(size - 1)
+        if first and not made:
+            self.dead.add((rest, first))
+            if len(self.dead) == self.STUCK:
+                self._reachable()
+
+
+def undominated(left: _Sizes, filling: tuple[int, ...], room: int) -> bool:
+    """Whether no item that is left could take the place of some of the filling's items, of no more than its own size.
+
+    If a filling is dominated at all (its items fit into those of another one as into containers), one such exchange of
+    a subset for a single item that still fits exists. Sums of subsets are the bits of a number.
+    """
+    one, two = 0, 0
+    for s in filling:
+        two |= (two << s) | (one << s)
+        one |= 1 << s
+    rest = room - sum(filling)
+    others = left.up
+    for s in set(filling):
+        if left.count[s] == filling.count(s):
+            others &= ~(1 << s)
+    # A sum of several items may be exchanged for an item from that sum on, a single item or none for a larger one.
+    reach = two | ((one | two | 1) << 1 if rest else 0)
+    width = 1
+    while width < rest:
+        step = min(width, rest - width)
+        reach |= reach << step
+        width += step
+    return not reach & others
+
+
+def fillings(left: _Sizes, room: int, waste: int) -> Iterator[tuple[tuple[int, ...], bool]]:
+    """Every filling of ``room`` with at most ``waste`` left over, least left over first, one at a time, and whether it is
+    undominated.
+
+    ``left`` may change between two of them, but must be as it was when the next one is asked for.
+    """
+    sums = _Sums(left, room)
+    for total in range(room, max(0, room - waste) - 1, -1):
+        for filling in sums.make(total, total):
+            yield filling, undominated(left, filling, room)
 
 
 def best_fit(capacity: int, sizes: list[int]) -> list[list[int]]:
@@ -142,13 +142,14 @@ def best_fit(capacity: int, sizes: list[int]) -> list[list[int]]:
     return containers
 
 
-def pack_sizes(capacity: int, sizes: list[int], nodes: int = NODES) -> list[list[int]]:
+def pack_sizes(capacity: int, sizes: list[int], nodes: int | None = NODES) -> list[list[int]]:
     """Containers, as lists of sizes from 1 to ``capacity``, with as little room left over as the search finds.
 
     Bin completion: the largest item left opens a container and each undominated filling around it is a branch, the
     fullest first. A branch is pruned once the room wasted so far leaves no way to use fewer containers than the best
     packing found, the incumbent; the first incumbent is the best-fit packing. The search ends at the lower bound (all
-    sizes over the capacity) or after ``nodes`` nodes.
+    sizes over the capacity), once all branches are done, which proves the best packing, or after ``nodes`` fillings
+    looked at; None sets no such end.
     """
     best = best_fit(capacity, sizes)
     total = sum(sizes)
@@ -157,43 +158,44 @@ def pack_sizes(capacity: int, sizes: list[int], nodes: int = NODES) -> list[list
         return best
     left = _Sizes(capacity, sizes)
     allowed = (len(best) - 1) * capacity - total
-    path: list[tuple[list[int], Iterator[tuple[int, ...]], int]] = []
-    chosen: list[tuple[int, ...]] = []
+    #: Open containers: largest item, fillings to come, room wasted before, filling chosen.
+    path: list[list] = []
     wasted, spent = 0, 0
 
     def branch() -> None:
         big = left.largest(capacity)
         left.take(big)
-        options = fillings(left, capacity - big, allowed - wasted)
-        left.add(big)
-        path.append((big, iter(options), wasted))
+        path.append([big, fillings(left, capacity - big, allowed - wasted), wasted, None])
 
     branch()
-    while path and spent < nodes:
-        big, options, before = path[-1]
-        if len(chosen) == len(path):
-            for s in (big, *chosen.pop()):
+    while path and (nodes is None or spent < nodes):
+        frame = path[-1]
+        big, options, before, chosen = frame
+        if chosen is not None:
+            for s in chosen:
                 left.add(s)
-            wasted = before
-        option = next(options, None)
+            frame[3] = None
+        wasted = before
+        option, good = next(options, (None, False))
         spent += 1
-        if option is None:
+        if option is None or before + capacity - big - sum(option) > allowed:
+            # Later ones waste as much or more.
+            left.add(big)
             path.pop()
             continue
-        waste = capacity - big - sum(option)
-        if wasted + waste > allowed:
+        if not good:
             continue
-        for s in (big, *option):
+        for s in option:
             left.take(s)
-        chosen.append(option)
-        wasted += waste
-        if not left.up:
-            best = [[b, *o] for (b, _, _), o in zip(path, chosen)]
-            allowed = (len(best) - 1) * capacity - total
-            if len(best) <= bound:
-                break
-        else:
+        frame[3] = option
+        wasted = before + capacity - big - sum(option)
+        if left.up:
             branch()
+            continue
+        best = [[b, *o] for b, _, _, o in path]
+        allowed = (len(best) - 1) * capacity - total
+        if len(best) <= bound:
+            break
     return best
 
 
@@ -237,4 +239,5 @@ def pack_items(items: DataFrame, item_id: str, size: str, capacity: int, group_i
         out.extend((doc, 0, base, 0) for doc in nothing)
         return pd.DataFrame(out, columns=["doc_id", "piece_no", "container", "tokens"]).astype({"doc_id": "Int64"})
 
-    return rows.withColumn("group", dealt).groupBy("group").applyInPandas(pack, "doc_id long, piece_no int, container long, tokens long")
+    # As many partitions as groups, which adaptive execution doesn't bring together: packing takes time, not bytes.
+    return rows.withColumn("group", dealt).repartition(groups, "group").groupBy("group").applyInPandas(pack, "doc_id long, piece_no int, container long, tokens long")
