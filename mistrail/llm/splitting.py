@@ -98,8 +98,8 @@ def pieces_of(text: str | None, model: SplitModel = SplitModel()) -> list[tuple[
     return result
 
 
-def split_texts(documents: DataFrame, doc_id: str, text: str, model: SplitModel = SplitModel(), with_text: bool = True) -> DataFrame:
-    """(doc_id, piece_no, n_pieces, first_token, n_tokens, start_char, end_char[, piece]) of every document.
+def split_texts(documents: DataFrame, doc_id: str, text: str, model: SplitModel = SplitModel()) -> DataFrame:
+    """(doc_id, piece_no, n_pieces, first_token, n_tokens, start_char, end_char, piece) of every document.
 
     Documents of at most ``limit`` tokens are one piece. Longer ones are cut into pieces of at most ``limit`` tokens; each
     piece after the first begins with the last ``overlap`` tokens of the one before. Cuts lie before claims, paragraphs or
@@ -111,8 +111,9 @@ def split_texts(documents: DataFrame, doc_id: str, text: str, model: SplitModel
 
     Defined results: null and empty texts are one piece of 0 tokens; repeated rows are split each; null ids stay null.
     """
-    fields = [("doc_id", pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())]
-    schema = pa.schema([*fields, ("piece", pa.string())] if with_text else fields)
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("piece", pa.string())]
+    )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,10 +122,8 @@ def split_texts(documents: DataFrame, doc_id: str, text: str, model: SplitModel
                 rows = []
                 for number, body in zip(ids[low : low + 512], texts.slice(low, 512).to_pylist()):
                     cuts = pieces_of(body, model)
-                    for k, (first, size, start, end) in enumerate(cuts):
-                        row = (number, k, len(cuts), first, size, start, end)
-                        rows.append((*row, (body or "")[start:end]) if with_text else row)
+                    rows.extend((number, k, len(cuts), *cut, (body or "")[cut[2] : cut[3]]) for k, cut in enumerate(cuts))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    ddl = "doc_id long, piece_no int, n_pieces int, first_token long, n_tokens long, start_char long, end_char long" + (", piece string" if with_text else "")
+    ddl = "doc_id long, piece_no int, n_pieces int, first_token long, n_tokens long, start_char long, end_char long, piece string"
     return documents.selectExpr(f"CAST(`{doc_id}` AS LONG) AS doc_id", f"`{text}` AS text").mapInArrow(split, ddl)
