@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mistrail.functions.json_triples import Wanted, is_json, triples
+from mistrail.functions.json_triples import Triple, Wanted, triples
 
 #: Triples that a task holds before it hands them on.
 BATCH = 50_000
@@ -19,30 +19,49 @@ def record_triples(records: DataFrame, record_id: str, body: str, maps: list[str
     """(record_id, path, ordinals, value, type): each record of ``body`` parsed as a stream, see functions.json_triples.
 
     ``maps`` are the paths of objects whose keys are data; with ``prefixes``, only paths that begin with one of them are
-    given and all else is passed over as it is read. Records that are not valid JSON give nothing; resent ones
-    (same record_id and body) count once. The result has a row per value, so that a single large record spreads over
-    the tasks of whatever comes next.
+    given and all else is checked and passed over as it is read. Records that are not valid JSON give nothing: the triples
+    of a record wait, as Arrow batches, until its end is reached. Resent records (same record_id and body) count once. The
+    result has a row per value, so that a single large record spreads over the tasks of whatever comes next.
 
     Defined results: null and empty bodies give nothing; records without record_id keep a null one; records with the
-    same record_id and different bodies are read one after the other into the same tables.
+    same record_id and different bodies are read one after the other into the same tables; nesting of any depth and
+    numbers of any length are read; a lone surrogate in a string becomes a question mark.
     """
     names = frozenset(maps)
     schema = pa.schema([("record_id", pa.int64()), ("path", pa.string()), ("ordinals", pa.list_(pa.string())), ("value", pa.string()), ("type", pa.string())])
 
+    def batch_of(numbers: list[int | None], held: list[Triple]) -> pa.RecordBatch:
+        columns = [numbers, *zip(*held)]
+        try:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        except UnicodeEncodeError:
+            sound = lambda s: s and s.encode("utf-8", "replace").decode()
+            return batch_of(numbers, [(sound(p), [sound(o) for o in ords], sound(v), t) for p, ords, v, t in held])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        numbers: list[int | None] = []
+        held: list[Triple] = []
         wanted = Wanted(prefixes)
         for batch in batches:
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not is_json(text):
+                own: list[Triple] = []
+                parts: list[pa.RecordBatch] = []
+                try:
+                    for triple in triples(text, names, wanted=wanted):
+                        own.append(triple)
+                        if len(own) >= BATCH:
+                            parts.append(batch_of([number] * len(own), own))
+                            own = []
+                except ValueError:
                     continue
-                for path, ordinals, value, kind in triples(text, names, wanted=wanted):
-                    held.append((number, path, list(ordinals), value, kind))
-                    if len(held) >= BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-                        held = []
+                yield from parts
+                held.extend(own)
+                numbers.extend([number] * len(own))
+                if len(held) >= BATCH:
+                    yield batch_of(numbers, held)
+                    numbers, held = [], []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            yield batch_of(numbers, held)
 
     once = records.select(F.col(record_id).cast("long").alias("record_id"), F.col(body).alias("body")).filter("body IS NOT NULL").dropDuplicates(["record_id", "body"])
     return once.mapInArrow(parse, "record_id long, path string, ordinals array<string>, value string, type string")

@@ -11,7 +11,6 @@ from mistrail.sources.tables import table
 ENTRIES = "events[].Replication.net_id_to_replication_datas"
 #: The flat tables by name: attribute objects, and packets that give a position.
 REPLICATION = FlatTable(ENTRIES + "{}[]", {"primary_index": "primary_index", "secondary_index": "secondary_index", "attr_name": "name", "float_value": "data.Float", "int_value": "data.Int"})
-KEYS_ONLY = FlatTable(ENTRIES + "{}[]", {})
 CASTS = FlatTable("events[]", {"owner": "CastSpellAns.caster_net_id", "x": "CastSpellAns.source_position.x", "y": "CastSpellAns.source_position.y", "z": "CastSpellAns.source_position.z"}, ("x", "z"))
 CAMPS = FlatTable("events[]", {"owner": "CreateNeutral.net_id", "x": "CreateNeutral.position1.x", "y": "CreateNeutral.position1.y", "z": "CreateNeutral.position1.z"}, ("x", "z"))
 
@@ -28,7 +27,7 @@ def _number(column: str, kind: str):
 
 
 def p6_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    rows = shard_tables(spark, data_dir, {"replication": KEYS_ONLY, "source_position": CASTS, "position1": CAMPS})
+    rows = shard_tables(spark, data_dir, {"replication": REPLICATION, "source_position": CASTS, "position1": CAMPS})
     entry = F.col("child") == "replication"
     owner = F.when(entry, _number("o1", "BIGINT")).otherwise(F.coalesce(_number("owner", "BIGINT"), F.lit(0)))
     return rows.select("line_id", "event_no", "child", owner.alias("owner_id"), F.when(entry, _number("o2", "INT")).otherwise(0).alias("item_no"))

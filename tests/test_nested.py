@@ -1,7 +1,7 @@
 import json
 import random
 
-from mistrail.functions.json_triples import Wanted, is_json, triples
+from mistrail.functions.json_triples import Wanted, by_items, by_tokens, is_json, triples
 from mistrail.operators.nested_tables import record_triples, table_of
 
 
@@ -49,13 +49,45 @@ def test_triples_equal_those_of_the_parsed_tree():
             assert list(triples(text, frozenset(["m"]))) == every
             for prefixes in (["m{}[]"], ["rest.a0", "rest[]"], ["rest.k", "m{}[].b"], []):
                 some = [t for t in every if any(t[0].startswith(p) for p in prefixes)]
-                assert list(triples(text, frozenset(["m"]), wanted=Wanted(prefixes))) == some
+                for read in (by_items, by_tokens, triples):
+                    assert list(read(text, frozenset(["m"]), "", (), Wanted(prefixes))) == some
 
 
 def test_validity():
     assert is_json('{"a": 1}') and not is_json('{"a": 1') and not is_json("") and not is_json(None) and not is_json('{"a": NaN}')
 
 
+def test_validity_equals_that_of_the_strict_decoder():
+    strict = json.JSONDecoder(parse_constant=lambda name: (_ for _ in ()).throw(ValueError(name)))
+    rng = random.Random(12)
+    for _ in range(600):
+        text = list(json.dumps({"m": tree(rng), "rest": tree(rng)}))
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(text))
+            text[k : k + rng.randrange(2)] = rng.choice(["", ",", "{", "}", "[", "]", '"', ":", "1", "0", "-", ".", "\\", "\n", "\x01", "NaN", "x", " "])
+        text = "".join(text)
+        try:
+            strict.decode(text)
+            valid = True
+        except ValueError:
+            valid = False
+        for read in (by_items, by_tokens):
+            for prefixes in (None, ["m.a0"], []):
+                try:
+                    list(read(text, frozenset(["m"]), "", (), Wanted(prefixes)))
+                    assert valid, text
+                except ValueError:
+                    assert not valid, text
+
+
+def test_any_depth_and_length(spark):
+    deep = '{"a":' + "[" * 5_000 + "7" + "]" * 5_000 + ',"b":' + '{"c":' * 3000 + "1" + "}" * 3000 + "}"
+    long = '{"a": [%s, "\\ud800x"]}' % ("9" * 6000)
+    df = spark.createDataFrame([(1, deep), (2, long), (3, deep[:-1]), (4, "{}"), (5, '{"a":[1,{"x":2}]}')], "line_id long, body string")
+    got = {(r.record_id, len(r.path), r.value, r.type) for r in record_triples(df, "line_id", "body", []).collect() if r.type != "object"}
+    assert got == {(1, 1 + 2 * 5_000, "7", "number"), (1, 1 + 2 * 3000, "1", "number"), (2, 3, "9" * 6000, "number"), (2, 3, "?x", "string"), (5, 3, "1", "number"), (5, 5, "2", "number")}
+
+
 def test_map_as_text_single_objects_and_links(spark):
     lines = [
         (1, '{"events":[{"R":{"d":{"7":{"p":1},"8":[{"p":2},{"p":3},4,null]}}},{"R":{"d":"{\\"9\\":{\\"p\\":5}}"}}]}'),
