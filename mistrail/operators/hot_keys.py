@@ -50,9 +50,9 @@ def split_hot(df: DataFrame, keys: list[str], order: str, coarse: list[str] | No
 
 
 def join_cuts(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with the column ``cuts``, null for keys that aren't hot. Nulls in the keys find their partner."""
+    """``df`` with the other columns of ``cuts``, null for keys that aren't hot. Nulls in the keys find their partner."""
     few = cuts.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    renamed = cuts.select(*[F.col(k).alias(f"__cut_{k}") for k in keys], "cuts")
+    renamed = cuts.select(*[F.col(k).alias(f"__cut_{k}") for k in keys], *[c for c in cuts.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__cut_{k}")) for k in keys]
     return df.join(F.broadcast(renamed) if few else renamed, on, "left").drop(*[f"__cut_{k}" for k in keys])
 

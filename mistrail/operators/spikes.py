@@ -18,6 +18,10 @@ from mistrail.operators.hot_keys import HOT_ROWS, PIECE_ROWS, join_cuts, piece_o
 NORMAL, SPIKE, STUCK, OUT = range(4)
 #: Rows of its neighbours that a piece of a hot source also sees, in units of the order column.
 HALO = 96.0
+#: The medians of a hot source are exact to so small a share of its rows.
+RANK_ERROR = 1e-5
+#: What is usual for a hot source, as columns: speed at known positions, speed, its spread, log(residual), its spread.
+USUAL = ["u_pace", "u_speed", "u_speed_spread", "u_level", "u_level_spread"]
 
 
 @dataclass(frozen=True)
@@ -61,6 +65,11 @@ def _median_of(values: np.ndarray, group: np.ndarray, n_groups: int) -> np.ndarr
     return result
 
 
+def _given(own: np.ndarray, given: np.ndarray | None) -> np.ndarray:
+    """What is given for the whole source, else what was found here."""
+    return own if given is None else np.where(np.isnan(given), own, given)
+
+
 def _runs(flag: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last row (exclusive) of each stretch of true rows within a group."""
     if not len(flag):
@@ -116,8 +125,9 @@ def _model(p: np.ndarray, group: np.ndarray, model: SpikeModel) -> np.ndarray:
     return posteriors(p, starts, np.array(model.transition), np.array(model.prior))
 
 
-def flag_positions(tick: np.ndarray, x: np.ndarray, z: np.ndarray, speed: np.ndarray, group: np.ndarray, n_groups: int, model: SpikeModel) -> np.ndarray:
-    """Implausible positions. Rows are sorted by group and tick; speed is that of the same row."""
+def flag_positions(tick: np.ndarray, x: np.ndarray, z: np.ndarray, speed: np.ndarray, group: np.ndarray, n_groups: int, model: SpikeModel, pace_of: np.ndarray | None = None) -> np.ndarray:
+    """Implausible positions. Rows are sorted by group and tick; speed is that of the same row. ``pace_of``: usual speed of
+    each group, where its rows aren't all of its source."""
     n = len(tick)
     flagged = np.zeros(n, bool)
     have = np.flatnonzero(~np.isnan(x) & ~np.isnan(z))
@@ -125,7 +135,7 @@ def flag_positions(tick: np.ndarray, x: np.ndarray, z: np.ndarray, speed: np.nda
     out = ~((x >= 0) & (x <= model.map_side) & (z >= 0) & (z <= model.map_side))
     with np.errstate(invalid="ignore"):
         moving = np.where((v > 0) & (v <= model.most_speed), v, np.nan)
-    usual = _median_of(moving, g, n_groups)
+    usual = _given(_median_of(moving, g, n_groups), pace_of)
     same = np.zeros(len(t), bool)
     same[1:] = (g[1:] == g[:-1]) & (x[1:] == x[:-1]) & (z[1:] == z[:-1])
     same &= v != 0
@@ -158,20 +168,20 @@ def flag_positions(tick: np.ndarray, x: np.ndarray, z: np.ndarray, speed: np.nda
     return flagged
 
 
-def flag_speeds(tick: np.ndarray, speed: np.ndarray, group: np.ndarray, n_groups: int, model: SpikeModel) -> np.ndarray:
+def flag_speeds(tick: np.ndarray, speed: np.ndarray, group: np.ndarray, n_groups: int, model: SpikeModel, usual_of: np.ndarray | None = None, spread_of: np.ndarray | None = None) -> np.ndarray:
     """Implausible speeds; 0 is a stop and never a case."""
     flagged = np.zeros(len(tick), bool)
     have = np.flatnonzero(~np.isnan(speed))
     t, v, g = tick[have], speed[have], group[have]
     out = ~((v >= 0) & (v <= model.most_speed))
     moving = (v > 0) & ~out
-    usual = _median_of(np.where(moving, v, np.nan), g, n_groups)
+    usual = _given(_median_of(np.where(moving, v, np.nan), g, n_groups), usual_of)
     score = np.zeros(len(v))
     at = np.flatnonzero(moving)
     log = np.log(v[at])
     globally = np.abs(log - np.log(usual[g[at]]))
     locally = np.abs(log - _local_median(log, g[at], model.window))
-    spread = np.maximum(1.4826 * _median_of(globally, g[at], n_groups), model.speed_spread)
+    spread = np.maximum(1.4826 * _given(_median_of(globally, g[at], n_groups), spread_of), model.speed_spread)
     score[at] = np.minimum(globally, locally)
     same = np.zeros(len(v), bool)
     same[1:] = (g[1:] == g[:-1]) & (v[1:] == v[:-1]) & (v[1:] != 0)
@@ -187,16 +197,16 @@ def flag_speeds(tick: np.ndarray, speed: np.ndarray, group: np.ndarray, n_groups
     return flagged
 
 
-def flag_residuals(residual: np.ndarray, group: np.ndarray, n_groups: int, model: SpikeModel) -> np.ndarray:
+def flag_residuals(residual: np.ndarray, group: np.ndarray, n_groups: int, model: SpikeModel, level_of: np.ndarray | None = None, spread_of: np.ndarray | None = None) -> np.ndarray:
     """Implausible order residuals."""
     flagged = np.zeros(len(residual), bool)
     have = np.flatnonzero(~np.isnan(residual))
     v, g = residual[have], group[have]
     out = ~((v >= 0) & (v <= model.most_residual))
     log = np.where(out, np.nan, np.log(np.maximum(np.where(out, 1.0, v), 1e-3)))
-    level = _median_of(log, g, n_groups)[g]
+    level = _given(_median_of(log, g, n_groups), level_of)[g]
     above = np.nan_to_num(log - level).clip(0)
-    spread = np.maximum(1.4826 * _median_of(np.abs(log - level), g, n_groups), model.residual_spread)[g]
+    spread = np.maximum(1.4826 * _given(_median_of(np.abs(log - level), g, n_groups), spread_of), model.residual_spread)[g]
     same = np.zeros(len(v), bool)
     same[1:] = (g[1:] == g[:-1]) & (v[1:] == v[:-1])
     post = _model(_emissions(above, np.nan_to_num(spread, nan=model.residual_spread), 6.0, same, out), g, model)
@@ -204,6 +214,19 @@ def flag_residuals(residual: np.ndarray, group: np.ndarray, n_groups: int, model
     return flagged
 
 
+def usual_of_hot(df: DataFrame, keys: list[str], model: SpikeModel) -> DataFrame:
+    """``keys`` and USUAL of the sources in ``df``: medians and median deviations over all rows of each, by sketches that
+    combine on the map side."""
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    median = lambda c: F.percentile_approx(c, 0.5, int(1 / RANK_ERROR))
+    speed = F.when(real("speed") & (F.col("speed") > 0) & (F.col("speed") <= model.most_speed), F.col("speed"))
+    level = F.when(real("residual") & (F.col("residual") >= 0) & (F.col("residual") <= model.most_residual), F.log(F.greatest("residual", F.lit(1e-3))))
+    rows = df.select(*keys, F.when(real("x") & real("z"), speed).alias("pace"), speed.alias("speed"), level.alias("level"))
+    middle = rows.groupBy(*keys).agg(median("pace").alias("u_pace"), median("speed").alias("u_speed"), median("level").alias("u_level"))
+    off = join_cuts(rows, middle, keys).select(*keys, F.abs(F.log("speed") - F.log("u_speed")).alias("speed"), F.abs(F.col("level") - F.col("u_level")).alias("level"))
+    return join_cuts(middle, off.groupBy(*keys).agg(median("speed").alias("u_speed_spread"), median("level").alias("u_level_spread")), keys)
+
+
 _OUT = "src string, match_id string, slot int, row_no long, field string"
 
 
@@ -220,8 +243,9 @@ def flag_readings(readings: DataFrame, model: SpikeModel = SpikeModel(), hot_row
     model holds the later ones for stuck.
 
     Rows are partitioned by source and sorted within the partition; many sources are worked on at once with NumPy.
-    Sources with more than ``hot_rows`` rows are cut along ``at`` into pieces that see ``HALO`` of their neighbours; the
-    normal behaviour is then that of the piece.
+    Sources with more than ``hot_rows`` rows are cut along ``at`` into pieces that see ``HALO`` of their neighbours, after
+    which the model has forgotten where a piece began (what is left of it is below 1e-9); the normal behaviour is that of
+    the whole source, whose medians are worked out beforehand (to RANK_ERROR of its rows) and joined to its pieces.
 
     Defined results: exact duplicates count once; null and NaN readings are no readings and no cases, and what lies
     before and after one counts as successive; infinite ones are cases; rows without ``at`` or row_no are left out;
@@ -234,11 +258,13 @@ def flag_readings(readings: DataFrame, model: SpikeModel = SpikeModel(), hot_row
     if cuts is None:
         df = df.withColumn("piece", F.lit(0)).withColumn("own", F.lit(True))
     else:
-        df = join_cuts(df, cuts, keys)
+        hot = join_cuts(df, cuts, keys).filter("cuts IS NOT NULL").drop("cuts")
+        df = join_cuts(df, join_cuts(cuts, usual_of_hot(hot, keys, model), keys).checkpoint(), keys)
         mine = piece_of(F.col("cuts"), F.col("at"))
         seen = F.sequence(piece_of(F.col("cuts"), F.col("at") - HALO), piece_of(F.col("cuts"), F.col("at") + HALO))
         df = df.withColumn("mine", mine).withColumn("piece", F.explode(seen)).withColumn("own", F.col("piece") == F.col("mine")).drop("mine", "cuts")
     group = [*keys, "piece"]
+    usual = USUAL if cuts is not None else []
     df = df.withColumn("h", F.xxhash64(*group)).repartition(*group).sortWithinPartitions("h", *group, "at", "row_no")
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +280,12 @@ def flag_readings(readings: DataFrame, model: SpikeModel = SpikeModel(), hot_row
                 again[1:] &= (v[1:] == v[:-1]) | (np.isnan(v[1:]) & np.isnan(v[:-1]))
             keep = np.flatnonzero(~again)
             g, (at, x, z, speed, residual) = g[keep], (v[keep] for v in values)
+            of = {u: floats(table, u)[starts] for u in usual}
             own = table["own"].combine_chunks().to_numpy(zero_copy_only=False)[keep]
             for field, hit in (
-                ("pos", flag_positions(at, x, z, speed, g, n_groups, model)),
-                ("speed", flag_speeds(at, speed, g, n_groups, model)),
-                ("order_residual", flag_residuals(residual, g, n_groups, model)),
+                ("pos", flag_positions(at, x, z, speed, g, n_groups, model, of.get("u_pace"))),
+                ("speed", flag_speeds(at, speed, g, n_groups, model, of.get("u_speed"), of.get("u_speed_spread"))),
+                ("order_residual", flag_residuals(residual, g, n_groups, model, of.get("u_level"), of.get("u_level_spread"))),
             ):
                 rows = keep[hit & own]
                 if len(rows):
@@ -266,4 +293,4 @@ def flag_readings(readings: DataFrame, model: SpikeModel = SpikeModel(), hot_row
                     out = out.set_column(2, "slot", pc.cast(out["slot"], pa.int32())).append_column("field", pa.array([field] * len(rows), pa.string()))
                     yield from out.combine_chunks().to_batches()
 
-    return df.select("h", *group, "own", "row_no", "at", "x", "z", "speed", "residual").mapInArrow(flag, _OUT).distinct()
+    return df.select("h", *group, "own", "row_no", "at", "x", "z", "speed", "residual", *usual).mapInArrow(flag, _OUT).distinct()

@@ -31,6 +31,8 @@ def test_forward_backward_equals_brute_force():
     starts = np.cumsum([0, *sizes[:-1]])
     likelihood = rng.random((sum(sizes), 4)) + 1e-3
     got = posteriors(likelihood, starts, transition, prior)
+    for segment in (1, 7, 100):
+        assert np.allclose(posteriors(likelihood, starts, transition, prior, lanes=3, segment=segment), got, atol=1e-12)
     for s, n in zip(starts, sizes):
         own = likelihood[s : s + n]
         forward = [prior * own[0] / (prior * own[0]).sum()]
@@ -40,7 +42,7 @@ def test_forward_backward_equals_brute_force():
         back = np.ones(4)
         for t in range(n - 1, -1, -1):
             both = forward[t] * back
-            assert np.allclose(got[s + t], both / both.sum(), atol=1e-4)
+            assert np.allclose(got[s + t], both / both.sum(), atol=1e-12)
             back = transition @ (own[t] * back)
             back /= back.sum()
 
@@ -110,3 +112,22 @@ def test_nulls_duplicates_empty_and_hot_sources(spark):
     assert as_set(flag_readings(df)) == want
     assert as_set(flag_readings(df, hot_rows=100, piece_rows=60)) == want
     assert flag_readings(df.limit(0)).collect() == []
+
+
+def test_pieces_of_a_hot_source_are_judged_by_the_whole_source(spark):
+    """Slow in one stretch and fast in the others; what is far off for the slow stretch alone is none for the source."""
+    t = np.arange(900, dtype=float)
+    v = np.where((t >= 300) & (t < 500), 60.0, 340.0) + 3 * np.sin(t)
+    x, z = 1000 + np.abs((np.cumsum(v) % 20_000) - 10_000), np.full(900, 5000.0)
+    z[400] += 500
+    z[700:702] += 4000
+    v[420], v[600] = 150.0, 900.0
+    residual = np.where((t >= 200) & (t < 420), 20.0, 300.0) * np.exp(0.1 * np.sin(3 * t))
+    residual[300], residual[800] = 150.0, 9000.0
+    rows = [("attribution", "m", 1, k, float(k), float(x[k]), float(z[k]), float(v[k]), None, "e") for k in range(900)]
+    rows += [("move_order", "m", 1, k, float(k), None, None, None, float(residual[k]), "e") for k in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    flags = lambda **k: {(r.src, r.row_no, r.field) for r in flag_readings(df, **k).collect()}
+    whole = flags()
+    assert {("attribution", 700, "pos"), ("attribution", 600, "speed"), ("move_order", 800, "order_residual")} <= whole and ("attribution", 400, "pos") not in whole
+    assert flags(hot_rows=100, piece_rows=150) == whole and flags(hot_rows=100, piece_rows=90) == whole
