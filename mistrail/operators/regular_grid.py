@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from mistrail.functions.arrow_groups import floats, whole_groups
 from mistrail.operators.hot_keys import HOT_ROWS
 
-#: Half width of the kernel in ticks, least run of ticks without a reading that counts as missing, ticks of one block.
+#: Half width of the kernel in ticks; ticks of a stretch whose support decides whether a grid time is missing, and the
+#: support that it needs; ticks of one block.
 HALF_WIDTH = 5
 LEAST_GAP = 5
+LEAST_SUPPORT = 1.0
 BLOCK = 4096
 #: Ticks of its neighbours that a block sees: enough for the kernel and to tell a gap's length at its edge.
 HALO = 8
@@ -24,12 +26,12 @@ CELLS = 8
 GRID, COVER, READING = 0, 1, 2
 
 
-def fit_blocks(kind: np.ndarray, t: np.ndarray, x: np.ndarray, z: np.ndarray, weight: np.ndarray, group: np.ndarray, n_groups: int, first: np.ndarray, last: np.ndarray, half_width: int, least_gap: int):
+def fit_blocks(kind: np.ndarray, t: np.ndarray, x: np.ndarray, z: np.ndarray, weight: np.ndarray, group: np.ndarray, n_groups: int, first: np.ndarray, last: np.ndarray, half_width: int, least_gap: int, least_support: float = LEAST_SUPPORT):
     """Fits of all grid times of several blocks at once.
 
     Block b has the grid times first[b]..last[b] (inclusive, halo included). Readings of kind COVER lie at the grid time
-    t; those of kind READING anywhere in [t, t+1). Returns block, tick, x, z, effective support, number of readings in
-    the tick and the mark of a missing one, for each grid time.
+    t; those of kind READING anywhere in [t, t+1). Returns block, tick, x, z, effective support of the fit and of the
+    weakest stretch around it, number of readings in the tick and the mark of a missing one, for each grid time.
     """
     size = np.maximum(last - first + 1, 0)
     base = np.cumsum(size) - size
@@ -58,20 +60,30 @@ def fit_blocks(kind: np.ndarray, t: np.ndarray, x: np.ndarray, z: np.ndarray, we
         for k in "xz":
             fit[k] = np.where(steep, (m["dd"] * m[k] - m["d"] * m["d" + k]) / np.where(steep, det, 1.0), m[k] / m["w"])
         support = np.where(m["w"] > 0, m["w"] ** 2 / m["ww"], 0.0)
-    empty = here == 0
-    edge = np.concatenate([[True], block[1:] != block[:-1]]) if total else np.zeros(0, bool)
-    run = np.cumsum(edge | np.concatenate([[True], empty[1:] != empty[:-1]])) - 1 if total else np.zeros(0, int)
-    length = np.bincount(run) if total else np.zeros(0, int)
-    missing = empty & (length[run] >= least_gap) if total else np.zeros(0, bool)
+    # Support of each stretch of least_gap ticks, by a flat kernel, and of a grid time the least of the stretches that hold
+    # it and lie within the grid.
+    width = min(least_gap, total)
+    stretch = np.zeros(total)
+    for ahead in range(width):
+        stretch[: total - ahead] += here[ahead:]
+    whole = np.zeros(total, bool)
+    whole[: total - least_gap + 1] = block[: total - least_gap + 1] == block[least_gap - 1 :] if total >= least_gap else False
+    stretch = np.where(whole, stretch, np.inf)
+    weakest = np.full(total, np.inf)
+    for back in range(width):
+        reach = slice(back, total)
+        same = block[reach] == block[: total - back]
+        weakest[reach] = np.where(same, np.minimum(weakest[reach], stretch[: total - back]), weakest[reach])
+    missing = weakest < least_support
     blank = missing | (support == 0)
-    return block, tick, np.where(blank, np.nan, fit["x"]), np.where(blank, np.nan, fit["z"]), support, here, missing
+    return block, tick, np.where(blank, np.nan, fit["x"]), np.where(blank, np.nan, fit["z"]), support, weakest, here, missing
 
 
-_OUT = "match_id string, slot int, tick int, x double, z double, support double, n_readings double, missing boolean"
+_OUT = "match_id string, slot int, tick int, x double, z double, support double, weakest double, n_readings double, missing boolean"
 
 
 def positions_on_grid(grid: DataFrame, marks: DataFrame, anchors: DataFrame, half_width: int = HALF_WIDTH, least_gap: int = LEAST_GAP, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(match_id, slot, tick, x, z, support, n_readings, missing), one row per grid time.
+    """(match_id, slot, tick, x, z, support, weakest, n_readings, missing), one row per grid time.
 
     ``grid``: match_id, slot, n_ticks; the grid of a source is 0..n_ticks-1. ``marks``: match_id, slot, tick, x, z, the
     readings that lie on the grid. ``anchors``: match_id, slot, t, x, z, the irregular ones, each in the tick floor(t).
@@ -79,8 +91,10 @@ def positions_on_grid(grid: DataFrame, marks: DataFrame, anchors: DataFrame, hal
     Method: at each grid time a line is fitted to the readings within ``half_width`` ticks, weighted by the Epanechnikov
     kernel of their distance in time; its value at the grid time is the position and the Kish sum of the weights its
     effective support. Readings are indexed by tick, so that each is added to the grid times around it and no pairs are
-    searched for. A grid time is missing if it lies in a stretch of at least ``least_gap`` ticks without any reading;
-    shorter stretches are filled from both sides.
+    searched for. Where the support doesn't suffice the grid time is marked as missing: ``weakest`` is the least
+    support (by a flat kernel: readings) of any stretch of ``least_gap`` ticks that holds it, infinite where the grid has no such stretch,
+    and LEAST_SUPPORT of them are needed. So a stretch without readings is missing from ``least_gap`` ticks on; shorter
+    ones are filled from both sides.
 
     A source is cut into blocks of ``BLOCK`` ticks that also see ``HALO`` ticks of their neighbours, and anchors are
     averaged within an eighth of a tick beforehand (combining on the map side), so that a source with a third of all
@@ -120,13 +134,13 @@ def positions_on_grid(grid: DataFrame, marks: DataFrame, anchors: DataFrame, hal
             first = np.maximum(begin - HALO, 0)
             last = np.where(has, np.minimum(begin + BLOCK + HALO, n_ticks) - 1, first - 1)
             g = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
-            block, ticks, fx, fz, support, here, missing = fit_blocks(kind, t, x, z, w, g, len(starts), first, last, half_width, least_gap)
+            block, ticks, fx, fz, support, weakest, here, missing = fit_blocks(kind, t, x, z, w, g, len(starts), first, last, half_width, least_gap)
             own = (ticks >= begin[block]) & (ticks < begin[block] + BLOCK)
-            block, ticks, fx, fz, support, here, missing = (a[own] for a in (block, ticks, fx, fz, support, here, missing))
+            block, ticks, fx, fz, support, weakest, here, missing = (a[own] for a in (block, ticks, fx, fz, support, weakest, here, missing))
             names = table.select(["match_id", "slot"]).take(pa.array(starts)).take(pa.array(block))
             optional = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
             out = pa.table(
-                {"match_id": names["match_id"], "slot": names["slot"], "tick": pa.array(ticks.astype(np.int32)), "x": optional(fx), "z": optional(fz), "support": pa.array(support), "n_readings": pa.array(here), "missing": pa.array(missing)}
+                {"match_id": names["match_id"], "slot": names["slot"], "tick": pa.array(ticks.astype(np.int32)), "x": optional(fx), "z": optional(fz), "support": pa.array(support), "weakest": pa.array(weakest), "n_readings": pa.array(here), "missing": pa.array(missing)}
             )
             yield from out.combine_chunks().to_batches(max_chunksize=65_536)
 
