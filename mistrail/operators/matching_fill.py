@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,22 @@ BROADCAST_GROUPS = 39
 EVERY = "\x00every group"
 
 
+@dataclass(frozen=True)
+class Target:
+    """A column to fill: what predicts it, and ``score``, what the predictors predict for a record whose value is known (a
+    bounded function of it, so that an infinite value does no harm). ``lacks`` tells which records need filling, where
+    that isn't those whose value is null: one that has a value all the same copies that, as its own donor."""
+
+    name: str
+    predictors: list[Column]
+    score: Column
+    value_type: str = "double"
+    lacks: Column | None = None
+
+
 def _moments(k: int) -> list[Column]:
-    """Sums from which the normal equations of ``y`` on an intercept and x0..x(k-1) are built."""
-    terms = [F.lit(1.0), *[F.col(f"x{i}") for i in range(k)], F.col("y")]
+    """Sums from which the normal equations of ``y`` on an intercept and xs[0]..xs[k-1] are built."""
+    terms = [F.lit(1.0), *[F.col("xs")[i] for i in range(k)], F.col("y")]
     return [F.sum(terms[i] * terms[j]).alias(f"m_{i}_{j}") for i in range(k + 2) for j in range(i, k + 2)]
 
 
@@ -43,10 +57,10 @@ def _beta(m: np.ndarray) -> list[float]:
     return np.linalg.lstsq(a + RIDGE * np.diag(np.diag(a) + 1e-9), m[:-1, -1], rcond=None)[0].tolist()
 
 
-def _solver(k: int, pooled: np.ndarray):
+def _solver(k: int, pooled: dict[str, np.ndarray]):
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"g": frame["g"], "beta": [_beta(_matrix(row, k) + pooled) for row in frame.to_dict("records")]})
+            yield pd.DataFrame({"g": frame["g"], "beta": [_beta(_matrix(row, k) + pooled[row["target"]]) for row in frame.to_dict("records")]})
 
     return solve
 
@@ -82,18 +96,17 @@ def _edges(searched: DataFrame) -> DataFrame:
     return every.select("g", "piece", before.alias("before"), after.alias("after"))
 
 
-def fill_by_matching(records: DataFrame, key: list[str], group: Column, predictors: list[Column], target: str, score: Column, value_type: str = "double", piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """``key`` and ``target`` with the gaps of ``target`` filled: key, <target>, <target>_filled, <target>_donor.
+def fill_all(records: DataFrame, key: list[str], group: Column, targets: list[Target], carry: list[str] | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``key``, ``carry``, target, value (as text), filled, donor: a row per record and target.
 
-    ``score`` is what the predictors predict for a record whose ``target`` is known (a bounded function of it, so that an
-    infinite value does no harm). <target>_filled marks the copied values, <target>_donor is the donor's key as JSON.
+    ``filled`` marks the values that were copied, ``donor`` is the donor's key as JSON.
 
-    Method: one ridge regression of ``score`` on the predictors per group, pooled with that of all groups (sums combine
-    on the map side, one row per group is solved); every record gets its prediction. Donors and gaps of a group are sorted
-    by prediction (equal ones by hash); a gap looks at the NEAREST donors before and after it, and copies the observed
-    value of one of the NEAREST of these, chosen by hash: every donor can be chosen. Groups of more than ``piece_rows`` rows
-    are cut at quantiles of the prediction (a value that fills several pieces, by hash), and a piece sees the donors
-    at the edges of its neighbours, so that the result doesn't depend on the cuts. Groups without a
+    Method: one ridge regression of a target's score on its predictors per group, pooled with that of all groups (sums of
+    all targets combine on the map side, one row per target and group is solved); every record gets its prediction. Donors
+    and gaps of a group are sorted by prediction (equal ones by hash); a gap looks at the NEAREST donors before and after
+    it, and copies the observed value of one of the NEAREST of these, chosen by hash: every donor can be chosen. Groups of
+    more than ``piece_rows`` rows are cut at quantiles of the prediction (a value that fills several pieces, by hash), and
+    a piece sees the donors at the edges of its neighbours, so that the result doesn't depend on the cuts. Groups without a
     donor search among all groups. The sums and the predictions are checkpointed, so that each input row is read twice.
 
     Defined results: a null or NaN predictor counts as 0 (give its absence as a predictor where it tells something); a
@@ -101,34 +114,40 @@ def fill_by_matching(records: DataFrame, key: list[str], group: Column, predicto
     row; no rows give no rows.
     """
     with_checkpoint_dir(records.sparkSession)
-    k = len(predictors)
-    base = records.select(
-        F.to_json(F.struct(*key)).alias("id"), *[F.col(c).alias(f"key_{c}") for c in key],
-        F.coalesce(group.cast("string"), F.lit("\x00null")).alias("g"), F.col(target).cast(value_type).alias("value"), score.cast("double").alias("y"),
-        *[F.coalesce(F.nanvl(p.cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"x{i}") for i, p in enumerate(predictors)],
-    ).withColumn("y", F.when(F.col("value").isNotNull() & ~F.isnan("y"), F.col("y")))
-    names = [F.col(f"key_{c}").alias(c) for c in key]
-    sums = base.filter("y IS NOT NULL").groupBy("g").agg(*_moments(k)).checkpoint()
-    overall = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if c.startswith("m_")], F.count(F.lit(1)).alias("groups")).first()
-    if not overall["groups"]:
-        return base.select(*names, F.col("value").alias(target), F.lit(False).alias(f"{target}_filled"), F.lit(None).cast("string").alias(f"{target}_donor"))
-    few_groups = overall["groups"] <= BROADCAST_GROUPS
-    whole = _matrix(overall.asDict(), k)
-    betas = sums.mapInPandas(_solver(k, whole / whole[0, 0] * POOLED_ROWS), "g string, beta array<double>")
-    beta = F.coalesce("beta", F.array(*[F.lit(b) for b in _beta(whole)]))
-    prediction = F.aggregate(F.zip_with(beta, F.array(F.lit(1.0), *[F.col(f"x{i}") for i in range(k)]), lambda b, x: b * x), F.lit(0.0), lambda a, b: a + b)
+    k = max(len(t.predictors) for t in targets)
+    number = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    name = F.coalesce(group.cast("string"), F.lit("\x00null"))
+    cells = [
+        F.struct(
+            F.lit(t.name).alias("target"), F.concat(F.lit(f"{t.name}\x01"), name).alias("g"), F.col(t.name).cast(t.value_type).cast("string").alias("value"),
+            F.when(F.col(t.name).isNotNull() & ~F.isnan(t.score.cast("double")), t.score.cast("double")).alias("y"),
+            F.coalesce(t.lacks, F.lit(False)).alias("gap") if t.lacks is not None else F.col(t.name).isNull().alias("gap"),
+            F.array(*[number(p) for p in t.predictors], *[F.lit(0.0)] * (k - len(t.predictors))).alias("xs"),
+        )
+        for t in targets
+    ]
+    carried = [*key, *(carry or [])]
+    base = records.select(F.to_json(F.struct(*key)).alias("id"), F.struct(*carried).alias("record"), F.inline(F.array(*cells)))
+    sums = base.filter("y IS NOT NULL").groupBy("target", "g").agg(*_moments(k)).checkpoint()
+    overall = {r["target"]: r for r in sums.groupBy("target").agg(*[F.sum(c).alias(c) for c in sums.columns if c.startswith("m_")], F.count(F.lit(1)).alias("groups")).collect()}
+    whole = {t: _matrix(r.asDict(), k) for t, r in overall.items()}
+    betas = sums.mapInPandas(_solver(k, {t: m / m[0, 0] * POOLED_ROWS for t, m in whole.items()}), "g string, beta array<double>")
+    few_groups = sum(r["groups"] for r in overall.values()) <= BROADCAST_GROUPS
+    pooled = F.coalesce(*[F.when(F.col("target") == t, F.array(*[F.lit(b) for b in _beta(m)])) for t, m in whole.items()], F.lit(None).cast("array<double>"))
+    prediction = F.aggregate(F.zip_with(F.coalesce("beta", pooled), F.concat(F.array(F.lit(1.0)), "xs"), lambda b, x: b * x), F.lit(0.0), lambda a, b: a + b)
     predicted = (
         base.join(F.broadcast(betas) if few_groups else betas, "g", "left")
-        .withColumn("p", prediction)
-        .select("id", *[f"key_{c}" for c in key], "g", "value", "y", "p", F.col("beta").isNotNull().alias("own"))
+        .select("id", "record", "target", "g", "value", "y", "gap", prediction.alias("p"), F.col("beta").isNotNull().alias("own"))
         .checkpoint()
     )
 
     donors = predicted.filter("y IS NOT NULL").withColumn("donor", F.struct("id", "p", "value"))
-    if not predicted.filter("value IS NULL AND NOT own").isEmpty():
-        donors = donors.withColumn("g", F.explode(F.array("g", F.lit(EVERY))))
+    every = F.concat("target", F.lit(f"\x01{EVERY}"))
+    searching = F.col("gap") & F.col("value").isNull()
+    if not predicted.filter(searching & ~F.col("own")).isEmpty():
+        donors = donors.withColumn("g", F.explode(F.array("g", every)))
     kind = donors.schema["donor"].dataType
-    gaps = predicted.filter("value IS NULL").withColumn("g", F.when(F.col("own"), F.col("g")).otherwise(EVERY)).withColumn("donor", F.lit(None).cast(kind))
+    gaps = predicted.filter(searching).withColumn("g", F.when(F.col("own"), F.col("g")).otherwise(every)).withColumn("donor", F.lit(None).cast(kind))
     searched = _in_pieces(donors.unionByName(gaps).withColumn("h", F.xxhash64("id", F.lit(17))), piece_rows)
     over = "IGNORE NULLS OVER (PARTITION BY g, piece ORDER BY p, h, id)"
     ranks = range(1, NEAREST + 1)
@@ -139,6 +158,12 @@ def fill_by_matching(records: DataFrame, key: list[str], group: Column, predicto
     near = F.concat(side("lag", F.col("before")), side("lead", F.col("after")))
     ranked = F.array_sort(F.transform(near, lambda d: F.struct(F.abs(d["p"] - F.col("p")).alias("far"), F.xxhash64(d["id"], F.col("id")).alias("order"), d["id"].alias("id"), d["value"].alias("value"))))
     picked = gaps.withColumn("ranked", F.slice(ranked, 1, NEAREST)).withColumn("pick", F.when(F.size("ranked") > 0, F.element_at("ranked", (F.pmod(F.xxhash64("id", F.lit(5)), F.size("ranked")) + 1).cast("int"))))
-    filled = picked.select(*names, F.col("pick.value").alias(target), F.col("pick").isNotNull().alias(f"{target}_filled"), F.col("pick.id").alias(f"{target}_donor"))
-    rest = predicted.filter("value IS NOT NULL").select(*names, F.col("value").alias(target), F.lit(False).alias(f"{target}_filled"), F.lit(None).cast("string").alias(f"{target}_donor"))
+    filled = picked.select("record.*", "target", F.col("pick.value").alias("value"), F.col("pick").isNotNull().alias("filled"), F.col("pick.id").alias("donor"))
+    rest = predicted.filter(~searching).select("record.*", "target", "value", F.col("gap").alias("filled"), F.when(F.col("gap"), F.col("id")).alias("donor"))
     return rest.unionByName(filled)
+
+
+def fill_by_matching(records: DataFrame, key: list[str], group: Column, predictors: list[Column], target: str, score: Column, value_type: str = "double", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``key`` and ``target`` with its gaps filled: key, <target>, <target>_filled, <target>_donor. See ``fill_all``."""
+    rows = fill_all(records, key, group, [Target(target, predictors, score, value_type)], piece_rows=piece_rows)
+    return rows.select(*key, F.col("value").cast(value_type).alias(target), F.col("filled").alias(f"{target}_filled"), F.col("donor").alias(f"{target}_donor"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mistrail.operators.matching_fill import fill_by_matching
+from mistrail.operators.matching_fill import Target, fill_all
 from mistrail.sources.tables import table, with_checkpoint_dir
 
 KEY = ["match_id", "net_id"]
@@ -35,44 +35,46 @@ def _shrunk(lasts):
 
 
 def fill_wards(spark: SparkSession, data_dir: str) -> DataFrame:
-    """KEY, t1 and t1_known of every ward, each with its mark and donor.
+    """KEY, t0, t1, target (lasts or t1_known), value, filled, donor: two rows per ward; t1 is as given.
 
-    A field is marked if at least one row of the ward lacks it. If another row of the ward gives it, that row is the
-    donor; else a ward of the same kind with a nearby prediction is.
+    A field is a gap if at least one row of the ward lacks it. If another row of the ward gives it, that row is the
+    donor; else a ward of the same kind with a nearby prediction is. Of t1 it is the time from t0 that is filled.
     """
-    all_wards = wards(with_checkpoint_dir(spark), data_dir).checkpoint()
     group = F.coalesce("kind", F.concat(F.lit("sight "), F.col("sight").cast("string")))
     shared = [F.col("t0") / 100, F.col("left") / 100, F.coalesce(F.col("sight"), F.lit(900.0)) / 1000, F.col("team")]
-    unknown = F.col("t1_known").isNull().cast("double")
-    lasts = fill_by_matching(all_wards, KEY, group, [*shared, F.col("t1_known"), unknown, F.col("t1_known") * F.col("left") / 100], "lasts", _shrunk("lasts"))
+    lasts = Target("lasts", [*shared, F.col("t1_known"), F.col("t1_known").isNull().cast("double"), F.col("t1_known") * F.col("left") / 100], _shrunk("lasts"), lacks=F.col("no_t1"))
     endless = (F.col("lasts") == float("inf")).cast("double")
-    known = fill_by_matching(all_wards, KEY, group, [*shared, _shrunk("lasts"), endless, F.col("lasts").isNull().cast("double")], "t1_known", F.col("t1_known"), "int")
-    own = F.to_json(F.struct(*[F.col(c) for c in KEY]))
-    return (
-        all_wards.select(*KEY, "t0", F.col("t1").alias("given_t1"), "no_t1", "no_known")
-        .join(lasts, KEY)
-        .join(known, KEY)
-        .select(
-            *KEY,
-            F.coalesce("given_t1", F.col("t0") + F.col("lasts")).alias("t1"), F.col("no_t1").alias("t1_filled"), F.when(F.col("no_t1"), F.coalesce("lasts_donor", own)).alias("t1_donor"),
-            "t1_known", F.col("no_known").alias("t1_known_filled"), F.when(F.col("no_known"), F.coalesce("t1_known_donor", own)).alias("t1_known_donor"),
-        )
-    )
+    known = Target("t1_known", [*shared, _shrunk("lasts"), endless, F.col("lasts").isNull().cast("double")], F.col("t1_known"), "int", F.col("no_known"))
+    return fill_all(wards(with_checkpoint_dir(spark), data_dir), KEY, group, [lasts, known], ["t0", "t1"])
 
 
 def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    marks = F.filter(F.array(F.when(F.col("t1_filled"), F.lit("t1")), F.when(F.col("t1_known_filled"), F.lit("t1_known"))), lambda f: f.isNotNull())
-    return fill_wards(spark, data_dir).select(*KEY, F.explode(marks).alias("field"))
+    return fill_wards(spark, data_dir).filter("filled").select(*KEY, F.when(F.col("target") == "lasts", "t1").otherwise("t1_known").alias("field"))
 
 
 def p4_filled(spark: SparkSession, data_dir: str) -> DataFrame:
-    return fill_wards(spark, data_dir)
+    """t1 and t1_known of every ward, each with its mark and donor; without t0, t1 is reckoned from 0."""
+    of = lambda target, c: F.max(F.when(F.col("target") == target, F.col(c)))
+    wide = fill_wards(spark, data_dir).groupBy(*KEY).agg(
+        F.max("t0").alias("t0"), F.max("t1").alias("t1"), of("lasts", "value").cast("double").alias("lasts"), of("lasts", "filled").alias("t1_filled"), of("lasts", "donor").alias("t1_donor"),
+        of("t1_known", "value").cast("int").alias("t1_known"), of("t1_known", "filled").alias("t1_known_filled"), of("t1_known", "donor").alias("t1_known_donor"),
+    )
+    return wide.select(*KEY, F.coalesce("t1", F.coalesce("t0", F.lit(0.0)) + F.col("lasts")).alias("t1"), "t1_filled", "t1_donor", "t1_known", "t1_known_filled", "t1_known_donor")
+
+
+def p4_marks(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Of every ward which fields are filled, whether both have a value now, and whether just the filled ones have a donor."""
+    donors = (F.col("t1_filled") == F.col("t1_donor").isNotNull()) & (F.col("t1_known_filled") == F.col("t1_known_donor").isNotNull())
+    return p4_filled(spark, data_dir).select(*KEY, "t1_filled", "t1_known_filled", (F.col("t1").isNotNull() & F.col("t1_known").isin(0, 1)).alias("complete"), donors.alias("donors"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_filled": p4_filled}
+QUERIES = {"p4_found": p4_found, "p4_filled": p4_filled, "p4_marks": p4_marks}
 SQL = {
     "p4_found": """
 SELECT DISTINCT match_id, net_id, 't1' AS field FROM ward_event WHERE t1 IS NULL OR isnan(t1) OR t1 <= t0
 UNION ALL
 SELECT DISTINCT match_id, net_id, 't1_known' FROM ward_event WHERE t1_known IS NULL OR t1_known NOT IN (0, 1)""",
+    "p4_marks": """
+SELECT match_id, net_id, bool_or(t1 IS NULL OR isnan(t1) OR t1 <= t0) AS t1_filled, bool_or(t1_known IS NULL OR t1_known NOT IN (0, 1)) AS t1_known_filled, true AS complete, true AS donors
+FROM ward_event GROUP BY match_id, net_id""",
 }

@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from mistrail.operators.matching_fill import fill_by_matching
+from mistrail.operators.matching_fill import Target, fill_all, fill_by_matching
+from mistrail.plans.ward_fill import p4_filled, wards
 
 SCHEMA = "id long, kind string, a double, value double, g string, p double"
 
@@ -59,3 +60,28 @@ def test_every_donor_counts_and_cuts_change_nothing(spark):
     assert all(abs(a[int(v)] - a[i]) <= sorted(abs(k - a[i]) for k in known)[4] + 1e-9 for i, (v, _) in got.items())
     # About 200 gaps lie at 0.5, as 1,800 donors do: many of them are chosen.
     assert len({v for i, (v, _) in got.items() if a[i] == 0.5}) > 100
+
+
+def test_wards_held_out(spark, tmp_path):
+    """A tenth of the known ends is taken away: the filled ones are nearer to the truth than the kind's median is."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/ward_event.parquet")
+    out = F.pmod(F.xxhash64("match_id", "net_id", F.lit(3)), F.lit(10)) == 0
+    truth = {(r.match_id, r.net_id): r for r in wards(spark, "/root/testdata/sf0.01").filter(out & F.col("lasts").isNotNull() & ~F.col("no_t1")).collect()}
+    held = rows.withColumn("t1", F.when(~out, F.col("t1")))
+    held.write.parquet(str(tmp_path / "ward_event.parquet"))
+    spark.read.parquet("/root/testdata/sf0.01/matches.parquet").write.parquet(str(tmp_path / "matches.parquet"))
+    got = {(r.match_id, r.net_id): r for r in p4_filled(spark, str(tmp_path)).collect()}
+    known = [r for r in wards(spark, str(tmp_path)).collect() if r.lasts is not None and r.lasts != math.inf]
+    median = {kind: sorted(r.lasts for r in known if r.kind == kind) for kind in {r.kind for r in known}}
+    ends = [(k, r) for k, r in truth.items() if r.lasts != math.inf and got[k].t1 != math.inf and r.kind in median]
+    assert len(ends) > 20 and all(got[k].t1_filled and got[k].t1_donor for k in truth)
+    error = sum(abs(got[k].t1 - r.t1) for k, r in ends) / len(ends)
+    plain = sum(abs(r.t0 + median[r.kind][len(median[r.kind]) // 2] - r.t1) for _, r in ends) / len(ends)
+    assert error < 0.8 * plain
+    assert sum((got[k].t1 == math.inf) == (r.lasts == math.inf) for k, r in truth.items()) > 0.9 * len(truth)
+
+
+def test_an_observed_value_of_the_same_record_comes_first(spark):
+    df = spark.createDataFrame([(1, "u", 1.0, 5.0, True), (2, "u", 1.0, 7.0, False), (3, "u", 1.0, None, True), (4, "u", 1.0, None, False)], "id long, kind string, a double, value double, lacks boolean")
+    got = {r.id: (r.value, r.filled, r.donor) for r in fill_all(df, ["id"], F.col("kind"), [Target("value", [F.col("a")], F.col("value"), lacks=F.col("lacks"))]).collect()}
+    assert got[1] == ("5.0", True, '{"id":1}') and got[2] == ("7.0", False, None) and got[3][1] and got[3][0] in ("5.0", "7.0") and got[4] == (None, False, None)
