@@ -58,14 +58,16 @@ def _reckon(events: pd.DataFrame, n_ticks: int) -> list[tuple[int, float, float]
         if kind == SPEED:
             speed = value
         elif kind == ANCHOR:
-            path = _join(x, z, [place, *path]) if place and path and math.dist(place, (x, z)) <= SNAP else []
-            place = (x, z)
+            # An observation that disagrees with the path means that the path was wrong: it is dropped.
+            place, path = (x, z), []
         elif kind == ORDER and len(way):
             points = [(p["x"], p["z"]) for p in way]
             if place is None or math.dist(place, points[0]) <= SNAP:
                 place, path = points[0], points[1:]
+            elif len(points) > 1:
+                place, *path = _join(*place, points)
             else:
-                path = _join(*place, points)
+                path = []
         elif kind == DOWN:
             place, path = None, []
     return out
@@ -76,8 +78,8 @@ def trajectories(events: DataFrame, ticks: DataFrame) -> DataFrame:
 
     ``events``: match_id, slot, t, kind, value (speeds), x, z (anchors), path (orders); ``ticks``: match_id, n_ticks. A
     group is a hero in a match, with rows in proportion to the match's length; its events are followed in order of time,
-    speeds before anchors before orders before downs. An anchor sets the position, an order the way ahead: one that starts
-    within SNAP is taken up at its start, any other at its nearest point.
+    speeds before anchors before orders before downs. An anchor sets the position and ends the way ahead, an order sets the
+    way: one that starts within SNAP is taken up at its start, any other at its nearest point.
 
     Defined results: events without time, kind or (where their kind needs it) value are left out; matches without
     n_ticks give nothing; before the first anchor or order and after a down there is no position.

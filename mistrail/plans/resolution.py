@@ -14,11 +14,18 @@ from mistrail.plans.packet_log import _ATTACKS, _WAYPOINTS, attribute_sql, attri
 from mistrail.sources.tables import table
 
 QUERIES, SQL = {}, {}
-#: Seconds beyond its first and last anchor for which a slot's skeleton still counts, farthest order start.
-REACH_S, GATE = 2.0, 3000.0
+#: Seconds beyond its first and last anchor for which a slot's skeleton still counts.
+REACH_S = 2.0
+#: How far an order may start from the skeleton: so much, more per second between the two anchors around it (of so many
+#: seconds at most), and at most.
+GATE, GATE_PER_S, GATE_S, FARTHEST = 400.0, 200.0, 30.0, 3000.0
 #: Health at or below which a hero counts as down, seconds in which a further packet tells of the same event, and seconds
-#: before it in which attacks are looked at. The reference data has no zero health, hence the level.
-LOW_HEALTH, SAME_EVENT_S, ATTACK_S = 1935.0, 3.0, 30.0
+#: before it in which attacks are looked at. The given tables hold no zero health, so there are no downs in them.
+LOW_HEALTH, SAME_EVENT_S, ATTACK_S = 0.0, 3.0, 5.0
+#: Attacks between two heroes that count as evidence, and the share of attacks that a split must cut to be trusted.
+LEAST_ATTACKS, LEAST_CUT = 3, 0.9
+#: Seconds of the match in which roles are read from positions.
+LANING_S = (90, 600)
 
 
 def query(sql: str | None = None):
@@ -68,28 +75,50 @@ def d3_order_heading(spark, data_dir):
 
 
 def order_costs(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(match_id, line_id, event_no, t, slot, cost): distance of each order's first point from each hero at that tick."""
-    starts = waypoints(spark, data_dir).filter("point_no = 0 AND t IS NOT NULL").select("match_id", "line_id", "event_no", "t", F.floor("t").cast("int").alias("tick"), F.col("x").alias("sx"), F.col("z").alias("sz"))
-    heroes = base.positions(spark, data_dir)
-    return starts.join(heroes, ["match_id", "tick"]).withColumn("cost", distance(F.col("x"), F.col("z"), F.col("sx"), F.col("sz"))).filter(F.col("cost") <= GATE).select("match_id", "line_id", "event_no", "t", "slot", "cost")
-
-
-_COSTS = _WAYPOINTS + f""", {base.POSITIONS}, costs AS (SELECT w.match_id, w.line_id, w.event_no, w.t, p.slot, sqrt((p.x - w.x) * (p.x - w.x) + (p.z - w.z) * (p.z - w.z)) AS cost
- FROM waypoints w JOIN positions p ON w.match_id = p.match_id AND CAST(floor(w.t) AS INT) = p.tick WHERE w.point_no = 0)"""
-
-
-@query(_COSTS + """, r AS (SELECT *, row_number() OVER (PARTITION BY match_id, line_id, event_no ORDER BY cost, slot) AS rn FROM costs WHERE cost <= 3000)
-SELECT match_id, line_id, event_no, CAST(max(CASE WHEN rn = 1 THEN slot END) AS INT) AS slot, round(max(CASE WHEN rn = 1 THEN cost END), 4) AS cost, round(max(CASE WHEN rn = 2 THEN cost END) - max(CASE WHEN rn = 1 THEN cost END), 4) AS margin
+    """(match_id, line_id, event_no, t, slot, cost): distance of each order's first point from the skeleton of each hero of
+    the match at that time, where that is within the gate and the skeleton's reach."""
+    starts = waypoints(spark, data_dir).filter("point_no = 0 AND t IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL").select("match_id", "line_id", "event_no", "t", F.col("x").alias("sx"), F.col("z").alias("sz"))
+    pairs = starts.join(base.roster(spark, data_dir).select("match_id", "slot"), "match_id")
+    order = Window.partitionBy("match_id", "slot").orderBy("t")
+    anchors = base.anchors(spark, data_dir).select("match_id", "slot", "t", "x", "z", F.coalesce(F.lead("t").over(order) - F.col("t"), F.col("t") - F.lag("t").over(order)).alias("gap"))
+    back = as_of(pairs, anchors, ["match_id", "slot"], "t", "t", {"t": "t0", "x": "x0", "z": "z0", "gap": "gap0"})
+    both = as_of(back, anchors, ["match_id", "slot"], "t", "t", {"t": "t1", "x": "x1", "z": "z1", "gap": "gap1"}, forward=True)
+    at = lambda c: F.when(F.col("t0").isNull(), F.col(c + "1")).when(F.col("t1").isNull() | (F.col("t1") == F.col("t0")), F.col(c + "0")).otherwise(F.col(c + "0") + (F.col(c + "1") - F.col(c + "0")) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")))
+    inside = F.when(F.col("t0").isNull(), F.col("t1") - F.col("t") <= REACH_S).otherwise(F.col("t1").isNotNull() | (F.col("t") - F.col("t0") <= REACH_S))
+    gap = F.coalesce(F.when(F.col("t0").isNull(), F.col("gap1")).otherwise(F.col("gap0")), F.lit(GATE_S))
+    gate = F.least(F.lit(FARTHEST), GATE + GATE_PER_S * F.least(gap, F.lit(GATE_S)))
+    costs = both.filter(inside).withColumn("cost", distance(at("x"), at("z"), F.col("sx"), F.col("sz"))).filter(F.col("cost") <= gate)
+    return costs.select("match_id", "line_id", "event_no", "t", "slot", "cost")
+
+
+_COSTS = _WAYPOINTS + f""", {base.ROSTER}, {base.ANCHORS}, gaps AS (SELECT match_id, slot, t, x, z, coalesce(lead(t) OVER w - t, t - lag(t) OVER w) AS gap FROM anchors WINDOW w AS (PARTITION BY match_id, slot ORDER BY t)),
+pairs0 AS (SELECT w.match_id, w.line_id, w.event_no, w.t, r.slot, w.x AS sx, w.z AS sz FROM waypoints w JOIN roster r ON w.match_id = r.match_id WHERE w.point_no = 0 AND w.t IS NOT NULL AND w.x IS NOT NULL AND w.z IS NOT NULL),
+back AS (SELECT p.*, a.t AS t0, a.x AS x0, a.z AS z0, a.gap AS gap0 FROM pairs0 p ASOF LEFT JOIN gaps a ON p.match_id = a.match_id AND p.slot = a.slot AND p.t >= a.t),
+ahead AS (SELECT b.*, a.t AS t1, a.x AS x1, a.z AS z1, a.gap AS gap1 FROM back b ASOF LEFT JOIN gaps a ON b.match_id = a.match_id AND b.slot = a.slot AND b.t <= a.t),
+placed0 AS (SELECT *, CASE WHEN t0 IS NULL THEN x1 WHEN t1 IS NULL OR t1 = t0 THEN x0 ELSE x0 + (x1 - x0) * (t - t0) / (t1 - t0) END AS x,
+ CASE WHEN t0 IS NULL THEN z1 WHEN t1 IS NULL OR t1 = t0 THEN z0 ELSE z0 + (z1 - z0) * (t - t0) / (t1 - t0) END AS z,
+ least({FARTHEST}, {GATE} + {GATE_PER_S} * least(coalesce(CASE WHEN t0 IS NULL THEN gap1 ELSE gap0 END, {GATE_S}), {GATE_S})) AS gate FROM ahead
+ WHERE CASE WHEN t0 IS NULL THEN t1 - t <= {REACH_S} ELSE t1 IS NOT NULL OR t - t0 <= {REACH_S} END),
+costs AS (SELECT match_id, line_id, event_no, t, slot, sqrt((x - sx) * (x - sx) + (z - sz) * (z - sz)) AS cost FROM placed0 WHERE sqrt((x - sx) * (x - sx) + (z - sz) * (z - sz)) <= gate)"""
+
+
+@query(_COSTS + """, r AS (SELECT *, row_number() OVER (PARTITION BY match_id, line_id, event_no ORDER BY cost, slot) AS rn FROM costs)
+SELECT match_id, line_id, event_no, CAST(max(CASE WHEN rn = 1 THEN slot END) AS INT) AS slot, round(max(CASE WHEN rn = 1 THEN cost END), 4) AS cost,
+ coalesce(round(max(CASE WHEN rn = 2 THEN cost END) - max(CASE WHEN rn = 1 THEN cost END), 4), CAST('Infinity' AS DOUBLE)) AS margin
 FROM r WHERE rn <= 2 GROUP BY match_id, line_id, event_no""")
 def d5_order_owner_margin(spark, data_dir):
-    """The nearest hero to the start of each order, and by how much it is nearer than the next (null if there is none)."""
+    """The hero whose skeleton is nearest to the start of each order, and by how much it is nearer than the next (infinite if there is none)."""
     best = Window.partitionBy("match_id", "line_id", "event_no").orderBy("cost", "slot")
     two = order_costs(spark, data_dir).withColumn("rn", F.row_number().over(best)).filter("rn <= 2")
     first = F.max(F.when(F.col("rn") == 1, F.col("cost")))
-    return two.groupBy("match_id", "line_id", "event_no").agg(F.max(F.when(F.col("rn") == 1, F.col("slot"))).alias("slot"), F.round(first, 4).alias("cost"), F.round(F.max(F.when(F.col("rn") == 2, F.col("cost"))) - first, 4).alias("margin"))
+    margin = F.coalesce(F.round(F.max(F.when(F.col("rn") == 2, F.col("cost"))) - first, 4), F.lit(float("inf")))
+    return two.groupBy("match_id", "line_id", "event_no").agg(F.max(F.when(F.col("rn") == 1, F.col("slot"))).alias("slot"), F.round(first, 4).alias("cost"), margin.alias("margin"))
 
 
-@query()
+@query(_COSTS + """, instants AS (SELECT match_id, t, list_sort(list(struct_pack(cost := cost, line_id := line_id, event_no := event_no, slot := slot))) AS ps FROM costs GROUP BY match_id, t),
+folded AS (SELECT match_id, t, list_reduce(list_transform(ps, lambda p: [p]), lambda kept, p: CASE WHEN len(list_filter(kept, lambda k: (k.line_id = p[1].line_id AND k.event_no = p[1].event_no) OR k.slot = p[1].slot)) > 0 THEN kept ELSE list_append(kept, p[1]) END) AS kept FROM instants),
+flat AS (SELECT match_id, t, unnest(kept) AS k FROM folded)
+SELECT match_id, k.line_id AS line_id, k.event_no AS event_no, t, k.slot AS slot, round(k.cost, 4) AS cost FROM flat""")
 def d6_joint_owners(spark, data_dir):
     """Owners of orders, one hero for each of the orders of one instant: the cheapest pairs first.
 
@@ -130,31 +159,41 @@ def d12_attribution_rate(spark, data_dir):
 
 
 def pair_weights(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(match_id, a, b, n) with a < b: attacks between two heroes, in either direction."""
+    """(match_id, a, b, n) with a < b: attacks between two heroes, in either direction, LEAST_ATTACKS of them or more."""
     attacks = hero_attacks(spark, data_dir).filter("source <> target")
-    return attacks.groupBy("match_id", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return attacks.groupBy("match_id", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ATTACKS)
 
 
-_PAIRS = _ATTACKS + ", pairs AS (SELECT match_id, least(source, target) AS a, greatest(source, target) AS b, count(*) AS n FROM attacks WHERE source <> target GROUP BY ALL)"
+_PAIRS = _ATTACKS + f", pairs AS (SELECT match_id, least(source, target) AS a, greatest(source, target) AS b, count(*) AS n FROM attacks WHERE source <> target GROUP BY ALL HAVING count(*) >= {LEAST_ATTACKS})"
+_CUTS = _PAIRS + """, sides AS (SELECT match_id, CAST(bit_or(CAST(1 AS BIGINT) << slot) AS BIGINT) AS every, min(slot) AS low FROM roster GROUP BY match_id),
+cuts AS (SELECT p.match_id, m.m, sum(CASE WHEN ((m >> a) & 1) <> ((m >> b) & 1) THEN n ELSE 0 END) AS cut, sum(n) AS total
+ FROM pairs p JOIN sides s ON p.match_id = s.match_id JOIN range(1, 1024) m(m) ON (m & s.every) = m AND 2 * bit_count(m) = bit_count(s.every) AND ((m >> s.low) & 1) = 1 GROUP BY p.match_id, m.m),
+top AS (SELECT *, max(cut) OVER (PARTITION BY match_id) AS most FROM cuts),
+splits AS (SELECT match_id, CAST(min(m) AS BIGINT) AS mask, CAST(max(cut) AS BIGINT) AS cut, CAST(max(total) AS BIGINT) AS total, count(*) = 1 AS resolved FROM top WHERE cut = most GROUP BY match_id)"""
 
 
-@query(_PAIRS + """, masks AS (SELECT m FROM range(1, 1024, 2) r(m) WHERE bit_count(m) = 5), cuts AS (
-SELECT match_id, m, sum(CASE WHEN ((m >> a) & 1) <> ((m >> b) & 1) THEN n ELSE 0 END) AS cut, sum(n) AS total FROM pairs, masks GROUP BY match_id, m),
-best AS (SELECT *, max(cut) OVER (PARTITION BY match_id) AS top FROM cuts)
-SELECT match_id, CAST(min(m) AS BIGINT) AS mask, CAST(max(cut) AS BIGINT) AS cut, CAST(max(total) AS BIGINT) AS total, count(*) = 1 AS resolved FROM best WHERE cut = top GROUP BY match_id""")
-def d13_max_cut(spark, data_dir):
-    """The split of ten heroes into two fives that cuts most attacks; unresolved if several do.
+def max_cuts(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(match_id, mask, cut, total, resolved): the even split of a match's heroes that cuts most attacks.
 
-    Each pair of heroes is spread over the 126 splits with slot 0 on the first side; sums combine on the map side.
+    Each pair of heroes is spread over the splits with the first slot on the first side (126 for ten heroes); sums combine
+    on the map side. A match with an odd number of heroes has none; several best ones leave it unresolved.
     """
-    masks = F.array(*[F.lit(m) for m in range(1, 1024, 2) if m.bit_count() == 5])
-    spread = pair_weights(spark, data_dir).withColumn("mask", F.explode(masks.cast("array<bigint>")))
+    sides = base.roster(spark, data_dir).groupBy("match_id").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("every"), F.min("slot").alias("low"))
+    fits = lambda m: ((m.bitwiseAND(F.col("every")) == m) & (2 * F.bit_count(m) == F.bit_count("every")) & (F.getbit(m, F.col("low")) == 1))
+    splits = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(1023).cast("long")), fits)
+    spread = pair_weights(spark, data_dir).join(sides.select("match_id", splits.alias("masks")), "match_id").select("match_id", "a", "b", "n", F.explode("masks").alias("mask"))
     apart = F.getbit("mask", F.col("a")) != F.getbit("mask", F.col("b"))
     cuts = spread.groupBy("match_id", "mask").agg(F.sum(F.when(apart, F.col("n")).otherwise(0)).alias("cut"), F.sum("n").alias("total"))
     best = cuts.withColumn("top", F.max("cut").over(Window.partitionBy("match_id"))).filter("cut = top")
     return best.groupBy("match_id").agg(F.min("mask").alias("mask"), F.max("cut").alias("cut"), F.max("total").alias("total"), (F.count(F.lit(1)) == 1).alias("resolved"))
 
 
+@query(_CUTS + " SELECT match_id, mask, cut, total, round(cut / total, 6) AS share, resolved FROM splits")
+def d13_max_cut(spark, data_dir):
+    """The split of a match's heroes into two halves that cuts most attacks; unresolved if several do."""
+    return max_cuts(spark, data_dir).select("match_id", "mask", "cut", "total", F.round(F.col("cut") / F.col("total"), 6).alias("share"), "resolved")
+
+
 (_AX, _AZ), (_BX, _BZ) = world(FOUNTAINS[0]), world(FOUNTAINS[1])
 _LEAN = f"""{base.ANCHORS}, early AS (SELECT * FROM anchors QUALIFY row_number() OVER (PARTITION BY match_id, slot ORDER BY t) <= 5),
 mids AS (SELECT match_id, slot, quantile_cont(x, 0.5) AS x, quantile_cont(z, 0.5) AS z FROM early GROUP BY match_id, slot),
@@ -175,9 +214,31 @@ def d14_geometric_lean(spark, data_dir):
     return leans(spark, data_dir).select("match_id", "slot", F.round("lean", 4).alias("lean"))
 
 
+@query(_CUTS + f""", {_LEAN}, h AS (SELECT r.match_id, r.slot, l.lean, s.mask, s.resolved AND s.cut >= {LEAST_CUT} * s.total AS by_cut FROM roster r LEFT JOIN leans l ON r.match_id = l.match_id AND r.slot = l.slot LEFT JOIN splits s ON r.match_id = s.match_id),
+k AS (SELECT *, CASE WHEN by_cut THEN CAST((mask >> slot) & 1 AS INT) END AS side, count(*) OVER w AS n, count(lean) OVER w AS n_lean, row_number() OVER (PARTITION BY match_id ORDER BY lean DESC NULLS LAST, slot) AS place FROM h WINDOW w AS (PARTITION BY match_id)),
+o AS (SELECT *, coalesce(avg(CASE WHEN side = 1 THEN lean END) OVER w < avg(CASE WHEN side = 0 THEN lean END) OVER w, false) AS turned FROM k WINDOW w AS (PARTITION BY match_id))
+SELECT match_id, slot, CAST(CASE WHEN side IS NOT NULL THEN CASE WHEN (side = 1) <> turned THEN 0 ELSE 1 END WHEN n_lean = n AND n % 2 = 0 THEN CASE WHEN 2 * place <= n THEN 0 ELSE 1 END
+ WHEN lean IS NULL THEN -1 WHEN lean > 0 THEN 0 ELSE 1 END AS INT) AS team,
+ CASE WHEN side IS NOT NULL THEN 'cut' WHEN n_lean = n AND n % 2 = 0 THEN 'rank' WHEN n_lean > 0 THEN 'sign' ELSE 'none' END AS method FROM o""")
+def d15_teams(spark, data_dir):
+    """Teams of the heroes: the two sides of a best split that cuts nearly all attacks, turned so that team 0 is the side
+    that leans more to team 0's fountain; else the half that leans most to it, or, where a hero has no lean, its sign."""
+    split = max_cuts(spark, data_dir).select("match_id", "mask", (F.col("resolved") & (F.col("cut") >= LEAST_CUT * F.col("total"))).alias("by_cut"))
+    h = base.roster(spark, data_dir).select("match_id", "slot").join(leans(spark, data_dir), ["match_id", "slot"], "left").join(split, "match_id", "left")
+    match = Window.partitionBy("match_id")
+    h = h.withColumn("side", F.when(F.col("by_cut"), F.getbit("mask", F.col("slot")).cast("int"))).withColumn("n", F.count(F.lit(1)).over(match)).withColumn("n_lean", F.count("lean").over(match))
+    h = h.withColumn("place", F.row_number().over(match.orderBy(F.desc_nulls_last("lean"), "slot")))
+    mean = lambda side: F.avg(F.when(F.col("side") == side, F.col("lean"))).over(match)
+    h = h.withColumn("turned", F.coalesce(mean(1) < mean(0), F.lit(False)))
+    ranked = (F.col("n_lean") == F.col("n")) & (F.col("n") % 2 == 0)
+    team = F.when(F.col("side").isNotNull(), F.when((F.col("side") == 1) != F.col("turned"), 0).otherwise(1)).when(ranked, F.when(2 * F.col("place") <= F.col("n"), 0).otherwise(1)).when(F.col("lean").isNull(), -1).when(F.col("lean") > 0, 0).otherwise(1)
+    method = F.when(F.col("side").isNotNull(), "cut").when(ranked, "rank").when(F.col("n_lean") > 0, "sign").otherwise("none")
+    return h.select("match_id", "slot", team.alias("team"), method.alias("method"))
+
+
 @query(f"WITH {_LEAN}, r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY lean DESC, slot) AS place, count(*) OVER (PARTITION BY match_id) AS n FROM leans) SELECT match_id, slot, CAST(CASE WHEN 2 * place <= n THEN 0 ELSE 1 END AS INT) AS team FROM r")
 def d15_teams_by_lean(spark, data_dir):
-    """The half of a match's heroes that lean most to team 0's side is team 0."""
+    """The half of a match's heroes that lean most to team 0's side is team 0: the fallback of d15_teams by itself."""
     ranked = leans(spark, data_dir).withColumn("place", F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("lean"), "slot"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("match_id")))
     return ranked.select("match_id", "slot", F.when(2 * F.col("place") <= F.col("n"), 0).otherwise(1).alias("team"))
 
@@ -237,14 +298,14 @@ def d19_back_again(spark, data_dir):
 
 #: Greatest distance from a lane's line at which a hero is on it.
 ON_LANE = 1400.0
-_LANE_SHARE = f"""{base.POSITIONS}, lanes AS (SELECT match_id, slot, {lane_distance_sql('top')} AS dt, {lane_distance_sql('mid')} AS dm, {lane_distance_sql('bot')} AS db FROM positions),
+_LANE_SHARE = f"""{base.POSITIONS}, lanes AS (SELECT match_id, slot, {lane_distance_sql('top')} AS dt, {lane_distance_sql('mid')} AS dm, {lane_distance_sql('bot')} AS db FROM positions WHERE tick >= {LANING_S[0]} AND tick < {LANING_S[1]}),
 spots AS (SELECT match_id, slot, CASE WHEN least(dt, dm, db) > {ON_LANE} THEN 'jungle' WHEN dt <= dm AND dt <= db THEN 'top' WHEN dm <= db THEN 'mid' ELSE 'bot' END AS spot FROM lanes),
 shares AS (SELECT match_id, slot, spot, count(*) AS n_ticks, count(*) / sum(count(*)) OVER (PARTITION BY match_id, slot) AS share FROM spots GROUP BY match_id, slot, spot)"""
 
 
 def lane_shares(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(match_id, slot, spot, n_ticks, share): where each hero spent its ticks; off all lanes is the jungle."""
-    p = base.positions(spark, data_dir)
+    """(match_id, slot, spot, n_ticks, share): where each hero spent its ticks of LANING_S; off all lanes is the jungle."""
+    p = base.positions(spark, data_dir).filter((F.col("tick") >= LANING_S[0]) & (F.col("tick") < LANING_S[1]))
     far = {lane: lane_distance(F.col("x"), F.col("z"), lane) for lane in LANES}
     d = p.select("match_id", "slot", *[far[k].alias(k) for k in far])
     spot = F.when(F.least(*far) > ON_LANE, "jungle").when((F.col("top") <= F.col("mid")) & (F.col("top") <= F.col("bot")), "top").when(F.col("mid") <= F.col("bot"), "mid").otherwise("bot")
@@ -254,7 +315,7 @@ def lane_shares(spark: SparkSession, data_dir: str) -> DataFrame:
 
 @query(f"WITH {_LANE_SHARE} SELECT match_id, slot, spot, n_ticks, round(share, 6) AS share FROM shares")
 def d20_lane_occupancy(spark, data_dir):
-    """Share of its ticks that each hero spent on each lane or in the jungle."""
+    """Share of its ticks of the laning phase that each hero spent on each lane or in the jungle."""
     return lane_shares(spark, data_dir).withColumn("share", F.round("share", 6))
 
 
