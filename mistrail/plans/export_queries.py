@@ -13,11 +13,13 @@ from mistrail.operators.mixture import mixtures
 from mistrail.operators.time_joins import within_intervals
 from mistrail.plans import base
 from mistrail.plans.resolution import _DOWNS, downs
-from mistrail.plans.vision import _TICKS
+from mistrail.plans.vision import _STREAM, _TICKS, all_sources, mask_areas, team_masks
+from mistrail.plans.vision import SIDE as GRID_SIDE
 from mistrail.sources.tables import table
 
 QUERIES, SQL = {}, {}
 SIDE = base.MAP_SIDE
+GRID_CELLS = GRID_SIDE * GRID_SIDE
 #: Cells per side of the raster of a mixture.
 RASTER = 16
 #: Seconds before a hero goes down that its visibility is judged by, and the shares that make it predictable or not.
@@ -92,18 +94,36 @@ def k7_mixture_fit(spark, data_dir):
     return seen.join(raster, ["match_id", "team", "bin"]).groupBy("match_id", "team").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))), 5).alias("kl"))
 
 
-@query(f"WITH {_TICKS} SELECT match_id, tick, count(*) FILTER (WHERE team = 0 AND visible = 1) AS visible_0, count(*) FILTER (WHERE team = 1 AND visible = 1) AS visible_1, count(*) FILTER (WHERE team = 0) - count(*) FILTER (WHERE team = 0 AND visible = 1) AS hidden_0, count(*) FILTER (WHERE team = 1) - count(*) FILTER (WHERE team = 1 AND visible = 1) AS hidden_1 FROM visible_ticks WHERE tick % 10 = 0 GROUP BY match_id, tick")
+_SEEN_SQL = _STREAM.replace("WITH ", "", 1) + f", {base.FOG}, {base.TRANSITIONS}, {base.TICKS}"
+
+
+@query("WITH " + _SEEN_SQL + f""", a AS (SELECT match_id, tick, team, sum(bit_count(coalesce(low, 0)) + bit_count(coalesce(high, 0))) AS n_cells FROM masks GROUP BY match_id, tick, team),
+v AS (SELECT match_id, tick, count(*) FILTER (WHERE team = 0 AND visible = 1) AS visible_0, count(*) FILTER (WHERE team = 1 AND visible = 1) AS visible_1, count(*) FILTER (WHERE team = 0 AND visible = 0) AS hidden_0, count(*) FILTER (WHERE team = 1 AND visible = 0) AS hidden_1 FROM visible_ticks GROUP BY match_id, tick)
+SELECT v.match_id, v.tick, visible_0, visible_1, hidden_0, hidden_1, round(coalesce(a.n_cells, 0) / {GRID_CELLS}, 6) AS mask_area_0, round(coalesce(b.n_cells, 0) / {GRID_CELLS}, 6) AS mask_area_1 FROM v
+LEFT JOIN a ON v.match_id = a.match_id AND v.tick = a.tick AND a.team = 0 LEFT JOIN a b ON v.match_id = b.match_id AND v.tick = b.tick AND b.team = 1""")
 def k6_tick_scalars(spark, data_dir):
-    """Visible and hidden heroes of each team, every ten ticks."""
-    t = base.visible_ticks(spark, data_dir).filter("tick % 10 = 0")
+    """Visible and hidden heroes of each team and the share of the map that each team sees, at every tick. The scalars that
+    come from beliefs are in k6_belief_scalars."""
     n = lambda team, visible, name: F.count_if((F.col("team") == team) & (F.col("visible") == visible)).alias(name)
-    return t.groupBy("match_id", "tick").agg(n(0, 1, "visible_0"), n(1, 1, "visible_1"), n(0, 0, "hidden_0"), n(1, 0, "hidden_1"))
+    counts = base.visible_ticks(spark, data_dir).groupBy("match_id", "tick").agg(n(0, 1, "visible_0"), n(1, 1, "visible_1"), n(0, 0, "hidden_0"), n(1, 0, "hidden_1"))
+    of = lambda team: F.round(F.coalesce(F.max(F.when(F.col("team") == team, F.col("n_cells"))), F.lit(0)) / GRID_CELLS, 6).alias(f"mask_area_{team}")
+    areas = mask_areas(team_masks(all_sources(spark, data_dir))).groupBy("match_id", "tick").agg(of(0), of(1))
+    return counts.join(areas, ["match_id", "tick"], "left").na.fill(0.0, ["mask_area_0", "mask_area_1"])
+
+
+#: Positions and beliefs are exported at 8 a second where the clock has 8 ticks a second, here so many ticks apart.
+POSITION_STRIDE = 1
+
+
+def decimated(rows: DataFrame, stride: int) -> DataFrame:
+    """The rows of every ``stride``-th tick."""
+    return rows.filter(F.col("tick") % stride == 0) if stride > 1 else rows
 
 
-@query(f"WITH {base.POSITIONS} SELECT match_id, slot, tick, round(x, 2) AS x, round(z, 2) AS z FROM positions WHERE tick % 4 = 0")
+@query(f"WITH {base.POSITIONS} SELECT match_id, slot, tick, round(x, 2) AS x, round(z, 2) AS z FROM positions")
 def k8_decimated_positions(spark, data_dir):
-    """Every fourth position."""
-    return base.positions(spark, data_dir).filter("tick % 4 = 0").select("match_id", "slot", "tick", F.round("x", 2).alias("x"), F.round("z", 2).alias("z"))
+    """Positions at the rate of the export, which is that of the table: one a tick."""
+    return decimated(base.positions(spark, data_dir), POSITION_STRIDE).select("match_id", "slot", "tick", F.round("x", 2).alias("x"), F.round("z", 2).alias("z"))
 
 
 @query(f"WITH {base.WARDS} SELECT w.match_id, net_id, kind, team, round(x, 2) AS x, round(z, 2) AS z, round(t0, 3) AS t0, round(least(t1, m.duration), 3) AS t1 FROM wards w JOIN matches m ON w.match_id = m.match_id")
@@ -113,27 +133,31 @@ def k9_ward_export(spark, data_dir):
     return joined.select("match_id", "net_id", "kind", "team", F.round("x", 2).alias("x"), F.round("z", 2).alias("z"), F.round("t0", 3).alias("t0"), F.round(F.least("t1", "duration"), 3).alias("t1"))
 
 
-_YIELD = f"""{base.ROSTER}, {base.POSITIONS}, {base.WARDS}, h AS (SELECT p.*, r.team FROM positions p JOIN roster r ON p.match_id = r.match_id AND p.slot = r.slot WHERE r.team IS NOT NULL AND p.tick % 2 = 0),
-c AS (SELECT w.match_id, w.net_id, w.team, h.tick, h.slot, h.x, h.z FROM wards w JOIN h ON w.match_id = h.match_id AND h.team = 1 - w.team AND h.tick BETWEEN w.t0 AND w.t1 WHERE w.team >= 0 AND (w.x - h.x) * (w.x - h.x) + (w.z - h.z) * (w.z - h.z) <= w.sight * w.sight),
+_YIELD = f"""{_TICKS}, {base.POSITIONS}, {base.WARDS}, h AS (SELECT p.*, r.team, v.visible FROM positions p JOIN roster r ON p.match_id = r.match_id AND p.slot = r.slot JOIN visible_ticks v ON p.match_id = v.match_id AND p.slot = v.slot AND p.tick = v.tick WHERE r.team IS NOT NULL),
+c AS (SELECT w.match_id, w.net_id, w.team, h.tick, h.slot, h.x, h.z FROM wards w JOIN h ON w.match_id = h.match_id AND h.team = 1 - w.team AND h.tick BETWEEN floor(w.t0 + 0.5) AND floor(least(w.t1, 1e9) + 0.5) AND h.visible = 1 WHERE w.team >= 0 AND (w.x - h.x) * (w.x - h.x) + (w.z - h.z) * (w.z - h.z) <= w.sight * w.sight),
 a AS (SELECT c.match_id, c.net_id, c.tick, c.slot, coalesce(bool_or((o.x - c.x) * (o.x - c.x) + (o.z - c.z) * (o.z - c.z) <= 1350.0 * 1350.0), false) AS near FROM c LEFT JOIN h o ON o.match_id = c.match_id AND o.tick = c.tick AND o.team = c.team GROUP BY ALL),
-yields AS (SELECT match_id, net_id, count(*) AS n_covered, count(*) FILTER (WHERE NOT near) AS n_exclusive, count(DISTINCT slot) AS n_enemies FROM a GROUP BY match_id, net_id)"""
+yields AS (SELECT match_id, net_id, count(*) AS n_covered, count(*) FILTER (WHERE NOT near) AS n_exclusive, count(DISTINCT slot) FILTER (WHERE NOT near) AS n_enemies FROM a GROUP BY match_id, net_id)"""
 
 
 def ward_yields(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(match_id, net_id, n_covered, n_exclusive, n_enemies): what each ward saw, every other tick.
+    """(match_id, net_id, n_covered, n_exclusive, n_enemies): what each ward saw, over all ticks of its life.
 
-    Exclusive is an enemy with none of the ward's team within a hero's sight.
+    Covered is a visible enemy within the ward's sight, exclusive one with none of the ward's team within a hero's sight;
+    n_enemies counts the heroes that were exclusive at some tick.
     """
     teams = base.roster(spark, data_dir).filter("team IS NOT NULL").select("match_id", "slot", "team")
-    h = base.positions(spark, data_dir).filter("tick % 2 = 0").join(teams, ["match_id", "slot"])
-    wards = base.wards(spark, data_dir).filter("team >= 0").select("match_id", "net_id", F.col("team").alias("ward_team"), (1 - F.col("team")).alias("team"), F.col("x").alias("wx"), F.col("z").alias("wz"), "t0", F.least("t1", F.lit(1e5)).alias("t1"), "sight")
-    inside = within_intervals(h.withColumn("at", F.col("tick").cast("double")), wards, ["match_id", "team"], "at", "t0", "t1")
+    visible = base.visible_ticks(spark, data_dir).select("match_id", "slot", "tick", "visible")
+    h = base.positions(spark, data_dir).join(teams, ["match_id", "slot"]).join(visible, ["match_id", "slot", "tick"])
+    half_up = lambda c: F.floor(c + 0.5).cast("double")
+    wards = base.wards(spark, data_dir).filter("team >= 0").join(table(spark, data_dir, "matches", "match_id", "n_ticks"), "match_id")
+    wards = wards.select("match_id", "net_id", F.col("team").alias("ward_team"), (1 - F.col("team")).alias("team"), F.col("x").alias("wx"), F.col("z").alias("wz"), half_up(F.col("t0")).alias("t0"), half_up(F.least(F.col("t1"), F.col("n_ticks").cast("double"))).alias("t1"), "sight")
+    inside = within_intervals(h.filter("visible = 1").withColumn("at", F.col("tick").cast("double")), wards, ["match_id", "team"], "at", "t0", "t1")
     covered = inside.filter((F.col("wx") - F.col("x")) * (F.col("wx") - F.col("x")) + (F.col("wz") - F.col("z")) * (F.col("wz") - F.col("z")) <= F.col("sight") * F.col("sight"))
     covered = covered.select("match_id", "net_id", "ward_team", "tick", "slot", "x", "z")
     allies = h.select("match_id", "tick", F.col("team").alias("ward_team"), F.col("x").alias("ax"), F.col("z").alias("az"))
     d2 = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("az") - F.col("z")) * (F.col("az") - F.col("z"))
     near = covered.join(allies, ["match_id", "tick", "ward_team"], "left").groupBy("match_id", "net_id", "tick", "slot").agg(F.coalesce(F.max((d2 <= base.CHAMPION_SIGHT**2).cast("int")), F.lit(0)).alias("near"))
-    return near.groupBy("match_id", "net_id").agg(F.count(F.lit(1)).alias("n_covered"), F.count_if(F.col("near") == 0).alias("n_exclusive"), F.countDistinct("slot").alias("n_enemies"))
+    return near.groupBy("match_id", "net_id").agg(F.count(F.lit(1)).alias("n_covered"), F.count_if(F.col("near") == 0).alias("n_exclusive"), F.countDistinct(F.when(F.col("near") == 0, F.col("slot"))).alias("n_enemies"))
 
 
 @query("WITH " + _YIELD + " SELECT * FROM yields")
@@ -177,10 +201,10 @@ def l9_trails(spark, data_dir):
     return shown.join(base.positions(spark, data_dir).select("match_id", "slot", "tick"), ["match_id", "slot", "tick"]).groupBy("match_id", "observer", "slot").agg(F.count(F.lit(1)).alias("n_points"), F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"))
 
 
-@query(f"WITH {_TICKS} SELECT match_id, 1 - team AS observer, tick, count(*) FILTER (WHERE visible = 0) AS n_hidden FROM visible_ticks WHERE team IS NOT NULL AND tick % 10 = 0 GROUP BY match_id, observer, tick")
+@query(f"WITH {_TICKS} SELECT match_id, 1 - team AS observer, tick, count(*) FILTER (WHERE visible = 0) AS n_hidden FROM visible_ticks WHERE team IS NOT NULL GROUP BY match_id, observer, tick")
 def l10_hidden_enemies(spark, data_dir):
-    """Enemies that each team doesn't see, every ten ticks."""
-    return base.visible_ticks(spark, data_dir).filter("team IS NOT NULL AND tick % 10 = 0").groupBy("match_id", (1 - F.col("team")).alias("observer"), "tick").agg(F.count_if(F.col("visible") == 0).alias("n_hidden"))
+    """Enemies that each team doesn't see, at every tick."""
+    return base.visible_ticks(spark, data_dir).filter("team IS NOT NULL").groupBy("match_id", (1 - F.col("team")).alias("observer"), "tick").agg(F.count_if(F.col("visible") == 0).alias("n_hidden"))
 
 
 @query("WITH " + _YIELD + ", r AS (SELECT y.*, w.t0, w.kind FROM yields y JOIN wards w ON y.match_id = w.match_id AND y.net_id = w.net_id) SELECT match_id, net_id, kind, n_exclusive, n_covered, CAST(row_number() OVER (PARTITION BY match_id ORDER BY n_exclusive DESC, n_covered DESC, t0, net_id) AS INT) AS place FROM r QUALIFY place <= 10")

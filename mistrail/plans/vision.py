@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mistrail.functions.geometry import LANES, distance, lane_distance, lane_distance_sql, lane_fraction, segments
+from mistrail.functions.geometry import FOUNTAINS, LANES, distance, lane_distance, lane_distance_sql, lane_fraction, segments, world
 from mistrail.operators.time_joins import as_of
 from mistrail.plans import base
 from mistrail.plans.packet_log import _WAYPOINTS, waypoints
 from mistrail.sources.tables import table
 
 QUERIES, SQL = {}, {}
-#: Coarse grid of the line-of-sight and mask queries, its cell, and steps of a sight line.
+#: Grid of the line-of-sight and mask queries, and its cell.
 SIDE = 64
 CELL = base.MAP_SIDE / SIDE
-RAY_STEPS = 8
-#: Only every so many ticks in the SQL of f7_team_masks, f9_mask_areas and k5_coarse_masks; the queries _per_tick have all.
-MASK_STRIDE = 30
 #: Radius and seconds of the disc around an attacker that the fog gives away.
-REVEAL_RADIUS, REVEAL_S = 400.0, 4
-#: Front line: seconds of the kernel's e-folding and of its window, weight and place of the prior, bounds, tick stride.
-TAU, WINDOW_S, PRIOR_W, PRIOR_S, LOW_S, HIGH_S, FRONT_STRIDE = 20.0, 100, 8.0, 0.5, 0.15, 0.85, 10
+REVEAL_RADIUS, REVEAL_S = 400.0, 4.5
+#: Front line: seconds of the kernel's e-folding and of its window, weight and place of the prior, bounds, and how near to
+#: a lane an attack counts for it.
+TAU, WINDOW_S, PRIOR_W, PRIOR_S, LOW_S, HIGH_S, CONTACT_R = 20.0, 100, 8.0, 0.5, 0.15, 0.85, 1400.0
 
 
 def query(sql: str | None = None):
@@ -60,18 +60,22 @@ def sources(spark: SparkSession, data_dir: str) -> DataFrame:
     return champion_sources(spark, data_dir).unionByName(ward_sources(spark, data_dir))
 
 
-def probes(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(match_id, tick, slot, team, x, z, distance, class, covers) of each hero against each source of the other team."""
+def probes(spark: SparkSession, data_dir: str, lit: DataFrame | None = None) -> DataFrame:
+    """(match_id, tick, slot, team, tx, tz, d, class, covers) of each hero against each source of the other team."""
     teams = base.roster(spark, data_dir).filter("team IS NOT NULL").select("match_id", "slot", F.col("team").alias("own"))
     targets = base.positions(spark, data_dir).join(teams, ["match_id", "slot"]).select("match_id", "tick", "slot", "own", F.col("x").alias("tx"), F.col("z").alias("tz"), (1 - F.col("own")).alias("team"))
-    joined = targets.join(sources(spark, data_dir), ["match_id", "tick", "team"], "left")
+    joined = targets.join(sources(spark, data_dir) if lit is None else lit, ["match_id", "tick", "team"], "left")
     d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("z") - F.col("tz")) * (F.col("z") - F.col("tz"))
     return joined.select("match_id", "tick", "slot", "team", "tx", "tz", F.sqrt(d2).alias("d"), "class", F.coalesce(d2 <= F.col("r") * F.col("r"), F.lit(False)).alias("covers"))
 
 
+def _probes_sql(lit: str, probes: str) -> str:
+    return f"""{probes} AS (SELECT t.match_id, t.tick, t.slot, t.team, t.tx, t.tz, sqrt((s.x - t.tx) * (s.x - t.tx) + (s.z - t.tz) * (s.z - t.tz)) AS d, s.class,
+ coalesce((s.x - t.tx) * (s.x - t.tx) + (s.z - t.tz) * (s.z - t.tz) <= s.r * s.r, false) AS covers FROM targets t LEFT JOIN {lit} s ON t.match_id = s.match_id AND t.tick = s.tick AND t.team = s.team)"""
+
+
 _PROBES = _SOURCES + """, targets AS (SELECT p.match_id, p.tick, p.slot, p.x AS tx, p.z AS tz, 1 - r.team AS team FROM positions p JOIN roster r ON p.match_id = r.match_id AND p.slot = r.slot WHERE r.team IS NOT NULL),
-probes AS (SELECT t.match_id, t.tick, t.slot, t.team, t.tx, t.tz, sqrt((s.x - t.tx) * (s.x - t.tx) + (s.z - t.tz) * (s.z - t.tz)) AS d, s.class,
- coalesce((s.x - t.tx) * (s.x - t.tx) + (s.z - t.tz) * (s.z - t.tz) <= s.r * s.r, false) AS covers FROM targets t LEFT JOIN sources s ON t.match_id = s.match_id AND t.tick = s.tick AND t.team = s.team),
+""" + _probes_sql("sources", "probes") + """,
 seen AS (SELECT match_id, tick, slot, team, CAST(bool_or(covers) AS INT) AS visible, min(d) AS nearest FROM probes GROUP BY match_id, tick, slot, team)"""
 
 
@@ -88,32 +92,50 @@ def walked_cells(spark: SparkSession, data_dir: str) -> DataFrame:
     return base.positions(spark, data_dir).select(F.floor(F.col("x") / CELL).cast("int").alias("i"), F.floor(F.col("z") / CELL).cast("int").alias("j")).distinct()
 
 
+def crossed(ax, az, bx, bz):
+    """The cells that the segment from (ax, az) to (bx, bz) crosses, in units of a cell, as an array of (i, j).
+
+    The segment is cut where it meets the lines of the grid; the middle of each part names its cell.
+    """
+    lines = lambda a, b: F.when(F.floor(a) != F.floor(b), F.transform(F.sequence(F.floor(F.least(a, b)) + 1, F.floor(F.greatest(a, b))), lambda k: (k - a) / (b - a))).otherwise(F.array().cast("array<double>"))
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), lines(ax, bx), lines(az, bz)))
+    parts = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda f, g: F.struct(f.alias("f"), g.alias("g")))
+    middles = F.transform(F.filter(parts, lambda p: p["g"] - p["f"] > 1e-9), lambda p: (p["f"] + p["g"]) / 2)
+    return F.array_distinct(F.transform(middles, lambda m: F.struct(F.floor(ax + (bx - ax) * m).cast("int").alias("i"), F.floor(az + (bz - az) * m).cast("int").alias("j"))))
+
+
+def _crossed_sql(ax: str, az: str, bx: str, bz: str, rows: str) -> str:
+    """``rows`` with ``c``, one row per crossed cell."""
+    lines = lambda a, b: f"CASE WHEN floor({a}) <> floor({b}) THEN list_transform(range(CAST(floor(least({a}, {b})) AS BIGINT) + 1, CAST(floor(greatest({a}, {b})) AS BIGINT) + 1), lambda k: (k - {a}) / ({b} - {a})) ELSE CAST([] AS DOUBLE[]) END"
+    return f"""(SELECT *, unnest(list_distinct(list_transform(list_filter(list_transform(range(1, len(cuts)), lambda k: [cuts[k], cuts[k + 1]]), lambda p: p[2] - p[1] > 1e-9),
+ lambda p: struct_pack(i := CAST(floor({ax} + ({bx} - {ax}) * ((p[1] + p[2]) / 2)) AS INT), j := CAST(floor({az} + ({bz} - {az}) * ((p[1] + p[2]) / 2)) AS INT))))) AS c
+ FROM (SELECT *, list_sort(list_concat(list_concat([0.0::DOUBLE, 1.0::DOUBLE], {lines(ax, bx)}), {lines(az, bz)})) AS cuts FROM {rows}))"""
+
+
 @query(f"""WITH {base.ROSTER}, {base.POSITIONS}, {_WALKED}, t AS (SELECT p.match_id, p.tick, p.slot, r.team, p.x, p.z FROM positions p JOIN roster r ON p.match_id = r.match_id AND p.slot = r.slot WHERE r.team IS NOT NULL),
-pairs AS (SELECT a.match_id, a.tick, a.slot AS observer, b.slot AS target, a.x AS ax, a.z AS az, b.x AS bx, b.z AS bz FROM t a JOIN t b ON a.match_id = b.match_id AND a.tick = b.tick AND a.team < b.team
+pairs AS (SELECT a.match_id, a.tick, a.slot AS observer, b.slot AS target, a.x / {CELL} AS ax, a.z / {CELL} AS az, b.x / {CELL} AS bx, b.z / {CELL} AS bz FROM t a JOIN t b ON a.match_id = b.match_id AND a.tick = b.tick AND a.team < b.team
  WHERE (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 1350.0 * 1350.0),
-rays AS (SELECT *, unnest(range(1, {RAY_STEPS})) / {float(RAY_STEPS)} AS f FROM pairs),
-cells AS (SELECT *, CAST(floor((ax + (bx - ax) * f) / {CELL}) AS INT) AS i, CAST(floor((az + (bz - az) * f) / {CELL}) AS INT) AS j FROM rays)
-SELECT c.match_id, c.tick, c.observer, c.target, count(*) FILTER (WHERE w.i IS NULL) AS n_blocked, count(*) FILTER (WHERE w.i IS NULL) = 0 AS clear FROM cells c LEFT JOIN walked w ON c.i = w.i AND c.j = w.j GROUP BY c.match_id, c.tick, c.observer, c.target""")
+cells AS {_crossed_sql('ax', 'az', 'bx', 'bz', 'pairs')}
+SELECT c.match_id, c.tick, c.observer, c.target, count(*) AS n_cells, count(*) FILTER (WHERE w.i IS NULL) AS n_blocked, count(*) FILTER (WHERE w.i IS NULL) = 0 AS clear FROM cells c LEFT JOIN walked w ON c.c.i = w.i AND c.c.j = w.j GROUP BY c.match_id, c.tick, c.observer, c.target""")
 def f2_sight_lines(spark, data_dir):
-    """Opponents within sight of each other, and whether their line of sight passes over walked ground only.
+    """Opponents within sight of each other, the cells that the line between them crosses, and those of them that are no
+    walked ground.
 
-    The line is sampled at equal steps and each sample looked up by its cell, an equality join.
+    Every crossed cell is looked up, by an equality join.
     """
     teams = base.roster(spark, data_dir).filter("team IS NOT NULL").select("match_id", "slot", "team")
     t = base.positions(spark, data_dir).join(teams, ["match_id", "slot"])
     a = t.filter("team = 0").select("match_id", "tick", F.col("slot").alias("observer"), F.col("x").alias("ax"), F.col("z").alias("az"))
     b = t.filter("team = 1").select("match_id", "tick", F.col("slot").alias("target"), F.col("x").alias("bx"), F.col("z").alias("bz"))
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("az") - F.col("bz")) * (F.col("az") - F.col("bz"))
-    rays = a.join(b, ["match_id", "tick"]).filter(d2 <= base.CHAMPION_SIGHT**2).withColumn("k", F.explode(F.array(*[F.lit(k / RAY_STEPS) for k in range(1, RAY_STEPS)])))
-    at = lambda p, q: F.floor((F.col(p) + (F.col(q) - F.col(p)) * F.col("k")) / CELL).cast("int")
-    cells = rays.select("match_id", "tick", "observer", "target", at("ax", "bx").alias("i"), at("az", "bz").alias("j"))
+    pairs = a.join(b, ["match_id", "tick"]).filter(d2 <= base.CHAMPION_SIGHT**2).select("match_id", "tick", "observer", "target", *[(F.col(c) / CELL).alias(c) for c in ("ax", "az", "bx", "bz")])
+    cells = pairs.select("match_id", "tick", "observer", "target", F.inline(crossed(*[F.col(c) for c in ("ax", "az", "bx", "bz")])))
     blocked = F.count_if(F.col("open").isNull())
-    return cells.join(walked_cells(spark, data_dir).withColumn("open", F.lit(1)), ["i", "j"], "left").groupBy("match_id", "tick", "observer", "target").agg(blocked.alias("n_blocked"), (blocked == 0).alias("clear"))
+    return cells.join(walked_cells(spark, data_dir).withColumn("open", F.lit(1)), ["i", "j"], "left").groupBy("match_id", "tick", "observer", "target").agg(F.count(F.lit(1)).alias("n_cells"), blocked.alias("n_blocked"), (blocked == 0).alias("clear"))
 
 
-@query(f"""WITH {base.POSITIONS}, {_WALKED}, o AS (SELECT a.dx, b.dz FROM range(-5, 6) a(dx), range(-5, 6) b(dz) WHERE (dx * dx + dz * dz) * {CELL * CELL!r} <= 1350.0 * 1350.0),
-rays AS (SELECT w.i, w.j, dx, dz, unnest(range(1, {RAY_STEPS + 1})) / {float(RAY_STEPS)} AS f FROM walked w, o),
-steps AS (SELECT *, CAST(floor(i + 0.5 + dx * f) AS INT) AS si, CAST(floor(j + 0.5 + dz * f) AS INT) AS sj FROM rays),
+@query(f"""WITH {base.POSITIONS}, {_WALKED}, o AS (SELECT a.dx, b.dz, 0.5::DOUBLE AS ax, 0.5::DOUBLE AS az, a.dx + 0.5::DOUBLE AS bx, b.dz + 0.5::DOUBLE AS bz FROM range(-5, 6) a(dx), range(-5, 6) b(dz) WHERE (dx * dx + dz * dz) * {CELL * CELL!r} <= 1350.0 * 1350.0),
+steps AS (SELECT w.i, w.j, o.dx, o.dz, w.i + o.c.i AS si, w.j + o.c.j AS sj FROM walked w, {_crossed_sql('ax', 'az', 'bx', 'bz', 'o')} o),
 open AS (SELECT s.i, s.j, dx, dz FROM steps s LEFT JOIN walked w ON s.si = w.i AND s.sj = w.j GROUP BY s.i, s.j, dx, dz HAVING count(*) FILTER (WHERE w.i IS NULL) = 0)
 SELECT i, j, count(*) AS n_visible, CAST(bit_or(CASE WHEN (dx + 5) * 11 + dz + 5 < 62 THEN CAST(1 AS BIGINT) << CAST((dx + 5) * 11 + dz + 5 AS INT) ELSE 0 END) AS BIGINT) AS low_word,
  CAST(bit_or(CASE WHEN (dx + 5) * 11 + dz + 5 >= 62 THEN CAST(1 AS BIGINT) << CAST((dx + 5) * 11 + dz + 5 - 62 AS INT) ELSE 0 END) AS BIGINT) AS high_word FROM open GROUP BY i, j""")
@@ -121,8 +143,9 @@ def f4_sight_table(spark, data_dir):
     """The cells visible from each walked cell within a hero's sight, as two words of bits (11 x 11 window)."""
     walked = walked_cells(spark, data_dir)
     offsets = [(dx, dz) for dx in range(-5, 6) for dz in range(-5, 6) if (dx * dx + dz * dz) * CELL * CELL <= base.CHAMPION_SIGHT**2]
-    rays = walked.withColumn("o", F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dz")) for a, b in offsets]))).withColumn("k", F.explode(F.array(*[F.lit(k / RAY_STEPS) for k in range(1, RAY_STEPS + 1)])))
-    steps = rays.select("i", "j", "o.dx", "o.dz", F.floor(F.col("i") + 0.5 + F.col("o.dx") * F.col("k")).cast("int").alias("si"), F.floor(F.col("j") + 0.5 + F.col("o.dz") * F.col("k")).cast("int").alias("sj"))
+    half = F.lit(0.5)
+    rays = walked.withColumn("o", F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dz")) for a, b in offsets])))
+    steps = rays.select("i", "j", "o.dx", "o.dz", F.inline(crossed(half, half, F.col("o.dx") + half, F.col("o.dz") + half)).alias("ci", "cj")).select("i", "j", "dx", "dz", (F.col("i") + F.col("ci")).alias("si"), (F.col("j") + F.col("cj")).alias("sj"))
     ground = walked.select(F.col("i").alias("si"), F.col("j").alias("sj"), F.lit(1).alias("open"))
     lines = steps.join(ground, ["si", "sj"], "left").groupBy("i", "j", "dx", "dz").agg(F.count_if(F.col("open").isNull()).alias("blocked")).filter("blocked = 0")
     bit = (F.col("dx") + 5) * 11 + F.col("dz") + 5
@@ -142,28 +165,36 @@ def f3_boundary_cells(spark, data_dir):
     return near.join(ground, ["ni", "nj"], "left").groupBy("i", "j").agg(F.count_if(F.col("open").isNull()).alias("n_closed")).filter("n_closed > 0")
 
 
-@query(_WAYPOINTS + f""", {base.POSITIONS}, {_WALKED}, p AS (SELECT match_id, line_id, event_no, point_no, x, z, CAST(floor(x / {CELL}) AS INT) AS ci, CAST(floor(z / {CELL}) AS INT) AS cj FROM waypoints WHERE x IS NOT NULL AND z IS NOT NULL),
-t AS (SELECT p.*, w.i, w.j, pow((w.i + 0.5) * {CELL} - x, 2) + pow((w.j + 0.5) * {CELL} - z, 2) AS d2 FROM p, range(-3, 4) a(di), range(-3, 4) b(dj) JOIN walked w ON w.i = p.ci + di AND w.j = p.cj + dj)
+@query(_WAYPOINTS + f""", {base.POSITIONS}, {_WALKED}, p AS (SELECT match_id, line_id, event_no, point_no, x, z FROM waypoints WHERE x IS NOT NULL AND z IS NOT NULL),
+t AS (SELECT p.*, w.i, w.j, ((w.i + 0.5) * {CELL} - x) * ((w.i + 0.5) * {CELL} - x) + ((w.j + 0.5) * {CELL} - z) * ((w.j + 0.5) * {CELL} - z) AS d2 FROM p, walked w)
 SELECT match_id, line_id, event_no, point_no, i, j, round(sqrt(d2), 4) AS distance FROM t QUALIFY row_number() OVER (PARTITION BY match_id, line_id, event_no, point_no, x, z ORDER BY d2, i, j) = 1""")
 def e10_nearest_open_cells(spark, data_dir):
-    """The nearest walked cell of each waypoint, within three cells: its surroundings are looked up by equality."""
+    """The nearest walked cell of each waypoint: the cells around it are looked up by equality, first those within three
+    cells and then, for a point that has none nearer than those beyond may be, all of the grid."""
     at = lambda c: F.floor(F.col(c) / CELL).cast("int")
-    window = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-3, 4) for b in range(-3, 4)])
-    points = waypoints(spark, data_dir).filter("x IS NOT NULL AND z IS NOT NULL").withColumn("o", F.explode(window))
-    tries = points.select("match_id", "line_id", "event_no", "point_no", "x", "z", (at("x") + F.col("o.di")).alias("i"), (at("z") + F.col("o.dj")).alias("j")).join(walked_cells(spark, data_dir), ["i", "j"])
+    walked = walked_cells(spark, data_dir)
+    key = ["match_id", "line_id", "event_no", "point_no", "x", "z"]
+    points = waypoints(spark, data_dir).filter("x IS NOT NULL AND z IS NOT NULL").select(*key)
     d2 = ((F.col("i") + 0.5) * CELL - F.col("x")) * ((F.col("i") + 0.5) * CELL - F.col("x")) + ((F.col("j") + 0.5) * CELL - F.col("z")) * ((F.col("j") + 0.5) * CELL - F.col("z"))
-    best = tries.groupBy("match_id", "line_id", "event_no", "point_no", "x", "z").agg(F.min(F.struct(d2.alias("d2"), "i", "j")).alias("b"))
-    return best.select("match_id", "line_id", "event_no", "point_no", "b.i", "b.j", F.round(F.sqrt("b.d2"), 4).alias("distance"))
+    best = lambda tries: tries.join(walked, ["i", "j"]).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "i", "j")).alias("b"))
+    window = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-3, 4) for b in range(-3, 4)])
+    near = best(points.withColumn("o", F.explode(window)).select(*key, (at("x") + F.col("o.di")).alias("i"), (at("z") + F.col("o.dj")).alias("j")))
+    sure = near.filter(F.col("b.d2") <= (3.5 * CELL) ** 2)
+    rest = points.join(sure.select(*key), key, "left_anti")
+    far = best(rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(SIDE)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(SIDE)))))
+    found = sure.unionByName(far)
+    return found.select("match_id", "line_id", "event_no", "point_no", "b.i", "b.j", F.round(F.sqrt("b.d2"), 4).alias("distance"))
 
 
-_MASKS = _SOURCES + f""", few AS (SELECT *, CAST(floor(x / {CELL}) AS INT) AS ci, CAST(floor(z / {CELL}) AS INT) AS cj FROM sources WHERE tick % {MASK_STRIDE} = 0),
+def _masks_sql(lit: str) -> str:
+    return f"""few AS (SELECT *, CAST(floor(x / {CELL}) AS INT) AS ci, CAST(floor(z / {CELL}) AS INT) AS cj FROM {lit}),
 spread AS (SELECT match_id, tick, team, x, z, r, ci + di AS i, cj + dj AS j FROM few, range(-6, 7) a(di), range(-6, 7) b(dj)),
 lit AS (SELECT DISTINCT match_id, tick, team, i, j FROM spread WHERE i BETWEEN 0 AND {SIDE - 1} AND j BETWEEN 0 AND {SIDE - 1} AND pow((i + 0.5) * {CELL} - x, 2) + pow((j + 0.5) * {CELL} - z, 2) <= r * r),
 masks AS (SELECT match_id, tick, team, CAST(i AS INT) AS word, bit_or(CAST(1 AS BIGINT) << CAST(j % 32 AS INT)) FILTER (WHERE j < 32) AS low, bit_or(CAST(1 AS BIGINT) << CAST(j % 32 AS INT)) FILTER (WHERE j >= 32) AS high FROM lit GROUP BY match_id, tick, team, i)"""
 
 
-#: The same for all ticks.
-_ALL_MASKS = _MASKS.replace(f" WHERE tick % {MASK_STRIDE} = 0", "")
+#: Masks of the base sources, and of these with the reveals (see ``_REVEALS``).
+_MASKS = _SOURCES + ", " + _masks_sql("sources")
 
 
 def _row_bits(first, last):
@@ -172,14 +203,13 @@ def _row_bits(first, last):
     return F.when(first <= last, F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), last - first + 1) - 1, first)).otherwise(F.lit(0).cast("long"))
 
 
-def team_masks(spark: SparkSession, data_dir: str, stride: int = 1) -> DataFrame:
+def team_masks(lit: DataFrame) -> DataFrame:
     """(match_id, tick, team, word, low, high): the cells that a team's sources light up, a row of the grid in two words.
 
     Sources of a team and tick are brought together once; each is spread over the rows of the grid around it, where it
     lights one run of cells, and the union of sources is a bitwise or of these runs, without another shuffle.
     """
-    few = sources(spark, data_dir).select("match_id", "tick", "team", "x", "z", "r")
-    few = (few.filter(F.col("tick") % stride == 0) if stride > 1 else few).repartition("match_id", "tick", "team")
+    few = lit.select("match_id", "tick", "team", "x", "z", "r").repartition("match_id", "tick", "team")
     around = F.array(*[F.lit(a) for a in range(-6, 7)])
     rows = few.withColumn("d", F.explode(around)).withColumn("i", (F.floor(F.col("x") / CELL) + F.col("d")).cast("int")).withColumn("cj", F.floor(F.col("z") / CELL).cast("int")).filter(F.col("i").between(0, SIDE - 1))
     dx, centre = (F.col("i") + 0.5) * CELL - F.col("x"), lambda j: (j + 0.5) * CELL - F.col("z")
@@ -189,61 +219,46 @@ def team_masks(spark: SparkSession, data_dir: str, stride: int = 1) -> DataFrame
     rows = rows.withColumn("a", F.ceil((F.col("z") - half) / CELL - 0.5 - 1e-9).cast("int")).withColumn("b", F.floor((F.col("z") + half) / CELL - 0.5 + 1e-9).cast("int"))
     first, last = F.col("a") + F.when(inside(F.col("a")), 0).otherwise(1), F.col("b") - F.when(inside(F.col("b")), 0).otherwise(1)
     rows = rows.withColumn("first", F.greatest(first, F.col("cj") - 6, F.lit(0))).withColumn("last", F.least(last, F.col("cj") + 6, F.lit(SIDE - 1)))
-    lit = rows.select("match_id", "tick", "team", F.col("i").alias("word"), _row_bits(F.col("first"), F.col("last")).alias("low"), _row_bits(F.col("first") - 32, F.col("last") - 32).alias("high"))
+    bits = rows.select("match_id", "tick", "team", F.col("i").alias("word"), _row_bits(F.col("first"), F.col("last")).alias("low"), _row_bits(F.col("first") - 32, F.col("last") - 32).alias("high"))
     # Empty rows go at the end: a filter on first <= last would be pushed down with its expressions repeated, too long to compile.
-    return lit.groupBy("match_id", "tick", "team", "word").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high")).filter("low <> 0 OR high <> 0")
-
-
-@query(_MASKS + " SELECT match_id, tick, team, word, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks")
-def f7_team_masks(spark, data_dir):
-    """Union of a team's sources on the coarse grid, at every MASK_STRIDE-th tick as its SQL has it; all ticks: f7_team_masks_per_tick."""
-    return team_masks(spark, data_dir, MASK_STRIDE)
-
-
-@query(_ALL_MASKS + " SELECT match_id, tick, team, word, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks")
-def f7_team_masks_per_tick(spark, data_dir):
-    """Union of a team's sources on the coarse grid, at every tick."""
-    return team_masks(spark, data_dir)
+    return bits.groupBy("match_id", "tick", "team", "word").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high")).filter("low <> 0 OR high <> 0")
 
 
 def mask_areas(masks: DataFrame) -> DataFrame:
     return masks.groupBy("match_id", "tick", "team").agg(F.sum(F.bit_count("low") + F.bit_count("high")).alias("n_cells"))
 
 
-@query(_MASKS + " SELECT match_id, tick, team, CAST(sum(bit_count(coalesce(low, 0)) + bit_count(coalesce(high, 0))) AS BIGINT) AS n_cells FROM masks GROUP BY match_id, tick, team")
-def f9_mask_areas(spark, data_dir):
-    """Lit cells per team, by counting bits, at every MASK_STRIDE-th tick as its SQL has it; all ticks: f9_mask_areas_per_tick."""
-    return mask_areas(team_masks(spark, data_dir, MASK_STRIDE))
-
-
-@query(_ALL_MASKS + " SELECT match_id, tick, team, CAST(sum(bit_count(coalesce(low, 0)) + bit_count(coalesce(high, 0))) AS BIGINT) AS n_cells FROM masks GROUP BY match_id, tick, team")
-def f9_mask_areas_per_tick(spark, data_dir):
-    """Lit cells per team at every tick."""
-    return mask_areas(team_masks(spark, data_dir))
-
-
 def coarse_masks(masks: DataFrame) -> DataFrame:
     quarters = masks.withColumn("j", F.explode(F.array(*[F.lit(q) for q in range(8)])))
     lit = F.expr("CASE WHEN j < 4 THEN (shiftrightunsigned(low, 8 * j) & 255L) ELSE (shiftrightunsigned(high, 8 * (j - 4)) & 255L) END") != 0
     coarse = quarters.groupBy("match_id", "tick", "team", F.expr("CAST(word DIV 8 AS INT)").alias("i"), "j").agg(F.max(lit).alias("lit"))
-    bit = F.when(F.col("lit") & (F.col("i") * 8 + F.col("j") < 62), F.expr("shiftleft(1L, i * 8 + j)")).otherwise(F.lit(0).cast("long"))
+    bit = F.when(F.col("lit"), F.expr("shiftleft(1L, i * 8 + j)")).otherwise(F.lit(0).cast("long"))
     return coarse.groupBy("match_id", "tick", "team").agg(F.bit_or(bit).alias("cells"), F.count_if("lit").alias("n_lit"))
 
 
-@query(_MASKS + f""", c AS (SELECT match_id, tick, team, word, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS q, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks),
+_WORDS = " SELECT match_id, tick, team, word, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks"
+_AREAS = " SELECT match_id, tick, team, CAST(sum(bit_count(coalesce(low, 0)) + bit_count(coalesce(high, 0))) AS BIGINT) AS n_cells FROM masks GROUP BY match_id, tick, team"
+_COARSE = """, c AS (SELECT match_id, tick, team, word, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS q, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks),
 d AS (SELECT match_id, tick, team, word // 8 AS i, q AS j, bool_or(CASE WHEN q < 4 THEN ((low >> (8 * q)) & 255) ELSE ((high >> (8 * (q - 4))) & 255) END <> 0) AS lit FROM c GROUP BY ALL)
-SELECT match_id, tick, team, CAST(bit_or(CASE WHEN lit AND i * 8 + j < 62 THEN CAST(1 AS BIGINT) << CAST(i * 8 + j AS INT) ELSE 0 END) AS BIGINT) AS cells, count(*) FILTER (WHERE lit) AS n_lit FROM d GROUP BY match_id, tick, team""")
-def k5_coarse_masks(spark, data_dir):
-    """Team masks at an eighth of the resolution: a coarse cell is lit if any of its cells is. At every MASK_STRIDE-th tick as its SQL has it; all ticks: k5_coarse_masks_per_tick."""
-    return coarse_masks(team_masks(spark, data_dir, MASK_STRIDE))
+SELECT match_id, tick, team, CAST(bit_or(CASE WHEN NOT lit THEN 0 WHEN i * 8 + j = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << CAST(i * 8 + j AS INT) END) AS BIGINT) AS cells, count(*) FILTER (WHERE lit) AS n_lit FROM d GROUP BY match_id, tick, team"""
 
 
-@query(_ALL_MASKS + f""", c AS (SELECT match_id, tick, team, word, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS q, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM masks),
-d AS (SELECT match_id, tick, team, word // 8 AS i, q AS j, bool_or(CASE WHEN q < 4 THEN ((low >> (8 * q)) & 255) ELSE ((high >> (8 * (q - 4))) & 255) END <> 0) AS lit FROM c GROUP BY ALL)
-SELECT match_id, tick, team, CAST(bit_or(CASE WHEN lit AND i * 8 + j < 62 THEN CAST(1 AS BIGINT) << CAST(i * 8 + j AS INT) ELSE 0 END) AS BIGINT) AS cells, count(*) FILTER (WHERE lit) AS n_lit FROM d GROUP BY match_id, tick, team""")
+@query(_MASKS + _WORDS)
+def f7_team_masks_per_tick(spark, data_dir):
+    """Union of a team's base sources (heroes and wards) on the grid, at every tick."""
+    return team_masks(sources(spark, data_dir))
+
+
+@query(_MASKS + _AREAS)
+def f9_mask_areas_per_tick(spark, data_dir):
+    """Cells lit by a team's base sources at every tick, by counting bits."""
+    return mask_areas(team_masks(sources(spark, data_dir)))
+
+
+@query(_MASKS + _COARSE)
 def k5_coarse_masks_per_tick(spark, data_dir):
-    """Team masks at an eighth of the resolution, at every tick."""
-    return coarse_masks(team_masks(spark, data_dir))
+    """Masks of the base sources at an eighth of the resolution, at every tick: a coarse cell is lit if any of its cells is."""
+    return coarse_masks(team_masks(sources(spark, data_dir)))
 
 
 @query(_SOURCES + " SELECT match_id, CAST(tick AS INT) AS tick, team, count(*) AS n_wards, max(r) AS widest FROM ward_sources GROUP BY match_id, tick, team")
@@ -259,23 +274,64 @@ def g7_base_visibility(spark, data_dir):
 
 
 def reveals(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(match_id, slot, team, t, tick, x, z): attacks by heroes whom the other team, ``team``, didn't see at that tick."""
-    attacks = base.anchors(spark, data_dir).filter("anchor_kind = 1 AND target > 0").withColumn("tick", F.rint("t").cast("int"))
-    hidden = seen(spark, data_dir).filter("visible = 0").select("match_id", "slot", "team", "tick")
-    return attacks.join(hidden, ["match_id", "slot", "tick"]).select("match_id", "slot", "team", "t", "tick", "x", "z")
+    """(match_id, slot, team, t, x, z): attacks by heroes on a known enemy (a hero or a ward of ``team``) whom ``team`` didn't
+    see by its base sources at that tick."""
+    heroes = base.roster(spark, data_dir).filter("team IS NOT NULL")
+    attackers = heroes.select("match_id", "slot", (1 - F.col("team")).alias("team"))
+    wards = base.wards(spark, data_dir).filter("team >= 0")
+    targets = heroes.select("match_id", F.col("net_id").alias("target"), "team").unionByName(wards.select("match_id", F.col("net_id").alias("target"), "team")).distinct()
+    attacks = base.anchors(spark, data_dir).filter("anchor_kind = 1 AND target > 0").withColumn("tick", F.rint("t").cast("int")).join(table(spark, data_dir, "matches", "match_id", "n_ticks"), "match_id").filter("tick < n_ticks")
+    on_enemies = attacks.join(attackers, ["match_id", "slot"]).join(targets, ["match_id", "target", "team"], "left_semi")
+    visible = seen(spark, data_dir).filter("visible = 1").select("match_id", "slot", "tick")
+    return on_enemies.join(visible, ["match_id", "slot", "tick"], "left_anti").select("match_id", "slot", "team", "t", "x", "z")
+
+
+def reveal_sources(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The discs that reveals light up, for the ticks within REVEAL_S of the attack, in the shape of ``sources`` with slot."""
+    spread = reveals(spark, data_dir).join(table(spark, data_dir, "matches", "match_id", "n_ticks"), "match_id")
+    first, last = F.ceil("t").cast("int"), F.least(F.ceil(F.col("t") + REVEAL_S) - 1, F.col("n_ticks") - 1).cast("int")
+    spread = spread.withColumn("first", first).withColumn("last", last).filter("last >= first")
+    return spread.select("match_id", F.explode(F.sequence("first", "last")).alias("tick"), "team", "x", "z", F.lit(REVEAL_RADIUS).alias("r"), F.lit("reveal").alias("class"), "slot")
+
+
+def all_sources(spark: SparkSession, data_dir: str) -> DataFrame:
+    return sources(spark, data_dir).unionByName(reveal_sources(spark, data_dir).drop("slot"))
 
 
-_REVEALS = _PROBES + f""", {base.ANCHORS}, reveals AS (SELECT a.match_id, a.slot, s.team, a.t, a.x, a.z FROM anchors a JOIN seen s ON a.match_id = s.match_id AND a.slot = s.slot AND CAST(round_even(a.t, 0) AS INT) = s.tick
- WHERE a.anchor_kind = 1 AND a.target > 0 AND s.visible = 0)"""
+_REVEALS = _PROBES + f""", {base.ANCHORS}, enemies AS (SELECT match_id, net_id, team FROM roster WHERE team IS NOT NULL UNION SELECT match_id, net_id, team FROM wards WHERE team >= 0),
+reveals AS (SELECT a.match_id, a.slot, 1 - r.team AS team, a.t, a.x, a.z, m.n_ticks FROM anchors a JOIN matches m ON a.match_id = m.match_id JOIN roster r ON a.match_id = r.match_id AND a.slot = r.slot
+ SEMI JOIN enemies e ON a.match_id = e.match_id AND a.target = e.net_id AND e.team = 1 - r.team
+ ANTI JOIN (SELECT * FROM seen WHERE visible = 1) s ON a.match_id = s.match_id AND a.slot = s.slot AND CAST(round_even(a.t, 0) AS INT) = s.tick
+ WHERE a.anchor_kind = 1 AND a.target > 0 AND r.team IS NOT NULL AND round_even(a.t, 0) < m.n_ticks),
+reveal_sources AS (SELECT match_id, CAST(unnest(range(CAST(ceil(t) AS INT), CAST(least(ceil(t + {REVEAL_S}), n_ticks) AS INT))) AS INT) AS tick, team, x, z, {REVEAL_RADIUS} AS r, 'reveal' AS class, slot FROM reveals),
+all_sources AS (SELECT * FROM sources UNION ALL SELECT match_id, tick, team, x, z, r, class FROM reveal_sources)"""
 
 
-@query(_REVEALS + f""", spread AS (SELECT *, unnest(range(CAST(ceil(t) AS INT), CAST(ceil(t) AS INT) + {REVEAL_S})) AS tick FROM reveals)
-SELECT match_id, CAST(tick AS INT) AS tick, team, count(*) AS n_reveals, count(DISTINCT slot) AS n_heroes FROM spread GROUP BY match_id, tick, team""")
+@query(_REVEALS + " SELECT match_id, tick, team, count(*) AS n_reveals, count(DISTINCT slot) AS n_heroes FROM reveal_sources GROUP BY match_id, tick, team")
 def g8_reveals(spark, data_dir):
     """Attackers that give themselves away from the fog, for the ticks in which their disc is lit."""
-    first = F.ceil("t").cast("int")
-    spread = reveals(spark, data_dir).drop("tick").withColumn("tick", F.explode(F.sequence(first, first + REVEAL_S - 1)))
-    return spread.groupBy("match_id", "tick", "team").agg(F.count(F.lit(1)).alias("n_reveals"), F.countDistinct("slot").alias("n_heroes"))
+    return reveal_sources(spark, data_dir).groupBy("match_id", "tick", "team").agg(F.count(F.lit(1)).alias("n_reveals"), F.countDistinct("slot").alias("n_heroes"))
+
+
+_STREAM = _REVEALS + ", " + _masks_sql("all_sources")
+
+
+@query(_STREAM + _WORDS)
+def f7_team_masks(spark, data_dir):
+    """What a team sees at every tick: its base sources, and the reveals on top."""
+    return team_masks(all_sources(spark, data_dir))
+
+
+@query(_STREAM + _AREAS)
+def f9_mask_areas(spark, data_dir):
+    """Cells that a team sees at every tick."""
+    return mask_areas(team_masks(all_sources(spark, data_dir)))
+
+
+@query(_STREAM + _COARSE)
+def k5_coarse_masks(spark, data_dir):
+    """What a team sees at every tick, at an eighth of the resolution, as the 64 bits of a number."""
+    return coarse_masks(team_masks(all_sources(spark, data_dir)))
 
 
 @query(_SOURCES + " SELECT match_id, class, team, count(*) AS n_sources, count(DISTINCT tick) AS n_ticks FROM sources GROUP BY match_id, class, team")
@@ -284,34 +340,39 @@ def g10_source_counts(spark, data_dir):
     return sources(spark, data_dir).groupBy("match_id", "class", "team").agg(F.count(F.lit(1)).alias("n_sources"), F.countDistinct("tick").alias("n_ticks"))
 
 
-def _mid_fraction_sql() -> str:
+def _lane_point_sql(lane: str) -> str:
+    """Struct of the distance from a lane and the fraction of its length at the nearest point."""
     parts = []
-    for x0, z0, x1, z1, before, whole in segments("mid"):
+    for x0, z0, x1, z1, before, whole in segments(lane):
         dx, dz = x1 - x0, z1 - z0
         f = f"greatest(0.0, least(1.0, ((x - {x0!r}) * {dx!r} + (z - {z0!r}) * {dz!r}) / {dx * dx + dz * dz!r}))"
-        parts.append(f"struct_pack(d := sqrt(pow(x - ({x0!r} + {f} * {dx!r}), 2) + pow(z - ({z0!r} + {f} * {dz!r}), 2)), s := ({before!r} + {f} * {(dx * dx + dz * dz) ** 0.5!r}) / {whole!r})")
-    return f"list_min([{', '.join(parts)}]).s"
+        parts.append(f"struct_pack(d := sqrt((x - ({x0!r} + {f} * {dx!r})) * (x - ({x0!r} + {f} * {dx!r})) + (z - ({z0!r} + {f} * {dz!r})) * (z - ({z0!r} + {f} * {dz!r}))), s := ({before!r} + {f} * {math.hypot(dx, dz)!r}) / {whole!r})")
+    return f"list_min([{', '.join(parts)}])"
 
 
-@query(f"""WITH {base.ANCHORS}, c AS (SELECT match_id, t, {_mid_fraction_sql()} AS s FROM anchors WHERE anchor_kind = 1 AND {lane_distance_sql('mid')} <= 1400.0),
-g AS (SELECT match_id, unnest(range(0, n_ticks, {FRONT_STRIDE})) AS tick FROM matches),
-k AS (SELECT g.match_id, g.tick, sum(exp(-abs(c.t - g.tick) / {TAU})) AS w, sum(exp(-abs(c.t - g.tick) / {TAU}) * c.s) AS ws, count(c.t) AS n FROM g LEFT JOIN c ON g.match_id = c.match_id AND abs(c.t - g.tick) <= {WINDOW_S} GROUP BY g.match_id, g.tick)
-SELECT match_id, CAST(tick AS INT) AS tick, n AS n_contacts, round(least({HIGH_S}, greatest({LOW_S}, (coalesce(ws, 0) + {PRIOR_W} * {PRIOR_S}) / (coalesce(w, 0) + {PRIOR_W}))), 6) AS front FROM k""")
+@query(f"""WITH {base.ANCHORS}, {base.POSITIONS}, hits AS (SELECT a.match_id, p.tick, p.x, p.z FROM anchors a JOIN positions p ON a.match_id = p.match_id AND a.slot = p.slot AND CAST(round_even(a.t, 0) AS INT) = p.tick WHERE a.anchor_kind = 1),
+near AS (SELECT match_id, tick, list_min([{', '.join(f"struct_pack(d := {_lane_point_sql(k)}.d, lane := '{k}', s := {_lane_point_sql(k)}.s)" for k in LANES)}]) AS n FROM hits),
+c AS (SELECT match_id, n.lane AS lane, tick AS t, n.s AS s FROM near WHERE n.d <= {CONTACT_R}),
+g AS (SELECT match_id, unnest(range(0, n_ticks)) AS tick FROM matches), l AS (SELECT unnest([{', '.join(f"'{k}'" for k in LANES)}]) AS lane),
+k AS (SELECT g.match_id, l.lane, g.tick, sum(exp(-abs(c.t - g.tick) / {TAU})) AS w, sum(exp(-abs(c.t - g.tick) / {TAU}) * c.s) AS ws, count(c.t) AS n FROM g CROSS JOIN l LEFT JOIN c ON g.match_id = c.match_id AND l.lane = c.lane AND abs(c.t - g.tick) <= {WINDOW_S} GROUP BY g.match_id, l.lane, g.tick)
+SELECT match_id, lane, CAST(tick AS INT) AS tick, n AS n_contacts, round(least({HIGH_S}, greatest({LOW_S}, (coalesce(ws, 0) + {PRIOR_W} * {PRIOR_S}) / (coalesce(w, 0) + {PRIOR_W}))), 6) AS front FROM k""")
 def g11_front_line(spark, data_dir):
-    """Where the front on the middle lane lies: attacks near the lane, smoothed in time by a two-sided kernel with a prior.
+    """Where the front lies on each lane at each tick: heroes that attack near a lane (the tables hold no minions), smoothed
+    in time by a two-sided kernel with a prior.
 
-    An attack is spread over the grid times it can reach, so that the range join is an equality join.
+    A contact is spread over the ticks it can reach, so that the range join is an equality join; sums combine on the map side.
     """
     x, z = F.col("x"), F.col("z")
-    contacts = base.anchors(spark, data_dir).filter("anchor_kind = 1").filter(lane_distance(x, z, "mid") <= 1400.0).select("match_id", "t", lane_fraction(x, z, "mid").alias("s"))
-    first, last = F.ceil((F.col("t") - WINDOW_S) / FRONT_STRIDE), F.floor((F.col("t") + WINDOW_S) / FRONT_STRIDE)
-    spread = contacts.withColumn("step", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last))).withColumn("tick", F.col("step") * FRONT_STRIDE)
+    hits = base.anchors(spark, data_dir).filter("anchor_kind = 1").select("match_id", "slot", F.rint("t").cast("int").alias("tick")).join(base.positions(spark, data_dir), ["match_id", "slot", "tick"])
+    nearest = F.array_min(F.array(*[F.struct(lane_distance(x, z, k).alias("d"), F.lit(k).alias("lane"), lane_fraction(x, z, k).alias("s")) for k in LANES]))
+    contacts = hits.select("match_id", F.col("tick").alias("t"), nearest.alias("n")).filter(F.col("n.d") <= CONTACT_R).groupBy("match_id", "n.lane", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("n.s").alias("s"))
+    spread = contacts.withColumn("tick", F.explode(F.sequence(F.greatest(F.col("t") - WINDOW_S, F.lit(0)), F.col("t") + WINDOW_S)))
     w = F.exp(-F.abs(F.col("t") - F.col("tick")) / TAU)
-    sums = spread.groupBy("match_id", F.col("tick").cast("int").alias("tick")).agg(F.sum(w).alias("w"), F.sum(w * F.col("s")).alias("ws"), F.count(F.lit(1)).alias("n"))
-    grid = table(spark, data_dir, "matches", "match_id", "n_ticks").filter("n_ticks > 0").select("match_id", F.explode(F.sequence(F.lit(0), F.col("n_ticks") - 1, F.lit(FRONT_STRIDE))).alias("tick"))
+    sums = spread.groupBy("match_id", "lane", "tick").agg(F.sum(w * F.col("n")).alias("w"), F.sum(w * F.col("s")).alias("ws"), F.sum("n").alias("n"))
+    grid = table(spark, data_dir, "matches", "match_id", "n_ticks").filter("n_ticks > 0").select("match_id", F.explode(F.sequence(F.lit(0), F.col("n_ticks") - 1)).alias("tick")).withColumn("lane", F.explode(F.array(*[F.lit(k) for k in LANES])))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     front = F.least(F.lit(HIGH_S), F.greatest(F.lit(LOW_S), (zero("ws") + PRIOR_W * PRIOR_S) / (zero("w") + PRIOR_W)))
-    return grid.join(sums, ["match_id", "tick"], "left").select("match_id", "tick", F.coalesce("n", F.lit(0)).alias("n_contacts"), F.round(front, 6).alias("front"))
+    return grid.join(sums, ["match_id", "lane", "tick"], "left").select("match_id", "lane", "tick", F.coalesce("n", F.lit(0)).alias("n_contacts"), F.round(front, 6).alias("front"))
 
 
 _TICKS = f"{base.ROSTER}, {base.FOG}, {base.TRANSITIONS}, {base.TICKS}"
@@ -331,13 +392,14 @@ def j1_fog_at_ticks(spark, data_dir):
 
 #: Regions by distance: on a lane, in the river (around the middle lane's line but not on a lane), at a base.
 LANE_R, RIVER_R, BASE_R = 1200.0, 3200.0, 2600.0
-_FOUNTAIN_D = "least(sqrt(pow(x - 1105.854, 2) + pow(z - 1139.715, 2)), sqrt(pow(x - 13651.391, 2) + pow(z - 13685.252, 2)))"
+_HOME = [world(FOUNTAINS[k]) for k in (0, 1)]
+_FOUNTAIN_D = f"least({', '.join(f'sqrt((x - {x!r}) * (x - {x!r}) + (z - {z!r}) * (z - {z!r}))' for x, z in _HOME)})"
 _REGION_SQL = f"""CASE WHEN {_FOUNTAIN_D} <= {BASE_R} THEN 'base' WHEN least({lane_distance_sql('top')}, {lane_distance_sql('mid')}, {lane_distance_sql('bot')}) <= {LANE_R} THEN 'lane'
  WHEN {lane_distance_sql('mid')} <= {RIVER_R} THEN 'river' ELSE 'jungle' END"""
 
 
 def region(x, z):
-    to = F.least(distance(x, z, F.lit(1105.854), F.lit(1139.715)), distance(x, z, F.lit(13651.391), F.lit(13685.252)))
+    to = F.least(*[distance(x, z, F.lit(a), F.lit(b)) for a, b in _HOME])
     lanes = F.least(*[lane_distance(x, z, k) for k in LANES])
     return F.when(to <= BASE_R, "base").when(lanes <= LANE_R, "lane").when(lane_distance(x, z, "mid") <= RIVER_R, "river").otherwise("jungle")
 
@@ -348,14 +410,16 @@ def j2_regions(spark, data_dir):
     return base.positions(spark, data_dir).groupBy("match_id", region(F.col("x"), F.col("z")).alias("region")).agg(F.count(F.lit(1)).alias("n_ticks"))
 
 
-_AGREE = _PROBES + f""", {base.FOG}, {base.TRANSITIONS}, {base.TICKS}, agreement AS (SELECT s.match_id, s.tick, s.slot, s.team, s.visible AS ours, v.visible AS fog, s.nearest, t.tx AS x, t.tz AS z
- FROM seen s JOIN visible_ticks v ON s.match_id = v.match_id AND s.slot = v.slot AND s.tick = v.tick JOIN targets t ON s.match_id = t.match_id AND s.slot = t.slot AND s.tick = t.tick)"""
+_AGREE = _REVEALS + f""", {_probes_sql('all_sources', 'probes_all')}, seen_all AS (SELECT match_id, tick, slot, team, CAST(bool_or(covers) AS INT) AS visible, min(CASE WHEN class <> 'reveal' THEN d END) AS nearest FROM probes_all GROUP BY match_id, tick, slot, team),
+{base.FOG}, {base.TRANSITIONS}, {base.TICKS}, agreement AS (SELECT s.match_id, s.tick, s.slot, s.team, s.visible AS ours, v.visible AS fog, s.nearest, t.tx AS x, t.tz AS z
+ FROM seen_all s JOIN visible_ticks v ON s.match_id = v.match_id AND s.slot = v.slot AND s.tick = v.tick JOIN targets t ON s.match_id = t.match_id AND s.slot = t.slot AND s.tick = t.tick)"""
 
 
 def agreement(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(match_id, slot, tick, team, ours, fog, nearest, x, z): what the sources show against what the fog record says."""
+    """(match_id, slot, tick, team, ours, fog, nearest, x, z): what the sources and reveals show against what the fog record
+    says; nearest is the distance of the nearest base source."""
     fog = base.visible_ticks(spark, data_dir).select("match_id", "slot", "tick", F.col("visible").alias("fog"))
-    ours = probes(spark, data_dir).groupBy("match_id", "tick", "slot", "team").agg(F.max(F.col("covers").cast("int")).alias("ours"), F.min("d").alias("nearest"), F.first("tx").alias("x"), F.first("tz").alias("z"))
+    ours = probes(spark, data_dir, all_sources(spark, data_dir)).groupBy("match_id", "tick", "slot", "team").agg(F.max(F.col("covers").cast("int")).alias("ours"), F.min(F.when(F.col("class") != "reveal", F.col("d"))).alias("nearest"), F.first("tx").alias("x"), F.first("tz").alias("z"))
     return ours.join(fog, ["match_id", "slot", "tick"])
 
 
@@ -392,7 +456,7 @@ def j7_nearest_sources(spark, data_dir):
     return per.groupBy("match_id", "class").agg(F.count(F.lit(1)).alias("n_ticks"), F.round(F.percentile("d", F.lit(0.5)), 4).alias("median"))
 
 
-@query(_AGREE.replace(f", {base.FOG}", f", {base.ANCHORS}, ages AS (SELECT p.match_id, p.slot, p.tick, p.tick - a.t AS age FROM positions p ASOF LEFT JOIN anchors a ON p.match_id = a.match_id AND p.slot = a.slot AND p.tick >= a.t), {base.FOG}", 1) + """
+@query(_AGREE + """, ages AS (SELECT p.match_id, p.slot, p.tick, p.tick - a.t AS age FROM positions p ASOF LEFT JOIN anchors a ON p.match_id = a.match_id AND p.slot = a.slot AND p.tick >= a.t)
 SELECT CASE WHEN age IS NULL THEN 'none' WHEN age < 0.5 THEN '0-0.5' WHEN age < 2 THEN '0.5-2' WHEN age < 5 THEN '2-5' ELSE '5+' END AS band, fog, count(*) AS n, round(avg(CASE WHEN ours = fog THEN 1.0 ELSE 0.0 END), 6) AS agree, round(quantile_cont(round(nearest, 0), 0.5), 3) AS median_nearest,
  round(avg(CASE WHEN nearest > 1350 THEN 1.0 ELSE 0.0 END), 6) AS share_far FROM agreement g JOIN ages a ON g.match_id = a.match_id AND g.slot = a.slot AND g.tick = a.tick GROUP BY band, fog""")
 def j8_staleness(spark, data_dir):
@@ -410,12 +474,12 @@ def j8_staleness(spark, data_dir):
 
 
 @query(_AGREE + """, wrong AS (SELECT match_id, slot, tick FROM agreement WHERE ours = 1 AND fog = 0),
-c AS (SELECT w.match_id, w.slot, w.tick, p.class FROM wrong w JOIN probes p ON w.match_id = p.match_id AND w.slot = p.slot AND w.tick = p.tick WHERE p.covers GROUP BY ALL),
+c AS (SELECT w.match_id, w.slot, w.tick, p.class FROM wrong w JOIN probes_all p ON w.match_id = p.match_id AND w.slot = p.slot AND w.tick = p.tick WHERE p.covers GROUP BY ALL),
 n AS (SELECT *, count(*) OVER (PARTITION BY match_id, slot, tick) AS k FROM c)
 SELECT match_id, class, count(*) AS n_covering, count(*) FILTER (WHERE k = 1) AS n_sole FROM n GROUP BY match_id, class""")
 def j9_blame(spark, data_dir):
     """Which class of source covers the heroes that we see and the fog record doesn't, and for how many it alone does."""
-    classes = probes(spark, data_dir).groupBy("match_id", "slot", "tick").agg(F.max(F.col("covers").cast("int")).alias("ours"), F.collect_set(F.when(F.col("covers"), F.col("class"))).alias("classes"))
+    classes = probes(spark, data_dir, all_sources(spark, data_dir)).groupBy("match_id", "slot", "tick").agg(F.max(F.col("covers").cast("int")).alias("ours"), F.collect_set(F.when(F.col("covers"), F.col("class"))).alias("classes"))
     fog = base.visible_ticks(spark, data_dir).filter("visible = 0").select("match_id", "slot", "tick")
     wrong = classes.filter("ours = 1").join(fog, ["match_id", "slot", "tick"])
     return wrong.select("match_id", F.explode("classes").alias("class"), (F.size("classes") == 1).alias("sole")).groupBy("match_id", "class").agg(F.count(F.lit(1)).alias("n_covering"), F.count_if("sole").alias("n_sole"))

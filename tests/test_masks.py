@@ -1,14 +1,10 @@
 """Team masks hold every tick and are the cells within a source's radius."""
 
-import os
 from collections import defaultdict
 
-import duckdb
 import numpy as np
-import pandas as pd
 
 from mistrail.plans import vision
-from tools.compare import plain
 
 
 def brute_force(rows):
@@ -26,18 +22,10 @@ def test_masks_of_every_tick_equal_brute_force(spark, small):
     got = defaultdict(lambda: np.zeros((vision.SIDE, vision.SIDE), bool))
     for r in vision.f7_team_masks_per_tick(spark, small).collect():
         got[r.match_id, r.tick, r.team][r.word] = [(r.low if j < 32 else r.high) >> j % 32 & 1 for j in range(vision.SIDE)]
-    assert set(got) == set(want) and len({t % vision.MASK_STRIDE for _, t, _ in got}) == vision.MASK_STRIDE
+    assert set(got) == set(want) and {t for _, t, _ in got} >= set(range(100))
     assert all((got[k] == want[k]).all() for k in want)
     areas = {(r.match_id, r.tick, r.team): r.n_cells for r in vision.f9_mask_areas_per_tick(spark, small).collect()}
     assert areas == {k: g.sum() for k, g in want.items()}
-    coarse = {(r.match_id, r.tick, r.team): r.n_lit for r in vision.k5_coarse_masks_per_tick(spark, small).collect()}
-    assert coarse == {k: g.reshape(8, 8, 8, 8).any((1, 3)).sum() for k, g in want.items()}
-
-
-def test_strided_masks_are_those_of_their_sql(spark, small):
-    con = duckdb.connect()
-    for f in os.listdir(small):
-        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{small}/{f}'")
-    for name in ("f7_team_masks", "f9_mask_areas", "k5_coarse_masks"):
-        for n in (name, f"{name}_per_tick"):
-            pd.testing.assert_frame_equal(plain(vision.QUERIES[n](spark, small).toPandas()), plain(con.execute(vision.SQL[n]).df()), check_dtype=False)
+    coarse = {(r.match_id, r.tick, r.team): (r.n_lit, r.cells % 2**64) for r in vision.k5_coarse_masks_per_tick(spark, small).collect()}
+    blocks = {k: g.reshape(8, 8, 8, 8).any((1, 3)).ravel() for k, g in want.items()}
+    assert coarse == {k: (b.sum(), sum(1 << i for i in map(int, b.nonzero()[0]))) for k, b in blocks.items()}
