@@ -9,44 +9,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Start of the matches' clock as a timestamp, and how late a packet may come.
-EPOCH = "2024-01-01 00:00:00"
-LATENESS = "2 seconds"
+#: How late a packet may come, and for how long after a match's end its units are remembered.
+LATENESS = "10 seconds"
+LATENESS_MS = 10_000
+#: Length of a match whose duration isn't known.
+LONGEST_S = 7200.0
 _OUT = "match_id string, net_id long, t double, seq long, visible int"
 
 
+def timed(packets: DataFrame) -> DataFrame:
+    """``packets`` (match_id, t, started_at and more) on the clock of the wall: ``at`` is started_at + t, with a watermark."""
+    rows = packets.filter("match_id IS NOT NULL AND t IS NOT NULL AND NOT isnan(t) AND abs(t) < 1e9 AND started_at IS NOT NULL")
+    return rows.withColumn("at", F.expr("CAST(started_at AS TIMESTAMP) + make_dt_interval(0, 0, 0, t)")).withWatermark("at", LATENESS)
+
+
 def fog_stream(packets: DataFrame) -> DataFrame:
-    """Transitions of a stream of fog packets (match_id, seq, t, net_id, leaving).
+    """Transitions (match_id, net_id, t, seq, visible) of a stream of fog packets.
 
-    Resent packets are dropped within the watermark. Per unit the state holds the packets of the last LATENESS and what
-    the unit's last transition was: packets leave it in order of (t, seq) once nothing earlier can come.
+    ``packets``: match_id, seq, t, net_id, leaving, started_at and duration of the match. Matches may follow one another or
+    overlap: time is that of the wall. Rows without net_id or leaving only move the clock on, such as one at the end of a
+    match. Per unit the state holds the packets that something earlier may still come before, and what the unit's last
+    transition was; packets leave it in order of (t, seq) once the watermark has passed them. The state is removed when the
+    watermark has passed the match's end.
 
-    Defined results: packets without t or leaving are left out; a packet later than the watermark is dropped.
+    Defined results: rows without t, match_id or started_at are left out; resent packets count once; a packet that comes
+    later than the watermark is dropped; a match without a duration is remembered for LONGEST_S.
     """
-    rows = packets.filter("t IS NOT NULL AND NOT isnan(t) AND leaving IS NOT NULL")
-    timed = rows.withColumn("at", F.expr(f"timestamp'{EPOCH}' + make_dt_interval(0, 0, 0, t)")).withWatermark("at", LATENESS)
-    once = timed.dropDuplicatesWithinWatermark(["match_id", "seq"])
+    shape = timed(packets).select("match_id", "net_id", "seq", "t", "at", F.col("leaving").cast("int").alias("on"), F.unix_millis(F.col("started_at").cast("timestamp")).alias("began"), F.coalesce("duration", F.lit(LONGEST_S)).alias("lasts"))
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, seqs, ons, last = state.get if state.exists else ([], [], [], 0)
-        held = list(zip(times, seqs, ons))
+        held, last, began, end = [], 0, 0, 0
+        if state.exists:
+            times, seqs, ons, last, began, end = state.get
+            held = list(zip(times, seqs, ons))
         if not state.hasTimedOut:
             for frame in frames:
-                held.extend(zip(frame["t"].tolist(), frame["seq"].tolist(), frame["leaving"].astype(int).tolist()))
-        held.sort()
-        limit = (pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms") - pd.Timestamp(EPOCH)).total_seconds()
+                frame = frame[frame["on"].notna() & frame["net_id"].notna()]
+                if len(frame):
+                    began, end = int(frame["began"].iloc[0]), int(frame["began"].iloc[0] + 1000 * frame["lasts"].iloc[0])
+                    held.extend(zip(frame["t"].tolist(), frame["seq"].tolist(), frame["on"].astype(int).tolist()))
+        if pd.isna(key[1]) or not (held or state.exists):
+            return
+        held = sorted(set(held))
+        watermark = state.getCurrentWatermarkMs()
         out, k = [], 0
-        while k < len(held) and held[k][0] < limit:
+        while k < len(held) and began + 1000 * held[k][0] < watermark:
             t, seq, on = held[k]
             if on != last:
                 out.append((*key, t, seq, on))
                 last = on
             k += 1
         held = held[k:]
-        state.update(([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], last))
-        if held:
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(EPOCH).timestamp() * 1000 + held[0][0] * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        if not held and end + LATENESS_MS < watermark:
+            state.remove()
+        else:
+            state.update(([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], last, began, end))
+            due = began + int(1000 * held[0][0]) + 1 if held else end + LATENESS_MS + 1
+            state.setTimeoutTimestamp(max(due, watermark + 1))
         yield pd.DataFrame(out, columns=["match_id", "net_id", "t", "seq", "visible"])
 
-    state = "times array<double>, seqs array<long>, ons array<int>, last int"
-    return once.groupBy("match_id", "net_id").applyInPandasWithState(advance, _OUT, state, "append", GroupStateTimeout.EventTimeTimeout)
+    state = "times array<double>, seqs array<long>, ons array<int>, last int, began long, end long"
+    return shape.groupBy("match_id", "net_id").applyInPandasWithState(advance, _OUT, state, "append", GroupStateTimeout.EventTimeTimeout)
