@@ -16,6 +16,13 @@ LANES = {
     "bot": [(0.20, 0.895), (0.60, 0.922), (0.80, 0.905), (0.905, 0.835), (0.925, 0.56), (0.90, 0.20)],
 }
 FOUNTAINS = {0: (0.075, 0.925), 1: (0.925, 0.075)}
+# Routes through the jungle of each side, in the same fractions: fixed values.
+JUNGLE = {
+    0: [(0.10, 0.62), (0.204, 0.516), (0.308, 0.412), (0.332, 0.332), (0.44, 0.44), (0.484, 0.796), (0.588, 0.692), (0.412, 0.63), (0.24, 0.72)],
+    1: [(0.90, 0.38), (0.796, 0.484), (0.692, 0.588), (0.668, 0.668), (0.56, 0.56), (0.516, 0.204), (0.412, 0.308), (0.60, 0.37), (0.76, 0.28)],
+}
+#: Lane of each role; the jungle has its routes.
+ROLE_LANES = {"top": "top", "mid": "mid", "bot": "bot", "support": "bot"}
 
 
 def world(point: tuple[float, float]) -> tuple[float, float]:
@@ -66,3 +73,12 @@ def lane_distance_sql(lane: str) -> str:
         f = f"greatest(0.0, least(1.0, ((x - {x0!r}) * {dx!r} + (z - {z0!r}) * {dz!r}) / {dx * dx + dz * dz!r}))"
         parts.append(f"sqrt(pow(x - ({x0!r} + {f} * {dx!r}), 2) + pow(z - ({z0!r} + {f} * {dz!r}), 2))")
     return f"least({', '.join(parts)})"
+
+
+def places_of(role: str | None, team: int) -> list[tuple[float, float]]:
+    """Where a hero of this role walks to: the corners of its lane or of the jungle's routes (of all, where the role isn't
+    known), and its own fountain."""
+    lanes = [ROLE_LANES[role]] if role in ROLE_LANES else [] if role == "jungle" else list(LANES)
+    points = [p for lane in lanes for p in LANES[lane]]
+    points += [] if role in ROLE_LANES else [p for side in JUNGLE.values() for p in side]
+    return [world(p) for p in [*points, FOUNTAINS[team]]]

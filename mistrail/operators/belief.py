@@ -1,88 +1,125 @@
-"""Beliefs about where hidden heroes are: a particle filter per hero with sightings and their absence as evidence."""
+"""Beliefs about where hidden heroes are: particle filters with sightings and their absence as evidence."""
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-
-#: Columns of the belief: probability per bin of a LATTICE x LATTICE grid, for every emitted tick.
-LATTICE = 32
-_OUT = "model string, match_id string, slot int, tick int, bin int, p double, ess double"
-
-
-@dataclass(frozen=True)
-class BeliefModel:
-    """One way to believe; the models of an ablation differ in single fields."""
-
-    name: str = "full"
-    particles: int = 256
-    #: Steps as a share of the greatest speed, chance to keep the heading, whether unseen ticks count as evidence.
-    persistence: float = 0.8
-    negative: bool = True
-    speed: float = 400.0
-    detect: float = 0.95
-    stride: int = 10
-    side: float = 14_760.0
-
-
-def _filter(observed: pd.DataFrame, sources: pd.DataFrame, model: BeliefModel, seed: int) -> list[tuple[int, int, float, float]]:
-    """(tick, bin, probability, effective sample size) at every stride-th tick."""
-    rng = np.random.default_rng(seed)
-    n = model.particles
-    at = rng.uniform(0, model.side, (n, 2))
-    heading = rng.uniform(0, 2 * np.pi, n)
-    weight = np.full(n, 1.0 / n)
-    by_tick = {t: f[["x", "z", "r"]].to_numpy() for t, f in sources.groupby("tick")} if model.negative and len(sources) else {}
-    out = []
-    for tick, seen, x, z in observed.sort_values("tick")[["tick", "seen", "x", "z"]].itertuples(index=False):
-        turn = rng.random(n) > model.persistence
-        heading = np.where(turn, rng.uniform(0, 2 * np.pi, n), heading)
-        step = model.speed * rng.random(n)
-        at = np.clip(at + np.stack([np.cos(heading), np.sin(heading)], 1) * step[:, None], 0, model.side)
-        if seen and x == x and z == z:
-            at, weight = np.tile([x, z], (n, 1)), np.full(n, 1.0 / n)
-        elif not seen and tick in by_tick:
-            s = by_tick[tick]
-            inside = (((at[:, None, :] - s[None, :, :2]) ** 2).sum(2) <= s[None, :, 2] ** 2).any(1)
-            weight = weight * np.where(inside, 1.0 - model.detect, 1.0)
-            weight /= weight.sum()
-        ess = 1.0 / (weight**2).sum()
-        if ess < 0.5 * n:
-            # Systematic resampling: one draw, n strata.
-            pick = np.minimum(np.searchsorted(np.cumsum(weight), (rng.random() + np.arange(n)) / n), n - 1)
-            at, heading, weight = at[pick], heading[pick], np.full(n, 1.0 / n)
-        if tick % model.stride == 0:
-            cell = np.minimum((at / (model.side / LATTICE)).astype(int), LATTICE - 1)
-            mass = np.bincount(cell[:, 0] * LATTICE + cell[:, 1], weights=weight, minlength=LATTICE * LATTICE)
-            out.extend((int(tick), int(b), float(mass[b]), float(ess)) for b in np.flatnonzero(mass))
-    return out
-
-
-def beliefs(observations: DataFrame, sources: DataFrame, models: list[BeliefModel]) -> DataFrame:
-    """(model, match_id, slot, tick, bin, p, ess) for hidden and seen heroes, every ``stride`` ticks.
-
-    ``observations``: match_id, slot, team (the observer's), tick, seen, x, z, with x and z only where seen: the filter
-    reads no truth. ``sources``: match_id, tick, team, x, z, r, the observer's sources of sight. A group is a hero in a
-    match, with a number of rows in proportion to the match's ticks; draws are seeded by the group, so results don't
-    depend on the order of tasks.
-
-    Defined results: rows with a null key or tick are left out; no observations give no rows; a hero without sources
-    loses nothing by being unseen.
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from mistrail.functions.filtering import LATTICE, BeliefModel, Filters, Ground, Histogram, detection, normalised
+from mistrail.functions.geometry import FOUNTAINS, places_of, world
+from mistrail.functions.ground import Raster
+
+_OUT = "model string, match_id string, slot int, tick int, alive boolean, seen boolean, ess double, entropy double, area int, bins array<int>, p array<double>"
+_GROUNDS: dict[tuple[int, float], Ground] = {}
+
+
+def _ground(raster: Raster, cell: float) -> Ground:
+    """The raster made ready, once per Python worker."""
+    key = (zlib.crc32(raster.open.tobytes()), cell)
+    if key not in _GROUNDS:
+        _GROUNDS.clear()
+        _GROUNDS[key] = Ground(raster, cell)
+    return _GROUNDS[key]
+
+
+def entropy_bits(p: np.ndarray, ess: np.ndarray, bins: int) -> np.ndarray:
+    """Entropy of each row with the Miller-Madow correction for ``ess`` draws, at most that of ``bins`` equal bins."""
+    plain = -(p * np.log2(np.where(p > 0, p, 1.0))).sum(1)
+    return np.minimum(plain + np.where(ess > 0, ((p > 0).sum(1) - 1) / (2 * np.where(ess > 0, ess, 1.0) * np.log(2)), 0.0), np.log2(max(1, bins)))
+
+
+def densest(p: np.ndarray, mass: float) -> np.ndarray:
+    """How many bins of each row, the densest first, hold ``mass``."""
+    upto = np.cumsum(-np.sort(-p, axis=1), axis=1)
+    return np.minimum((upto < mass - 1e-12).sum(1) + 1, p.shape[1])
+
+
+def beliefs(observations: DataFrame, sources: DataFrame, models: list[BeliefModel], raster: Raster, cell: float, tick_s: float = 1.0, mass: float = 0.9) -> DataFrame:
+    """(model, match_id, slot, tick, alive, seen, ess, entropy, area, bins, p): the belief in each hero at every tick, by bins
+    of the lattice, with its entropy in bits and the number of densest bins that hold ``mass``.
+
+    ``observations``: match_id, slot, team (the observer's), role, tick, alive, seen, x, z, with x and z only where seen: the
+    filter reads no truth. ``sources``: match_id, tick, team, x, z, r, the observer's sources of sight.
+
+    Method: particles on the cells of ``raster`` move by the model's motion, gather in the cell of a sighting, and lose
+    weight where the observer looks and sees nothing; they are drawn anew by systematic resampling, or from the cells in
+    reach that lie in the dark when too few are left. Dead heroes stand still and begin again at their fountain.
+
+    A group is a match with one model, its heroes side by side, with rows in proportion to the match's length; models are
+    groups of their own. Draws are seeded by the match, so results don't depend on the order of tasks.
+
+    Defined results: rows with a null key, team or tick are left out; no observations give no rows; a hero without sources
+    loses nothing by being unseen; a sighting without a position tells nothing.
+    """
+    kinds = F.explode(F.array(*[F.lit(m.name) for m in models]))
+    left = observations.filter("match_id IS NOT NULL AND slot IS NOT NULL AND team IS NOT NULL AND tick IS NOT NULL").select("match_id", kinds.alias("model"), "slot", "team", "role", "tick", "alive", "seen", "x", "z")
+    right = sources.filter("match_id IS NOT NULL AND tick IS NOT NULL").select("match_id", kinds.alias("model"), "tick", "team", "x", "z", "r")
+    by_name = {m.name: m for m in models}
+
+    def run(key: tuple, seen: pd.DataFrame, lit: pd.DataFrame) -> pd.DataFrame:
+        match_id, name = key
+        columns = [c.split()[0] for c in _OUT.split(", ")]
+        if not len(seen):
+            return pd.DataFrame([], columns=columns)
+        model, ground = by_name[name], _ground(raster, cell)
+        heroes = seen.sort_values("tick").groupby("slot").agg(team=("team", "first"), role=("role", "first")).reset_index()
+        homes = np.array([ground.nearest_open(int(ground.cell_of(*world(FOUNTAINS[1 - int(t)])))) for t in heroes["team"]])
+        goals = []
+        for role, team in zip(heroes["role"], heroes["team"]):
+            cells = ground.cell_of(*np.array(places_of(role, 1 - int(team))).T)
+            cells = np.unique(cells[ground.raster.open.ravel()[cells]])
+            goals.append(cells if len(cells) else ground.open[:1])
+        filters = Filters(ground, model, homes, goals, tick_s, np.random.default_rng(zlib.crc32(str(match_id).encode())))
+        histogram = Histogram(ground, model.smoothing)
+        n = len(heroes)
+        place = {s: k for k, s in enumerate(heroes["slot"])}
+        by_tick = {t: f for t, f in seen.groupby("tick")}
+        sources_of = {k: f[["x", "z", "r"]].to_numpy(float) for k, f in lit.groupby(["tick", "team"])} if model.negative else {}
+        team = heroes["team"].to_numpy(int)
+        out = []
+        for tick in range(int(seen["tick"].max()) + 1):
+            alive, spotted, observed = np.ones(n, bool), np.zeros(n, bool), np.full(n, -1)
+            rows = by_tick.get(tick)
+            if rows is not None:
+                at = rows["slot"].map(place).to_numpy(int)
+                alive[at], spotted[at] = rows["alive"].to_numpy(bool), rows["seen"].to_numpy(bool)
+                known = rows["x"].notna().to_numpy() & rows["z"].notna().to_numpy() & spotted[at]
+                observed[at[known]] = ground.cell_of(rows["x"].to_numpy(float)[known], rows["z"].to_numpy(float)[known])
+            pd_of = np.zeros((n, ground.side**2))
+            if model.negative:
+                for t in set(team):
+                    s = sources_of.get((tick, t))
+                    if s is not None:
+                        pd_of[team == t] = detection(ground, s[:, 0], s[:, 1], s[:, 2], model)
+            filters.tick(tick, alive, spotted, observed, pd_of)
+            if rows is None:
+                continue
+            weight = normalised(filters.logw)
+            p = histogram(filters.cell, weight)
+            ess = 1 / (weight * weight).sum(1)
+            bits, area = entropy_bits(p, ess, int(histogram.open.sum())), densest(p, mass)
+            for k in at:
+                bins = np.flatnonzero(p[k])
+                out.append((name, match_id, int(heroes["slot"].iloc[k]), tick, bool(alive[k]), bool(spotted[k]), float(ess[k]), float(bits[k]), int(area[k]), bins.tolist(), p[k, bins].tolist()))
+        return pd.DataFrame(out, columns=columns)
+
+    return left.groupBy("match_id", "model").cogroup(right.groupBy("match_id", "model")).applyInPandas(run, _OUT)
+
+
+def mass_at(bin_no: Column) -> Column:
+    """The belief's probability of a bin."""
+    return F.coalesce(F.element_at("p", F.when(F.array_position("bins", bin_no) > 0, F.array_position("bins", bin_no).cast("int"))), F.lit(0.0))
+
+
+def scored(belief: DataFrame, truth: DataFrame) -> DataFrame:
+    """``belief`` of the alive and unseen heroes whose true place is known, with p_true, pit and the model's name.
+
+    ``truth``: match_id, slot, tick, true_bin. pit is the mass of the bins denser than the true one, and its own.
     """
-    left = observations.filter("match_id IS NOT NULL AND slot IS NOT NULL AND tick IS NOT NULL")
-    sides = left.select("match_id", "slot", "team").distinct()
-    right = sources.join(sides, ["match_id", "team"]).selectExpr("match_id AS of_match", "slot AS of_slot", "tick", "x", "z", "r")
-
-    def run(key, seen: pd.DataFrame, lit: pd.DataFrame) -> pd.DataFrame:
-        match_id, slot = key
-        rows = []
-        for model in models:
-            seed = zlib.crc32(f"{match_id}/{slot}/{model.particles}".encode())
-            rows.extend((model.name, match_id, int(slot), *r) for r in _filter(seen, lit, model, seed))
-        return pd.DataFrame(rows, columns=["model", "match_id", "slot", "tick", "bin", "p", "ess"])
-
-    return left.groupBy("match_id", "slot").cogroup(right.groupBy("of_match", "of_slot")).applyInPandas(run, _OUT)
+    joined = belief.filter("alive AND NOT seen").join(truth, ["match_id", "slot", "tick"]).withColumn("p_true", mass_at(F.col("true_bin")))
+    denser = F.aggregate(F.filter("p", lambda v: v > F.col("p_true")), F.lit(0.0), lambda a, v: a + v)
+    return joined.withColumn("pit", denser + F.col("p_true"))
