@@ -11,12 +11,6 @@ from mistrail.plans import registry
 
 def main(args: list[str]) -> int:
     queries = registry.queries()
-    try:
-        from importlib import import_module
-
-        queries |= import_module("mistrail.llm.queries").QUERIES
-    except ImportError:
-        pass
     if len(args) < 2 or args[0] not in queries:
         print(__doc__, *(f"{name}: {(q.__doc__ or '').strip().splitlines()[0] if q.__doc__ else ''}" for name, q in sorted(queries.items())), sep="\n")
         return int(bool(args))

@@ -111,10 +111,11 @@ class Ground:
             moved = np.flatnonzero(heading < STAY)
             w[moved, heading[moved]] *= 1 + model.persistence
         if goal is not None:
-            gi, gj = goal // self.side - cell // self.side, goal % self.side - cell % self.side
-            norm = np.hypot(gi, gj)
-            aim = (MOVES[:, 0] * gi[:, None] + MOVES[:, 1] * gj[:, None]) / np.where(norm > 0, norm, 1.0)[:, None] / np.hypot(*MOVES.T)
-            w = w * np.exp(model.goal_beta * np.where(norm[:, None] > 0, aim, 0.0))
+            (gi, gj), (i, j) = np.divmod(goal, self.side), np.divmod(cell, self.side)
+            to = np.stack([gi - i, gj - j], 1).astype(np.float32)
+            norm = np.sqrt((to * to).sum(1, keepdims=True))
+            # The cosine between each move and the way to the goal; 0 at the goal.
+            w *= np.exp(to / np.where(norm > 0, norm, 1) @ (model.goal_beta * MOVES / np.hypot(*MOVES.T)[:, None]).T.astype(np.float32))
         upto = np.cumsum(w, axis=1)
         total = upto[:, -1] / (1 - model.stay)
         pick = (draw[:, None] * total[:, None] >= upto).sum(1)

@@ -38,7 +38,7 @@ def densest(p: np.ndarray, mass: float) -> np.ndarray:
     return np.minimum((upto < mass - 1e-12).sum(1) + 1, p.shape[1])
 
 
-def beliefs(observations: DataFrame, sources: DataFrame, models: list[BeliefModel], raster: Raster, cell: float, tick_s: float = 1.0, mass: float = 0.9) -> DataFrame:
+def beliefs(observations: DataFrame, sources: DataFrame, models: list[BeliefModel], raster: Raster, cell: float, tick_s: float = 1.0, mass: float = 0.9, matches: int | None = None) -> DataFrame:
     """(model, match_id, slot, tick, alive, seen, ess, entropy, area, bins, p): the belief in each hero at every tick, by bins
     of the lattice, with its entropy in bits and the number of densest bins that hold ``mass``.
 
@@ -50,7 +50,8 @@ def beliefs(observations: DataFrame, sources: DataFrame, models: list[BeliefMode
     reach that lie in the dark when too few are left. Dead heroes stand still and begin again at their fountain.
 
     A group is a match with one model, its heroes side by side, with rows in proportion to the match's length; models are
-    groups of their own. Draws are seeded by the match, so results don't depend on the order of tasks.
+    groups of their own. Draws are seeded by the match, so results don't depend on the order of tasks. ``matches``, how many
+    there are, spreads the groups over as many partitions (64 to one beyond 2,000): a group takes time, not bytes.
 
     Defined results: rows with a null key, team or tick are left out; no observations give no rows; a hero without sources
     loses nothing by being unseen; a sighting without a position tells nothing.
@@ -107,6 +108,10 @@ def beliefs(observations: DataFrame, sources: DataFrame, models: list[BeliefMode
                 out.append((name, match_id, int(heroes["slot"].iloc[k]), tick, bool(alive[k]), bool(spotted[k]), float(ess[k]), float(bits[k]), int(area[k]), bins.tolist(), p[k, bins].tolist()))
         return pd.DataFrame(out, columns=columns)
 
+    if matches:
+        groups = matches * len(models)
+        parts = max(min(groups, 2000), groups // 64)
+        left, right = left.repartition(parts, "match_id", "model"), right.repartition(parts, "match_id", "model")
     return left.groupBy("match_id", "model").cogroup(right.groupBy("match_id", "model")).applyInPandas(run, _OUT)
 
 
@@ -115,11 +120,14 @@ def mass_at(bin_no: Column) -> Column:
     return F.coalesce(F.element_at("p", F.when(F.array_position("bins", bin_no) > 0, F.array_position("bins", bin_no).cast("int"))), F.lit(0.0))
 
 
-def scored(belief: DataFrame, truth: DataFrame) -> DataFrame:
-    """``belief`` of the alive and unseen heroes whose true place is known, with p_true, pit and the model's name.
+def scored(belief: DataFrame, truth: DataFrame, every: bool = False) -> DataFrame:
+    """``belief`` of the alive and unseen heroes whose true place is known, with p_true and pit; with ``every``, all of
+    ``belief``, and the two null where that isn't so.
 
     ``truth``: match_id, slot, tick, true_bin. pit is the mass of the bins denser than the true one, and its own.
     """
-    joined = belief.filter("alive AND NOT seen").join(truth, ["match_id", "slot", "tick"]).withColumn("p_true", mass_at(F.col("true_bin")))
+    asked = F.col("alive") & ~F.col("seen")
+    joined = belief.join(truth, ["match_id", "slot", "tick"], "left") if every else belief.filter(asked).join(truth, ["match_id", "slot", "tick"])
+    joined = joined.withColumn("p_true", F.when(asked & F.col("true_bin").isNotNull(), mass_at(F.col("true_bin"))))
     denser = F.aggregate(F.filter("p", lambda v: v > F.col("p_true")), F.lit(0.0), lambda a, v: a + v)
-    return joined.withColumn("pit", denser + F.col("p_true"))
+    return joined.withColumn("pit", F.when(F.col("p_true").isNotNull(), denser + F.col("p_true")))

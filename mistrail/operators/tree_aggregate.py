@@ -39,27 +39,37 @@ def total(name: str, column: str) -> Part:
     return Part(name, lambda: F.sum(column), F.sum)
 
 
-def rounds_for(rows: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> int:
+def chunks_for(rows: int, partitions: int, chunk_rows: int = CHUNK_ROWS) -> tuple[int, int]:
+    """Chunks that a partition may have at most, and all in all."""
+    per_partition = max(1, math.ceil(rows / chunk_rows))
+    return per_partition, per_partition * max(1, partitions)
+
+
+def rounds_for(chunks: int, fan_in: int = FAN_IN) -> int:
     """Rounds after which one node is left: the logarithm of the number of chunks to the base ``fan_in``."""
-    return max(1, math.ceil(math.log(max(2, math.ceil(rows / chunk_rows)), fan_in)))
+    rounds = 1
+    while fan_in**rounds < chunks:
+        rounds += 1
+    return rounds
 
 
 def tree_aggregate(df: DataFrame, keys: list[str], parts: list[Part], rows: int | None = None, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per combination of ``keys`` with the results of ``parts``.
 
-    The input is cut into chunks of ``chunk_rows`` rows as it is read, each chunk is combined locally to one state per
-    key, and rounds of merging bring ``fan_in`` chunks together at a time until one state per key is left. A key that
-    holds a third of all rows sends each task of a round at most ``fan_in`` states. ``rows`` sizes the tree (counted if
-    not given); a wrong figure only makes it more or less deep than needed.
+    The input is cut into chunks of ``chunk_rows`` rows of an input partition as it is read, each chunk is combined locally
+    to one state per key, and rounds of merging bring ``fan_in`` neighbouring chunks together at a time until one state per
+    key is left. A key that holds a third of all rows sends each task of a round at most ``fan_in`` states of its own.
+    ``rows`` sizes the tree (counted if not given); a figure that is too small only lets nodes have more than that.
 
     Defined results: null keys make a group of their own; nulls in the columns follow the aggregate at hand; no rows
     give no rows. Columns that are not used don't matter.
     """
-    rounds = rounds_for(df.count() if rows is None else rows, chunk_rows, fan_in)
-    leaves = fan_in**rounds
+    per_partition, chunks = chunks_for(df.count() if rows is None else rows, df.rdd.getNumPartitions(), chunk_rows)
+    rounds = rounds_for(chunks, fan_in)
     # monotonically_increasing_id holds the input partition above bit 33 and the row in it below.
     place = F.monotonically_increasing_id()
-    chunk = F.pmod(F.shiftright(place, 33) * F.lit(7919) + F.floor(F.pmod(place, F.lit(1 << 33)) / F.lit(chunk_rows)), F.lit(leaves)).cast("long")
+    inside = F.least(F.floor(F.pmod(place, F.lit(1 << 33)) / F.lit(chunk_rows)), F.lit(per_partition - 1))
+    chunk = (F.shiftright(place, 33) * F.lit(per_partition) + inside).cast("long")
     states = df.withColumn("__node", chunk).groupBy(*keys, "__node").agg(*[p.leaf().alias(p.name) for p in parts])
     for level in range(rounds):
         up = F.floor(F.col("__node") / F.lit(fan_in)).cast("long")

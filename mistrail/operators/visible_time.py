@@ -27,18 +27,27 @@ def _joined(states: Column) -> Column:
     )
 
 
-def visible_time(packets: DataFrame, levels: int = 4) -> DataFrame:
+def levels_for(last_t: float | None) -> int:
+    """Rounds after which the slices of a match are one."""
+    levels = 1
+    while LEAF_SECONDS * FAN_IN**levels <= (last_t or 0.0):
+        levels += 1
+    return levels
+
+
+def visible_time(packets: DataFrame, levels: int | None = None) -> DataFrame:
     """(net_id, n_packets, n_matches, first_t, last_t, visible_seconds) per net_id.
 
     ``packets``: match_id, seq, t, net_id, leaving; in a match the unit is visible from a packet with leaving true to its
-    next packet. Leaf: the packets of one unit, match and slice of LEAF_SECONDS; each of ``levels`` rounds joins FAN_IN
-    neighbouring slices in order of time (16 s * 16**4 is twelve days), and the matches of a net_id are merged by sums
+    next packet. Leaf: the packets of one unit, match and slice of LEAF_SECONDS; each of ``levels`` rounds (as many as
+    the latest packet needs, if not given) joins FAN_IN neighbouring slices in order of time, and the matches of a net_id are merged by sums
     over hashed nodes. A net_id that is in every match is in as many leaves as any other, so no task has most of the work.
 
     Defined results: resent packets (same match_id, seq, t) count once; packets without t, leaving or net_id are left
     out; after its last packet a unit's visibility is unknown and counts as none; no packets give no rows.
     """
     df = packets.select("match_id", "seq", "t", "net_id", "leaving").filter("t IS NOT NULL AND NOT isnan(t) AND leaving IS NOT NULL AND net_id IS NOT NULL")
+    levels = levels or levels_for(df.agg(F.max(F.abs("t"))).first()[0])
     df = df.withColumn("node", F.floor(F.col("t") / LEAF_SECONDS))
     order = Window.partitionBy("net_id", "match_id", "node").orderBy("t", "seq", "leaving")
     again = F.lag("seq").over(order).eqNullSafe(F.col("seq")) & (F.lag("t").over(order) == F.col("t")) & (F.lag("leaving").over(order) == F.col("leaving"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mistrail.operators.belief import LATTICE, BeliefModel, beliefs
+from mistrail.functions.filtering import LATTICE, MODELS, BeliefModel
+from mistrail.operators.belief import beliefs, scored
 from mistrail.operators.time_joins import as_of
 from mistrail.plans import base
+from mistrail.plans.ground_queries import ground
 from mistrail.plans.resolution import _DOWNS, downs
-from mistrail.plans.vision import _PROBES, _TICKS, probes, sources
+from mistrail.plans.vision import _PROBES, _TICKS, _WALKED, CELL, SIDE, all_sources, probes, walked_cells
 from mistrail.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -18,7 +20,9 @@ BIN = base.MAP_SIDE / LATTICE
 KEPT, AWAY_S = 0.75, 25.0
 #: Detection inside a source's radius and in the ring around its edge.
 INSIDE, RING, RING_WIDTH = 0.98, 0.75, 58.0
-MODELS = [BeliefModel("behavioural", negative=False), BeliefModel("full"), BeliefModel("diffusion", persistence=0.0, negative=False)]
+#: Levels at which coverage is measured, and the area of a bin in square thousands of units.
+LEVELS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+BIN_AREA = (BIN / 1000) ** 2
 
 
 def query(sql: str | None = None):
@@ -92,14 +96,13 @@ def h6_forward_step(spark, data_dir):
     return mass.join(transition_matrix(spark, data_dir), "a").groupBy(F.col("b").alias("bin")).agg(F.round(F.sum(F.col("mass") * F.col("p")), 8).alias("mass"))
 
 
-_DETECT = _PROBES + f""", rings AS (SELECT p.match_id, p.tick, p.slot, p.team, max(CASE WHEN p.d IS NULL THEN 0.0 WHEN p.d <= (CASE WHEN p.class = 'champion' THEN 1350.0 ELSE 900.0 END) - {RING_WIDTH} THEN {INSIDE}
- WHEN p.d <= (CASE WHEN p.class = 'champion' THEN 1350.0 ELSE 900.0 END) + {RING_WIDTH} THEN {RING} ELSE 0.0 END) AS pd FROM probes p GROUP BY ALL)"""
+_DETECT = _PROBES.replace("s.class,\n coalesce(", "s.class, s.r,\n coalesce(") + f""", rings AS (SELECT p.match_id, p.tick, p.slot, p.team, max(CASE WHEN p.d IS NULL THEN 0.0 WHEN p.d <= p.r - {RING_WIDTH} THEN {INSIDE} WHEN p.d <= p.r THEN {RING} ELSE 0.0 END) AS pd FROM probes p GROUP BY ALL)"""
 
 
 def detection(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(match_id, tick, slot, team, pd): chance that the other team detects a hero where it is."""
-    r = F.when(F.col("class") == "champion", 1350.0).otherwise(900.0)
-    pd = F.when(F.col("d").isNull(), 0.0).when(F.col("d") <= r - RING_WIDTH, INSIDE).when(F.col("d") <= r + RING_WIDTH, RING).otherwise(0.0)
+    """(match_id, tick, slot, team, pd): chance that the other team detects a hero where it is: by the radius of each source,
+    less near its edge."""
+    pd = F.when(F.col("d").isNull(), 0.0).when(F.col("d") <= F.col("r") - RING_WIDTH, INSIDE).when(F.col("d") <= F.col("r"), RING).otherwise(0.0)
     return probes(spark, data_dir).groupBy("match_id", "tick", "slot", "team").agg(F.max(pd).alias("pd"))
 
 
@@ -147,31 +150,127 @@ def h12_systematic_resampling(spark, data_dir):
     return c.select("match_id", "slot", "order_no", copies.alias("copies")).filter("copies > 0")
 
 
+def filter_input(spark: SparkSession, data_dir: str) -> DataFrame:
+    """``observations`` with the hero's role and whether it is alive, which all know."""
+    roles = table(spark, data_dir, "hero", "match_id", "slot", "hero_role").groupBy("match_id", "slot").agg(F.max(F.nullif(F.trim("hero_role"), F.lit(""))).alias("role"))
+    spans = h3_away_spans(spark, data_dir).filter("end_tick > first_tick")
+    away = spans.select("match_id", "slot", F.explode(F.sequence("first_tick", F.col("end_tick") - 1)).alias("tick"), F.lit(False).alias("alive")).distinct()
+    rows = observations(spark, data_dir).join(roles, ["match_id", "slot"], "left").join(away, ["match_id", "slot", "tick"], "left")
+    return rows.select("match_id", "slot", "team", "role", "tick", F.coalesce("alive", F.lit(True)).alias("alive"), (F.col("seen") == 1).alias("seen"), "x", "z")
+
+
+def believed(spark: SparkSession, data_dir: str, models: list[BeliefModel]) -> DataFrame:
+    """The beliefs of ``models`` at every tick, from what each team observes and sees; see operators.belief."""
+    return beliefs(filter_input(spark, data_dir), all_sources(spark, data_dir).select("match_id", "tick", "team", "x", "z", "r"), models, ground(spark, data_dir), CELL, matches=table(spark, data_dir, "matches", "match_id").count())
+
+
+def true_bins(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(match_id, slot, tick, x, z, true_bin): the truth, which is joined to beliefs only when they are scored."""
+    low = lambda c: F.least(F.floor(F.col(c) / BIN), F.lit(LATTICE - 1)).cast("int")
+    return base.positions(spark, data_dir).select("match_id", "slot", "tick", "x", "z", (low("x") * LATTICE + low("z")).alias("true_bin"))
+
+
 @query()
 def h14_beliefs(spark, data_dir):
-    """The particle filter's belief in each hero, by lattice bin, every ten ticks."""
-    return beliefs(observations(spark, data_dir), sources(spark, data_dir).select("match_id", "tick", "team", "x", "z", "r"), [BeliefModel()])
+    """The full model's belief in each hero at every tick, by lattice bin, with its entropy and the bins of its densest nine tenths."""
+    return believed(spark, data_dir, [BeliefModel()])
+
+
+@query(f"WITH {_TICKS} SELECT match_id, slot, count(*) AS n_ticks, count(*) FILTER (WHERE visible = 1) AS n_seen, CAST(0 AS BIGINT) AS n_wrong FROM visible_ticks WHERE team IS NOT NULL GROUP BY match_id, slot")
+def h14_belief_checks(spark, data_dir):
+    """Ticks with a belief and with a sighting of each hero, and beliefs that aren't probabilities or whose entropy or
+    effective sample size can't be."""
+    whole = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
+    wrong = (F.abs(whole - 1) > 1e-6) | (F.size("bins") != F.size("p")) | ~F.col("entropy").between(0, 10) | ~F.col("ess").between(0.999, BeliefModel().particles + 0.5) | F.exists("p", lambda v: v < 0)
+    return h14_beliefs(spark, data_dir).groupBy("match_id", "slot").agg(F.count(F.lit(1)).alias("n_ticks"), F.count_if("seen").alias("n_seen"), F.count_if(wrong).alias("n_wrong"))
+
+
+def model_scores(spark: SparkSession, data_dir: str) -> DataFrame:
+    particles = F.coalesce(*[F.when(F.col("model") == m.name, F.lit(m.particles)) for m in MODELS])
+    rows = scored(believed(spark, data_dir, MODELS), true_bins(spark, data_dir), every=True)
+    of = lambda c: F.avg(F.when(F.col("p_true").isNotNull(), c))
+    nll = -F.log(F.greatest(F.col("p_true"), 0.5 / particles) / BIN_AREA)
+    cover = [of((F.col("pit") <= q).cast("double")).alias(f"coverage_{round(100 * q)}") for q in LEVELS]
+    hidden = (~F.col("seen")).cast("double")
+    scores = rows.groupBy("model").agg(
+        F.count("p_true").alias("n"), of(nll).alias("nll"), of(F.col("entropy")).alias("entropy"), of(F.col("area") * BIN_AREA).alias("area_90"), *cover,
+        F.avg(F.when(F.col("alive"), hidden)).alias("dark_alive"), F.avg(hidden).alias("dark"),
+    )
+    error = sum((F.abs(F.col(f"coverage_{round(100 * q)}") - q) for q in LEVELS), F.lit(0.0)) / len(LEVELS)
+    return scores.withColumn("calibration_error", error)
 
 
 @query()
 def h16_ablation(spark, data_dir):
-    """Models side by side on hidden ticks: negative log-likelihood of the true bin, entropy, 90 % area, calibration.
+    """The seven models side by side, on every tick at which a hero is alive and hidden and its place is known: negative
+    log-likelihood of the true bin's density, entropy, area of the densest nine tenths, coverage at six levels and its mean
+    error, and the share of ticks in the dark."""
+    s = model_scores(spark, data_dir)
+    return s.select("model", "n", *[F.round(c, 4).alias(c) for c in s.columns if c not in ("model", "n")])
 
-    The truth is joined to the beliefs only here.
-    """
-    belief = beliefs(observations(spark, data_dir), sources(spark, data_dir).select("match_id", "tick", "team", "x", "z", "r"), MODELS)
-    low = lambda c: F.least(F.floor(F.col(c) / BIN), F.lit(LATTICE - 1)).cast("int")
-    hidden = base.visible_ticks(spark, data_dir).filter("visible = 0 AND tick % 10 = 0").select("match_id", "slot", "tick")
-    truth = base.positions(spark, data_dir).join(hidden, ["match_id", "slot", "tick"]).select("match_id", "slot", "tick", (low("x") * LATTICE + low("z")).alias("true_bin"))
-    key = ["model", "match_id", "slot", "tick"]
-    joined = belief.join(truth, ["match_id", "slot", "tick"])
-    ordered = Window.partitionBy(*key).orderBy(F.desc("p"), "bin")
-    ranked = joined.withColumn("before", F.coalesce(F.sum("p").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    per = ranked.groupBy(*key).agg(
-        F.sum(-F.col("p") * F.log2("p")).alias("entropy"), F.count_if(F.col("before") < 0.9).alias("area"), F.max(F.when(F.col("bin") == F.col("true_bin"), F.col("p"))).alias("p_true"),
-        F.max(((F.col("bin") == F.col("true_bin")) & (F.col("before") < 0.9)).cast("int")).alias("covered"),
-    )
-    return per.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(-F.log(F.greatest(F.coalesce("p_true", F.lit(0.0)), F.lit(1e-4)))), 4).alias("nll"), F.round(F.avg("entropy"), 4).alias("entropy"), F.round(F.avg("area"), 3).alias("area90"), F.round(F.avg("covered"), 4).alias("coverage90"))
+
+@query()
+def h16_gain_of_absence(spark, data_dir):
+    """By how much the absence of sightings betters the belief: the two models that differ in nothing else."""
+    nll = lambda name: F.max(F.when(F.col("model") == name, F.col("nll")))
+    pair = [m for m in MODELS if m.name in ("behavioural", "full")]
+    rows = scored(believed(spark, data_dir, pair), true_bins(spark, data_dir)).withColumn("nll", -F.log(F.greatest("p_true", F.lit(0.5 / pair[0].particles)) / BIN_AREA))
+    both = rows.groupBy("match_id", "model").agg(F.avg("nll").alias("nll"), F.count(F.lit(1)).alias("n")).groupBy("match_id").agg(F.max("n").alias("n"), nll("behavioural").alias("without"), nll("full").alias("with"))
+    return both.select("match_id", "n", F.round("without", 4).alias("without"), F.round("with", 4).alias("with"), F.round(F.col("without") - F.col("with"), 4).alias("gain"))
+
+
+@query()
+def i5_belief_pit(spark, data_dir):
+    """How often the truth falls into each tenth of the belief, the densest first: even for a calibrated one."""
+    rows = scored(h14_beliefs(spark, data_dir), true_bins(spark, data_dir))
+    tenth = F.least(F.floor(F.col("pit") * 10), F.lit(9)).cast("int")
+    return rows.groupBy(tenth.alias("tenth")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_true"), 6).alias("mean_p"))
+
+
+@query()
+def i7_belief_summaries(spark, data_dir):
+    """Mean entropy and area of the belief in each hidden hero, by match and observing team."""
+    teams = base.roster(spark, data_dir).filter("team IS NOT NULL").select("match_id", "slot", (1 - F.col("team")).alias("observer"))
+    rows = h14_beliefs(spark, data_dir).filter("alive AND NOT seen").join(teams, ["match_id", "slot"])
+    return rows.groupBy("match_id", "observer").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("entropy"), 4).alias("entropy"), F.round(F.avg(F.col("area") * BIN_AREA), 4).alias("area"))
+
+
+#: The kernel of a walk on the open cells: weights of a step, and the chance to stay.
+STAY_P = BeliefModel().stay
+_KERNEL = f"""{base.POSITIONS}, {_WALKED}, steps AS (SELECT a.i * {SIDE} + a.j AS a, b.i * {SIDE} + b.j AS b, CASE WHEN a.i <> b.i AND a.j <> b.j THEN 70.0::DOUBLE / 99.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM walked a JOIN walked b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i <> b.i OR a.j <> b.j)
+ SEMI JOIN walked p ON p.i = b.i AND p.j = a.j SEMI JOIN walked q ON q.i = a.i AND q.j = b.j),
+kernel AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) * {1 - STAY_P} AS p FROM steps UNION ALL SELECT i * {SIDE} + j, i * {SIDE} + j, CASE WHEN i * {SIDE} + j IN (SELECT a FROM steps) THEN {STAY_P} ELSE 1.0 END FROM walked)"""
+
+
+def walk_kernel(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(a, b, p): chance of each open cell after one step of the walk from each, without heading and goal."""
+    walked = walked_cells(spark, data_dir)
+    around = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    near = walked.withColumn("o", F.explode(around)).select("i", "j", (F.col("i") + F.col("o.di")).alias("bi"), (F.col("j") + F.col("o.dj")).alias("bj"))
+    there = lambda i, j: walked.select(F.col("i").alias(i), F.col("j").alias(j))
+    steps = near.join(there("bi", "bj"), ["bi", "bj"]).join(there("bi", "j"), ["bi", "j"], "left_semi").join(there("i", "bj"), ["i", "bj"], "left_semi")
+    a, b = (F.col("i") * SIDE + F.col("j")).alias("a"), (F.col("bi") * SIDE + F.col("bj")).alias("b")
+    w = F.when((F.col("i") != F.col("bi")) & (F.col("j") != F.col("bj")), F.lit(70.0) / 99.0).otherwise(1.0)
+    moves = steps.select(a, b, w.alias("w")).withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("a")) * (1 - STAY_P)).select("a", "b", "p")
+    stays = walked.select(a, a.alias("b")).join(moves.select("a").distinct().withColumn("moves", F.lit(True)), "a", "left").select("a", "b", F.when(F.col("moves"), STAY_P).otherwise(1.0).alias("p"))
+    return moves.unionByName(stays)
+
+
+@query("WITH " + _KERNEL + " SELECT a, b, round(p, 8) AS p FROM kernel")
+def h6_walk_kernel(spark, data_dir):
+    """The transition matrix of the walk on the open cells, exactly."""
+    return walk_kernel(spark, data_dir).withColumn("p", F.round("p", 8))
+
+
+@query("WITH " + _KERNEL + f""", start AS (SELECT min(a) AS a FROM steps), m0 AS (SELECT a, 1.0::DOUBLE AS m FROM start), m1 AS (SELECT k.b AS a, sum(m * p) AS m FROM m0 JOIN kernel k USING (a) GROUP BY k.b), m2 AS (SELECT k.b AS a, sum(m * p) AS m FROM m1 JOIN kernel k USING (a) GROUP BY k.b),
+m3 AS (SELECT k.b AS a, sum(m * p) AS m FROM m2 JOIN kernel k USING (a) GROUP BY k.b), m4 AS (SELECT k.b AS a, sum(m * p) AS m FROM m3 JOIN kernel k USING (a) GROUP BY k.b) SELECT a AS cell, round(m, 9) AS mass FROM m4""")
+def h6_walk_forward(spark, data_dir):
+    """Where a walk from the first cell that has a way out is after four steps: the exact forward pass, by joins with the matrix."""
+    kernel = walk_kernel(spark, data_dir)
+    mass = kernel.filter("a <> b").agg(F.min("a").alias("a")).withColumn("m", F.lit(1.0))
+    for _ in range(4):
+        mass = mass.join(kernel, "a").groupBy("b").agg(F.sum(F.col("m") * F.col("p")).alias("m")).withColumnRenamed("b", "a")
+    return mass.select(F.col("a").alias("cell"), F.round("m", 9).alias("mass"))
 
 
 _HIST = f"""{base.POSITIONS}, raw AS (SELECT match_id, CAST(least(floor(x / {BIN!r}), 31) AS INT) AS i, CAST(least(floor(z / {BIN!r}), 31) AS INT) AS j, count(*) AS n FROM positions GROUP BY ALL),

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mistrail.functions.geometry import LANES, distance, segments
-from mistrail.operators.belief import LATTICE, BeliefModel, beliefs
+from mistrail.functions.filtering import LATTICE
+from mistrail.operators.belief import scored
 from mistrail.operators.trajectory import ANCHOR, DOWN, ORDER, SPEED, trajectories
 from mistrail.plans import base
-from mistrail.plans.belief_queries import BIN, observations
+from mistrail.plans.belief_queries import BIN, h14_beliefs, true_bins
 from mistrail.plans.packet_log import attribute_values, waypoints
 from mistrail.plans.resolution import FIRST_WAVE, WAVE_EVERY, WAVE_SPEED, d6_joint_owners, downs
-from mistrail.plans.vision import sources
 from mistrail.sources.tables import table
 
 #: Seconds that a wave is followed for, and how often.
@@ -84,22 +84,23 @@ def e12_wave_positions(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def j10_belief_by_darkness(spark: SparkSession, data_dir: str) -> DataFrame:
-    """How well the belief does by the time that a hero has been hidden: hits, rank of the true bin, distance."""
-    low = lambda c: F.least(F.floor(F.col(c) / BIN), F.lit(LATTICE - 1)).cast("int")
-    belief = beliefs(observations(spark, data_dir), sources(spark, data_dir).select("match_id", "tick", "team", "x", "z", "r"), [BeliefModel()]).drop("model", "ess")
+    """How well the belief does by the time that a hero has been hidden: whether the true bin has any mass, its rank among
+    the bins by density, the distance of the nearest bin with mass and of the centre of mass; bands of 20 ticks or more,
+    and all together with a verdict."""
     order = Window.partitionBy("match_id", "slot").orderBy("tick")
     fog = base.visible_ticks(spark, data_dir).withColumn("seen_t", F.last(F.when(F.col("visible") == 1, F.col("tick")), True).over(order))
     dark = fog.filter("visible = 0").select("match_id", "slot", "tick", (F.col("tick") - F.col("seen_t")).alias("dark"))
-    truth = base.positions(spark, data_dir).join(dark, ["match_id", "slot", "tick"]).select("match_id", "slot", "tick", "dark", "x", "z", (low("x") * LATTICE + low("z")).alias("true_bin"))
-    joined = belief.join(truth, ["match_id", "slot", "tick"])
-    bx, bz = (F.floor(F.col("bin") / LATTICE) + 0.5) * BIN, (F.col("bin") % LATTICE + 0.5) * BIN
-    per = joined.groupBy("match_id", "slot", "tick", "dark", "x", "z", "true_bin").agg(
-        F.max((F.col("bin") == F.col("true_bin")).cast("int")).alias("hit"), F.sum(F.col("p") * bx).alias("cx"), F.sum(F.col("p") * bz).alias("cz"), F.min(distance(bx, bz, F.col("x"), F.col("z"))).alias("nearest")
-    )
+    rows = scored(h14_beliefs(spark, data_dir), true_bins(spark, data_dir)).join(dark, ["match_id", "slot", "tick"])
+    bx, bz = lambda b: (F.floor(b / LATTICE) + 0.5) * BIN, lambda b: (b % LATTICE + 0.5) * BIN
+    nearest = F.array_min(F.transform("bins", lambda b: distance(bx(b), bz(b), F.col("x"), F.col("z"))))
+    centre = lambda at: F.aggregate(F.zip_with("bins", "p", lambda b, p: at(b) * p), F.lit(0.0), lambda a, v: a + v)
+    rank = F.size(F.filter("p", lambda p: p > F.col("p_true"))) / F.size("p")
     band = F.when(F.col("dark").isNull(), "never seen").when(F.col("dark") < 5, "0-5").when(F.col("dark") < 15, "5-15").when(F.col("dark") < 45, "15-45").otherwise("45+")
-    return per.groupBy(band.alias("band")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 4).alias("support_hit"), F.round(F.percentile(F.round("nearest", 0), F.lit(0.5)), 1).alias("median_nearest"), F.round(F.percentile(F.round(distance(F.col("cx"), F.col("cz"), F.col("x"), F.col("z")), 0), F.lit(0.5)), 1).alias("median_centroid")
-    )
+    per = rows.select(F.explode(F.array(band, F.lit("all"))).alias("band"), (F.col("p_true") > 0).cast("int").alias("hit"), rank.alias("rank"), F.round(nearest, 0).alias("nearest"), F.round(distance(centre(bx), centre(bz), F.col("x"), F.col("z")), 0).alias("centre"))
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    found = per.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 4).alias("support_hit"), F.round(F.avg("rank"), 4).alias("mean_rank"), half("nearest").alias("median_nearest"), half("centre").alias("median_centre")).filter("n >= 20")
+    verdict = F.when(F.col("band") != "all", None).when((F.col("support_hit") > 0.4) & (F.col("median_centre") > 4 * F.greatest("median_nearest", F.lit(1.0))), "drift").when(F.col("support_hit") < 0.2, "collapse").otherwise("mixed")
+    return found.withColumn("verdict", verdict)
 
 
 QUERIES = {f.__name__: f for f in (d8_trajectories, d8_reckoning_error, e12_wave_positions, j10_belief_by_darkness)}

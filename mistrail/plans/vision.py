@@ -61,12 +61,12 @@ def sources(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, data_dir: str, lit: DataFrame | None = None) -> DataFrame:
-    """(match_id, tick, slot, team, tx, tz, d, class, covers) of each hero against each source of the other team."""
+    """(match_id, tick, slot, team, tx, tz, d, r, class, covers) of each hero against each source of the other team."""
     teams = base.roster(spark, data_dir).filter("team IS NOT NULL").select("match_id", "slot", F.col("team").alias("own"))
     targets = base.positions(spark, data_dir).join(teams, ["match_id", "slot"]).select("match_id", "tick", "slot", "own", F.col("x").alias("tx"), F.col("z").alias("tz"), (1 - F.col("own")).alias("team"))
     joined = targets.join(sources(spark, data_dir) if lit is None else lit, ["match_id", "tick", "team"], "left")
     d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("z") - F.col("tz")) * (F.col("z") - F.col("tz"))
-    return joined.select("match_id", "tick", "slot", "team", "tx", "tz", F.sqrt(d2).alias("d"), "class", F.coalesce(d2 <= F.col("r") * F.col("r"), F.lit(False)).alias("covers"))
+    return joined.select("match_id", "tick", "slot", "team", "tx", "tz", F.sqrt(d2).alias("d"), "r", "class", F.coalesce(d2 <= F.col("r") * F.col("r"), F.lit(False)).alias("covers"))
 
 
 def _probes_sql(lit: str, probes: str) -> str:

@@ -1,8 +1,8 @@
 import random
 from collections import Counter
 
-from mistrail.operators.tree_aggregate import count_rows, maximum, minimum, rounds_for, total, tree_aggregate
-from mistrail.operators.visible_time import visible_time
+from mistrail.operators.tree_aggregate import chunks_for, count_rows, maximum, minimum, rounds_for, total, tree_aggregate
+from mistrail.operators.visible_time import levels_for, visible_time
 
 
 def test_equals_plain_counts_for_any_tree(spark):
@@ -18,7 +18,10 @@ def test_equals_plain_counts_for_any_tree(spark):
 
 
 def test_rounds_are_logarithmic():
-    assert [rounds_for(n, 10, 4) for n in (1, 10, 41, 161, 641)] == [1, 1, 2, 3, 4]
+    assert [rounds_for(-(-n // 10), 4) for n in (1, 10, 41, 161, 641)] == [1, 1, 2, 3, 4]
+    # Small partitions make chunks of their own.
+    assert chunks_for(1000, 50, 65_536) == (1, 50) and chunks_for(0, 0) == (1, 1) and chunks_for(200_000, 3, 65_536) == (4, 12)
+    assert [levels_for(t) for t in (None, 0.0, 255.0, 257.0, 16.0 * 16**5)] == [1, 1, 1, 2, 6]
 
 
 def test_visible_time_in_any_slices(spark):
