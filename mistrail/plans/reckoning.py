@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mistrail.functions.geometry import LANES, distance, segments
 from mistrail.functions.filtering import LATTICE
 from mistrail.operators.belief import scored
+from mistrail.operators.structures import place_on
 from mistrail.operators.trajectory import ANCHOR, DOWN, ORDER, SPEED, trajectories
 from mistrail.plans import base
 from mistrail.plans.belief_queries import BIN, h14_beliefs, true_bins
@@ -47,17 +48,6 @@ def d8_reckoning_error(spark: SparkSession, data_dir: str) -> DataFrame:
     return d.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("d", F.lit(0.5)), 2).alias("median"), F.round(F.percentile("d", F.lit(0.99)), 2).alias("p99"))
 
 
-def _along(lane: str, s):
-    """x and z at the fraction s of a lane's length."""
-    x, z = None, None
-    for x0, z0, x1, z1, before, whole in reversed(segments(lane)):
-        length = ((x1 - x0) ** 2 + (z1 - z0) ** 2) ** 0.5
-        f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s * whole - before) / length))
-        px, pz = x0 + f * (x1 - x0), z0 + f * (z1 - z0)
-        x, z = (px, pz) if x is None else (F.when(s * whole <= before + length, px).otherwise(x), F.when(s * whole <= before + length, pz).otherwise(z))
-    return x, z
-
-
 def _along_sql(lane: str, axis: int) -> str:
     parts = []
     for seg in segments(lane):
@@ -77,7 +67,7 @@ def e12_wave_positions(spark: SparkSession, data_dir: str) -> DataFrame:
     for lane in LANES:
         whole = segments(lane)[0][5]
         gone = F.least(F.lit(1.0), WAVE_SPEED * (F.col("tick") - F.col("t0")) / whole)
-        x, z = _along(lane, F.col("s"))
+        x, z = place_on(lane, F.col("s"))
         part = at.withColumn("s", F.when(F.col("team") == 0, gone).otherwise(1 - gone)).select("match_id", "t0", "tick", "team", F.lit(lane).alias("lane"), F.round(x, 4).alias("x"), F.round(z, 4).alias("z"))
         result = part if result is None else result.unionByName(part)
     return result
