@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mistrail.functions.filtering import LATTICE, MODELS, BeliefModel, Filters, Ground, Histogram, detection, normalised
+from mistrail.functions.filtering import MODELS, BeliefModel, Filters, Ground, Histogram, detection, normalised
 from mistrail.functions.ground import Raster
+from mistrail.functions.mixing import divergence, fit, raster
 from mistrail.operators.belief import beliefs, densest, entropy_bits, scored
 
 
@@ -123,3 +124,20 @@ def test_beliefs_of_a_match(spark):
     s = {(r.model, r.tick): r for r in scored(got, truth).collect()}
     assert {t for _, t in s} == {8, 9} and s["full", 9].p_true == 0 and abs(s["full", 9].pit - 1) < 1e-9 and s["full", 8].p_true == found["full", 0, 8].p[0]
     assert beliefs(obs.limit(0), sources, MODELS[-1:], raster, 230.625).collect() == []
+
+
+def test_mixtures_of_beliefs():
+    rng = np.random.default_rng(4)
+    middles = (np.stack(np.divmod(np.arange(1024), 32), 1) + 0.5) * 461.25
+    points = np.concatenate([rng.normal((3000, 3000), 300, (400, 2)), rng.normal((11000, 8000), 600, (600, 2))])
+    w, c, s = fit(points, np.full(1000, 1e-3), 2, 5)
+    order = np.argsort(c[:, 0])
+    assert np.allclose(w[order], [0.4, 0.6]) and np.allclose(c[order], [(3000, 3000), (11000, 8000)], atol=100) and np.allclose(s[order], [300, 600], rtol=0.1)
+    assert abs((raster(w, c, s, middles, 1.0) * 461.25**2).sum() - 1) < 0.05
+    # Fewer points than parts: the others stay where they are, without weight.
+    w, c, s = fit(points[:3], np.array([0.2, 0.5, 0.3]), 16, 5)
+    assert sorted(np.round(w[w > 0], 6)) == [0.2, 0.3, 0.5] and s.max() == 0
+    p = rng.random(1024)
+    assert divergence(p, p) < 1e-9 and divergence(p, np.ones(1024)) > 0.05
+    again = fit(points, np.full(1000, 1e-3), 2, 0, np.array([[3000.0, 3000.0], [11000.0, 8000.0]]))[1]
+    assert again.tolist() == [[3000.0, 3000.0], [11000.0, 8000.0]]
