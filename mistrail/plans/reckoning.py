@@ -16,8 +16,8 @@ from mistrail.plans.packet_log import attribute_values, waypoints
 from mistrail.plans.resolution import FIRST_WAVE, WAVE_EVERY, WAVE_SPEED, d6_joint_owners, downs
 from mistrail.sources.tables import table
 
-#: Seconds that a wave is followed for, and how often.
-WAVE_LIFE, WAVE_STEP = 55, 5
+#: Seconds that a wave is followed for, and ticks from one position to the next.
+WAVE_LIFE, WAVE_STEP = 55, 1
 
 
 def path_events(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def _along_sql(lane: str, axis: int) -> str:
 
 
 def e12_wave_positions(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Where the waves of both sides are on each lane, every five seconds of their life."""
+    """Where the waves of both sides are on each lane, at every tick of their life."""
     ticks = table(spark, data_dir, "matches", "match_id", "n_ticks").filter(F.col("n_ticks") > FIRST_WAVE)
     waves = ticks.withColumn("t0", F.explode(F.sequence(F.lit(FIRST_WAVE), F.col("n_ticks") - 1, F.lit(WAVE_EVERY))))
     at = waves.withColumn("tick", F.explode(F.sequence(F.col("t0"), F.least(F.col("t0") + WAVE_LIFE, F.col("n_ticks") - 1), F.lit(WAVE_STEP)))).withColumn("team", F.explode(F.array(F.lit(0), F.lit(1))))

@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 
-from mistrail.operators.belief import BeliefModel, beliefs
+from mistrail.functions.filtering import BeliefModel
+from mistrail.functions.ground import Raster
+from mistrail.operators.belief import beliefs
 from mistrail.operators.codec import decode, encode
 from mistrail.operators.mixture import mixtures
 
@@ -35,16 +37,15 @@ def test_mixture_equals_plain_k_means(spark):
 
 
 def test_beliefs_use_sightings_and_their_absence_only(spark):
-    seen = [("m", 0, 1, t, int(t < 3), 3000.0 if t < 3 else None, 3000.0 if t < 3 else None) for t in range(31)]
-    observed = spark.createDataFrame(seen, "match_id string, slot int, team int, tick int, seen int, x double, z double")
+    seen = [("m", 0, 1, None, t, True, t < 3, 3000.0 if t < 3 else None, 3000.0 if t < 3 else None) for t in range(31)]
+    observed = spark.createDataFrame(seen, "match_id string, slot int, team int, role string, tick int, alive boolean, seen boolean, x double, z double")
     lit = spark.createDataFrame([("m", t, 1, 3000.0, 3000.0, 2500.0) for t in range(31)], "match_id string, tick int, team int, x double, z double, r double")
-    models = [BeliefModel("with", stride=5), BeliefModel("without", stride=5, negative=False)]
-    rows = beliefs(observed, lit, models).collect()
-    totals = {}
-    for r in rows:
-        totals[(r.model, r.tick)] = totals.get((r.model, r.tick), 0) + r.p
-    assert len(totals) == 14 and all(abs(v - 1) < 1e-9 for v in totals.values())
-    inside = lambda m: sum(r.p for r in rows if r.model == m and r.tick == 15 and ((r.bin // 32 + 0.5) * 461.25 - 3000) ** 2 + ((r.bin % 32 + 0.5) * 461.25 - 3000) ** 2 < 2000**2)
+    raster = Raster(np.ones((64, 64), bool), np.zeros((64, 64), bool), np.full((64, 64), -1))
+    run = lambda df: beliefs(df, lit, [BeliefModel("with"), BeliefModel("without", negative=False)], raster, 14_760 / 64).collect()
+    rows = run(observed)
+    assert len({(r.model, r.tick) for r in rows}) == len(rows) == 62 and all(abs(sum(r.p) - 1) < 1e-9 for r in rows)
+    near = lambda b: ((b // 32 + 0.5) * 461.25 - 3000) ** 2 + ((b % 32 + 0.5) * 461.25 - 3000) ** 2 < 2000**2
+    inside = lambda m: sum(p for r in rows if r.model == m and r.tick == 15 for b, p in zip(r.bins, r.p) if near(b))
     assert inside("with") < 0.5 * inside("without")
-    assert rows == beliefs(observed, lit, models).collect() or sorted(rows) == sorted(beliefs(observed, lit, models).collect())
-    assert beliefs(observed.limit(0), lit, models).collect() == []
+    assert sorted(rows) == sorted(run(observed))
+    assert run(observed.limit(0)) == []
