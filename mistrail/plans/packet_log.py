@@ -288,3 +288,114 @@ def c16_fog_reduction(spark, data_dir):
     after = base.fog_transitions(spark, data_dir).groupBy("match_id").agg(F.count(F.lit(1)).alias("rows_out"))
     out = F.coalesce("rows_out", F.lit(0))
     return before.join(after, "match_id", "left").select("match_id", "rows_in", out.alias("rows_out"), F.round(out / F.col("rows_in"), 6).alias("kept"))
+
+
+#: Fields of the packets by kind: name, place in the payload (the first that is given counts), type, and what stands where
+#: it isn't given. Null stands for an unknown position.
+PACKETS = {
+    "casts": ("CastSpellAns", [("caster_net_id", ["caster_net_id"], "BIGINT", 0), ("spell_name", ["spell_name"], "STRING", ""), ("slot", ["slot"], "INT", -1), ("src_x", ["source_position.x"], "DOUBLE", None), ("src_z", ["source_position.z"], "DOUBLE", None), ("tgt_x", ["target_position.x"], "DOUBLE", None), ("tgt_z", ["target_position.z"], "DOUBLE", None)]),
+    "attacks": ("BasicAttackPos", [("source_net_id", ["source_net_id", "caster_net_id"], "BIGINT", 0), ("target_net_id", ["target_net_id"], "BIGINT", 0), ("src_x", ["source_position.x"], "DOUBLE", None), ("src_z", ["source_position.z"], "DOUBLE", None), ("tgt_x", ["target_position.x"], "DOUBLE", None), ("tgt_z", ["target_position.z"], "DOUBLE", None)]),
+    "neutrals": ("CreateNeutral", [("net_id", ["net_id"], "BIGINT", 0), ("name", ["name"], "STRING", ""), ("camp_id", ["camp_id"], "INT", 0), ("neutral_type", ["neutral_type"], "INT", 0), ("x", ["position1.x"], "DOUBLE", None), ("z", ["position1.z"], "DOUBLE", None)]),
+    "minions": ("SpawnMinion", [("net_id", ["net_id"], "BIGINT", 0), ("name", ["name"], "STRING", ""), ("skin_name", ["skin_name"], "STRING", ""), ("targetable_on_client", ["targetable_on_client"], "BIGINT", 0), ("x", ["position1.x"], "DOUBLE", None), ("z", ["position1.z"], "DOUBLE", None)]),
+}
+
+
+def typed_packets(spark: SparkSession, data_dir: str, table_name: str) -> DataFrame:
+    """(match_id, line_id, event_no, t, the fields of PACKETS[table_name]): the packets of one kind as a flat table."""
+    kind, fields = PACKETS[table_name]
+    got = lambda path, to: F.expr(f"try_cast(get_json_object(payload, '$.{path}') AS {to})")
+    columns = [F.coalesce(*[got(p, to) for p in paths], F.lit(default).cast(to)).alias(name) for name, paths, to, default in fields]
+    return events(spark, data_dir).filter(F.col("kind") == kind).select("match_id", "line_id", "event_no", "t", *columns)
+
+
+def _typed_sql(table_name: str) -> str:
+    kind, fields = PACKETS[table_name]
+    sql = {"STRING": "VARCHAR", "INT": "INT", "BIGINT": "BIGINT", "DOUBLE": "DOUBLE"}
+    text = lambda default: "NULL" if default is None else repr(default)
+    columns = [f"coalesce({', '.join(f'''TRY_CAST(json_extract_string(payload, '$.{p}') AS {sql[to]})''' for p in paths)}, CAST({text(default)} AS {sql[to]})) AS {name}" for name, paths, to, default in fields]
+    return _EVENTS + f" SELECT match_id, line_id, event_no, t, {', '.join(columns)} FROM events WHERE kind = '{kind}'"
+
+
+@query(_typed_sql("casts"))
+def a3_casts(spark, data_dir):
+    """Spell casts as a flat table."""
+    return typed_packets(spark, data_dir, "casts")
+
+
+@query(_typed_sql("attacks"))
+def a3_attacks(spark, data_dir):
+    """Basic attacks as a flat table."""
+    return typed_packets(spark, data_dir, "attacks")
+
+
+@query(_typed_sql("neutrals"))
+def a3_neutrals(spark, data_dir):
+    """Created neutral units as a flat table."""
+    return typed_packets(spark, data_dir, "neutrals")
+
+
+@query(_typed_sql("minions"))
+def a3_minions(spark, data_dir):
+    """Spawned units as a flat table."""
+    return typed_packets(spark, data_dir, "minions")
+
+
+@query(_EVENTS + f""", {base.ANCHORS}, f AS (SELECT match_id, count(*) AS n_fog, count(*) FILTER (WHERE leaving) AS n_leaving, count(DISTINCT net_id) AS n_units FROM fog GROUP BY match_id),
+r AS (SELECT match_id, count(*) AS n_replication FROM replication GROUP BY match_id), a AS (SELECT match_id, count(*) AS n_anchors, count(DISTINCT slot) AS n_anchored FROM anchors GROUP BY match_id),
+e AS (SELECT match_id, count(*) AS n_packets, count(DISTINCT kind) AS n_kinds FROM events GROUP BY match_id)
+SELECT m.match_id, coalesce(n_fog, 0) AS n_fog, coalesce(n_leaving, 0) AS n_leaving, coalesce(n_units, 0) AS n_units, coalesce(n_replication, 0) AS n_replication, coalesce(n_anchors, 0) AS n_anchors, coalesce(n_anchored, 0) AS n_anchored, coalesce(e.n_packets, 0) AS n_packets, coalesce(n_kinds, 0) AS n_kinds
+FROM matches m LEFT JOIN f ON m.match_id = f.match_id LEFT JOIN r ON m.match_id = r.match_id LEFT JOIN a ON m.match_id = a.match_id LEFT JOIN e ON m.match_id = e.match_id""")
+def a6_reconnaissance(spark, data_dir):
+    """What there is of each match: fog and replication packets, anchors, packets of the shards."""
+    fog = table(spark, data_dir, "fog", "match_id", "leaving", "net_id").groupBy("match_id").agg(F.count(F.lit(1)).alias("n_fog"), F.count_if("leaving").alias("n_leaving"), F.countDistinct("net_id").alias("n_units"))
+    replication = table(spark, data_dir, "replication", "match_id").groupBy("match_id").agg(F.count(F.lit(1)).alias("n_replication"))
+    anchors = base.anchors(spark, data_dir).groupBy("match_id").agg(F.count(F.lit(1)).alias("n_anchors"), F.countDistinct("slot").alias("n_anchored"))
+    shards = events(spark, data_dir).groupBy("match_id").agg(F.count(F.lit(1)).alias("n_packets"), F.countDistinct("kind").alias("n_kinds"))
+    joined = table(spark, data_dir, "matches", "match_id")
+    for part in (fog, replication, anchors, shards):
+        joined = joined.join(part, "match_id", "left")
+    return joined.na.fill(0)
+
+
+@query(_EVENTS + """, r AS (SELECT match_id, kind, count(*) AS n_packets, count(*) FILTER (WHERE t IS NULL OR t <= 1e-6) AS n_repaired FROM events GROUP BY match_id, kind)
+SELECT match_id, kind, n_packets, n_repaired, round(n_repaired / n_packets, 6) AS share FROM r""")
+def c16_repaired_times(spark, data_dir):
+    """Packets of each kind whose time had to be found from the stream around them."""
+    counts = repaired_times(events(spark, data_dir)).groupBy("match_id", "kind").agg(F.count(F.lit(1)).alias("n_packets"), F.count_if(~F.col("t_own")).alias("n_repaired"))
+    return counts.withColumn("share", F.round(F.col("n_repaired") / F.col("n_packets"), 6))
+
+
+#: Trial offsets of the frame: how far, how fine, and by how much less than the best a hit rate may be on the plateau.
+OFFSET_MOST, OFFSET_STEP, PLATEAU = 200.0, 0.5, 0.005
+_CALIBRATION = f"""{base.POSITIONS}, walkable AS (SELECT DISTINCT CAST(floor(x / 115.3125) AS INT) AS i, CAST(floor(z / 115.3125) AS INT) AS j FROM positions), points AS (SELECT match_id, x, z FROM waypoints WHERE x IS NOT NULL AND z IS NOT NULL),
+xs AS (SELECT match_id, d * {OFFSET_STEP} AS dx, round(avg(CASE WHEN w.i IS NULL THEN 0.0 ELSE 1.0 END), 9) AS rate, count(*) AS n FROM (SELECT *, unnest(range(-400, 401)) AS d FROM points) p LEFT JOIN walkable w ON w.i = CAST(floor((x + d * {OFFSET_STEP}) / 115.3125) AS INT) AND w.j = CAST(floor(z / 115.3125) AS INT) GROUP BY match_id, d),
+bx AS (SELECT match_id, arg_max(dx, struct_pack(r := rate, o := -dx)) AS dx, max(rate) AS top, min(rate) AS least, any_value(n) AS n FROM xs GROUP BY match_id),
+flat AS (SELECT x.match_id, count(*) * {OFFSET_STEP} AS plateau FROM xs x JOIN bx b ON x.match_id = b.match_id WHERE x.rate >= b.top - {PLATEAU} GROUP BY x.match_id),
+zs AS (SELECT p.match_id, d * {OFFSET_STEP} AS dz, round(avg(CASE WHEN w.i IS NULL THEN 0.0 ELSE 1.0 END), 9) AS rate FROM (SELECT q.*, b.dx, unnest(range(-400, 401)) AS d FROM points q JOIN bx b ON q.match_id = b.match_id) p LEFT JOIN walkable w ON w.i = CAST(floor((x + dx) / 115.3125) AS INT) AND w.j = CAST(floor((z + d * {OFFSET_STEP}) / 115.3125) AS INT) GROUP BY p.match_id, d),
+bz AS (SELECT match_id, arg_max(dz, struct_pack(r := rate, o := -dz)) AS dz, max(rate) AS top FROM zs GROUP BY match_id)"""
+
+
+@query(_WAYPOINTS + ", " + _CALIBRATION + " SELECT bx.match_id, bx.n AS n_points, bx.dx, bz.dz, round(bz.top, 6) AS hit_rate, round(bx.least, 6) AS least_rate, flat.plateau FROM bx JOIN flat ON bx.match_id = flat.match_id JOIN bz ON bx.match_id = bz.match_id")
+def c2_frame_calibration(spark, data_dir):
+    """The offset of the frame with most waypoints on walked ground: first in x, then in z at the best x, the first of equals;
+    and how wide the plateau around it is.
+
+    Points are spread over the trial offsets, hits looked up by equality and averaged with partial sums on the map side.
+    """
+    cell = 14_760.0 / 128
+    walkable = base.positions(spark, data_dir).select(F.floor(F.col("x") / cell).cast("int").alias("i"), F.floor(F.col("z") / cell).cast("int").alias("j")).distinct().withColumn("hit", F.lit(1.0))
+    points = waypoints(spark, data_dir).filter("x IS NOT NULL AND z IS NOT NULL").select("match_id", "x", "z")
+    steps = round(OFFSET_MOST / OFFSET_STEP)
+
+    def rates(rows: DataFrame, dx, dz) -> DataFrame:
+        tried = rows.withColumn("o", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumn("o", F.col("o") * OFFSET_STEP)
+        at = lambda v: F.floor(v / cell).cast("int")
+        cells = tried.select("match_id", "o", at(F.col("x") + dx).alias("i"), at(F.col("z") + dz).alias("j"))
+        return cells.join(walkable, ["i", "j"], "left").groupBy("match_id", "o").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 9).alias("rate"), F.count(F.lit(1)).alias("n"))
+
+    best = F.max_by("o", F.struct("rate", -F.col("o")))
+    xs = rates(points, F.col("o"), F.lit(0.0))
+    bx = xs.groupBy("match_id").agg(best.alias("dx"), F.max("rate").alias("top"), F.min("rate").alias("least"), F.max("n").alias("n_points"))
+    flat = xs.join(bx, "match_id").filter(F.col("rate") >= F.col("top") - PLATEAU).groupBy("match_id").agg((F.count(F.lit(1)) * OFFSET_STEP).alias("plateau"))
+    bz = rates(points.join(bx.select("match_id", "dx"), "match_id").withColumn("x", F.col("x") + F.col("dx")), F.lit(0.0), F.col("o")).groupBy("match_id").agg(best.alias("dz"), F.max("rate").alias("ztop"))
+    return bx.join(flat, "match_id").join(bz, "match_id").select("match_id", "n_points", "dx", "dz", F.round("ztop", 6).alias("hit_rate"), F.round("least", 6).alias("least_rate"), "plateau")
