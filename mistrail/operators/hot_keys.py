@@ -36,11 +36,11 @@ def split_hot(df: DataFrame, keys: list[str], order: str, coarse: list[str] | No
         renamed = large.select(*[F.col(k).alias(f"__{k}") for k in coarse])
         on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in coarse]
         part = df.join(F.broadcast(renamed) if most[1] <= BROADCAST_KEYS else renamed, on, "left_semi")
-    pieces = min(1024, max(2, math.ceil(most[0] / piece_rows)))
+    pieces = max(2, math.ceil(most[0] / piece_rows))
     fractions = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     cuts = (
         part.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.percentile_approx(F.col(order).cast("double"), fractions, 10_000).alias("cuts"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.percentile_approx(F.col(order).cast("double"), fractions, max(10_000, 20 * pieces)).alias("cuts"))
         .filter(F.col("n_rows") > hot_rows)
         .select(*keys, F.array_distinct("cuts").alias("cuts"))
     )
