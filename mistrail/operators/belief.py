@@ -105,7 +105,7 @@ def beliefs(observations: DataFrame, sources: DataFrame, models: list[BeliefMode
             bits, area = entropy_bits(p, ess, int(histogram.open.sum())), densest(p, mass)
             for k in at:
                 bins = np.flatnonzero(p[k])
-                out.append((name, match_id, int(heroes["slot"].iloc[k]), tick, bool(alive[k]), bool(spotted[k]), float(ess[k]), float(bits[k]), int(area[k]), bins.tolist(), p[k, bins].tolist()))
+                out.append((name, match_id, int(heroes["slot"].iloc[k]), tick, bool(alive[k]), bool(spotted[k]), float(ess[k]), float(bits[k]), int(area[k]), bins.astype(np.int32), p[k, bins]))
         return pd.DataFrame(out, columns=columns)
 
     if matches:
