@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mistrail.functions.filtering import MODELS, BeliefModel, Filters, Ground, Histogram, detection, normalised
-from mistrail.functions.ground import Raster
+from mistrail.functions.filtering import MODELS, MOVES, BeliefModel, Filters, Ground, Histogram, Sight, detection, normalised
+from mistrail.functions.ground import Raster, walk_distances, walks_within
 from mistrail.functions.mixing import divergence, fit, raster
 from mistrail.operators.belief import beliefs, densest, entropy_bits, scored
 
@@ -141,3 +141,47 @@ def test_mixtures_of_beliefs():
     assert divergence(p, p) < 1e-9 and divergence(p, np.ones(1024)) > 0.05
     again = fit(points, np.full(1000, 1e-3), 2, 0, np.array([[3000.0, 3000.0], [11000.0, 8000.0]]))[1]
     assert again.tolist() == [[3000.0, 3000.0], [11000.0, 8000.0]]
+
+
+def test_kernels_equal_their_definitions():
+    """Steps by gathered weights, walks of a window and lit cells of all sources at once, against the plain formulas."""
+    ground, rng, n = world16(), np.random.default_rng(7), 4000
+    model = BeliefModel()
+    cell, heading, goal, draw = rng.choice(ground.open, n), rng.integers(0, 9, n), rng.choice(ground.open, n), rng.random(n)
+    w = ground.weight[cell] * np.where(np.arange(8) == heading[:, None], 2.0, 1.0)
+    to = np.stack([goal // 16 - cell // 16, goal % 16 - cell % 16], 1)
+    cosine = to / np.maximum(np.hypot(*to.T), 1e-9)[:, None] @ (MOVES / np.hypot(*MOVES.T)[:, None]).T
+    upto = np.cumsum(w * np.exp(0.45 * cosine), 1)
+    pick = (draw[:, None] * upto[:, -1:] / 0.9 >= upto).sum(1)
+    got, found = ground.step(cell, heading, goal, model, draw)
+    assert (found == pick).mean() > 0.999
+    assert (got == np.where(found == 8, cell, ground.to[cell, np.minimum(found, 7)])).all()
+    for cell in ground.open[::23].tolist():
+        whole = walk_distances(ground.raster.open, *divmod(cell, 16))
+        for most in (0, 150, 700, 10**6):
+            far, i, j = walks_within(ground.raster.open, *divmod(cell, 16), most)
+            want = np.where(whole <= most, whole, -1)
+            assert (far == want[i : i + far.shape[0], j : j + far.shape[1]]).all() and (far >= 0).sum() == (want >= 0).sum()
+    x, z, r = np.append(rng.uniform(-300, 1900, 40), [np.nan, 800.0]), np.append(rng.uniform(-300, 1900, 40), [5.0, 800.0]), np.append(rng.uniform(0, 900, 40), [99.0, 1e7])
+    sight = Sight(ground, x, z, r, model)
+    at = np.stack(np.meshgrid(np.arange(16), np.arange(16), indexing="ij"), 2) * 100.0 + 50
+    for some in ([], [3], [0, 5, 9], list(range(41)), [41]):
+        lit = np.zeros((9, 16, 16), bool)
+        for k, move in enumerate([(0, 0), *MOVES]):
+            a, b = np.moveaxis(at + np.array(move) * model.ring, 2, 0)
+            lit[k] = (a < 0) | (a >= 1600) | (b < 0) | (b >= 1600)
+            for s in some:
+                lit[k] |= (a - x[s]) ** 2 + (b - z[s]) ** 2 <= r[s] ** 2
+        assert (sight.detection(some).reshape(16, 16) == np.where(lit[0], np.where(lit.all(0), 0.98, 0.75), 0.0)).all()
+
+
+def test_no_work_for_particles_that_a_sighting_places(monkeypatch):
+    """h14_beliefs took most of its time for steps of heroes in sight, and for sources looked at by every hero and cell."""
+    ground, walkers = world16(), []
+    step = ground.step
+    monkeypatch.setattr(ground, "step", lambda cell, *rest: walkers.append(len(cell)) or step(cell, *rest))
+    model = BeliefModel()
+    filters = Filters(ground, model, np.array([34, 34]), [np.array([34]), np.array([200])], 1.0, np.random.default_rng(1))
+    for tick in range(5):
+        filters.tick(tick, np.array([True, True]), np.array([True, tick == 4]), np.array([34, 35]), np.zeros((1, 256)), np.zeros(2, int))
+    assert walkers == [1024] * 8 and (filters.cell == [[34], [35]]).all() and (filters.weight == 1 / 1024).all()
