@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mistrail.functions.filtering import LATTICE, BeliefModel
 from mistrail.functions.geometry import LANES, distance, segments
-from mistrail.functions.filtering import LATTICE
-from mistrail.operators.belief import scored
+from mistrail.operators.belief import Reading
 from mistrail.operators.structures import place_on
 from mistrail.operators.trajectory import ANCHOR, DOWN, ORDER, SPEED, trajectories
 from mistrail.plans import base
-from mistrail.plans.belief_queries import BIN, h14_beliefs, true_bins
+from mistrail.plans.belief_queries import BIN, believed, true_bins
 from mistrail.plans.packet_log import attribute_values, waypoints
 from mistrail.plans.resolution import FIRST_WAVE, WAVE_EVERY, WAVE_SPEED, d6_joint_owners, downs
 from mistrail.sources.tables import table
@@ -73,6 +75,23 @@ def e12_wave_positions(spark: SparkSession, data_dir: str) -> DataFrame:
     return result
 
 
+def _darkness(asked: np.ndarray, size: np.ndarray, bins: np.ndarray, p: np.ndarray, known: dict[str, np.ndarray]) -> list:
+    true, x, z = (known[c].astype(float) for c in ("true_bin", "true_x", "true_z"))
+    row = np.repeat(np.arange(len(size)), size)
+    whole = lambda values: np.bincount(row, values, len(size))
+    p_true = whole(np.where(bins == true[row], p, 0.0))
+    i, j = np.divmod(bins, LATTICE)
+    bx, bz = (i + 0.5) * BIN, (j + 0.5) * BIN
+    apart = lambda ax, az, cx, cz: np.sqrt((ax - cx) * (ax - cx) + (az - cz) * (az - cz))
+    nearest = np.minimum.reduceat(apart(bx, bz, x[row], z[row]), np.cumsum(size) - size)
+    found = (p_true > 0).astype(np.int32), whole(p > p_true[row]) / size, nearest, apart(whole(bx * p), whole(bz * p), x, z)
+    return [pa.array(v, mask=~(asked & ~np.isnan(true))) for v in found]
+
+
+#: Of the heroes that are alive and hidden and whose place is known: whether the true bin has any mass, its rank, and distances.
+_DARKNESS = Reading(pa.schema({"hit": pa.int32(), "rank": pa.float64(), "nearest": pa.float64(), "centre": pa.float64()}), _darkness)
+
+
 def j10_belief_by_darkness(spark: SparkSession, data_dir: str) -> DataFrame:
     """How well the belief does by the time that a hero has been hidden: whether the true bin has any mass, its rank among
     the bins by density, the distance of the nearest bin with mass and of the centre of mass; bands of 20 ticks or more,
@@ -80,13 +99,10 @@ def j10_belief_by_darkness(spark: SparkSession, data_dir: str) -> DataFrame:
     order = Window.partitionBy("match_id", "slot").orderBy("tick")
     fog = base.visible_ticks(spark, data_dir).withColumn("seen_t", F.last(F.when(F.col("visible") == 1, F.col("tick")), True).over(order))
     dark = fog.filter("visible = 0").select("match_id", "slot", "tick", (F.col("tick") - F.col("seen_t")).alias("dark"))
-    rows = scored(h14_beliefs(spark, data_dir), true_bins(spark, data_dir)).join(dark, ["match_id", "slot", "tick"])
-    bx, bz = lambda b: (F.floor(b / LATTICE) + 0.5) * BIN, lambda b: (b % LATTICE + 0.5) * BIN
-    nearest = F.array_min(F.transform("bins", lambda b: distance(bx(b), bz(b), F.col("x"), F.col("z"))))
-    centre = lambda at: F.aggregate(F.zip_with("bins", "p", lambda b, p: at(b) * p), F.lit(0.0), lambda a, v: a + v)
-    rank = F.size(F.filter("p", lambda p: p > F.col("p_true"))) / F.size("p")
+    truth = true_bins(spark, data_dir).withColumnsRenamed({"x": "true_x", "z": "true_z"})
+    rows = believed(spark, data_dir, [BeliefModel()], False, truth, _DARKNESS).filter("hit IS NOT NULL").join(dark, ["match_id", "slot", "tick"])
     band = F.when(F.col("dark").isNull(), "never seen").when(F.col("dark") < 5, "0-5").when(F.col("dark") < 15, "5-15").when(F.col("dark") < 45, "15-45").otherwise("45+")
-    per = rows.select(F.explode(F.array(band, F.lit("all"))).alias("band"), (F.col("p_true") > 0).cast("int").alias("hit"), rank.alias("rank"), F.round(nearest, 0).alias("nearest"), F.round(distance(centre(bx), centre(bz), F.col("x"), F.col("z")), 0).alias("centre"))
+    per = rows.select(F.explode(F.array(band, F.lit("all"))).alias("band"), "hit", "rank", F.round("nearest", 0).alias("nearest"), F.round("centre", 0).alias("centre"))
     half = lambda c: F.percentile(c, F.lit(0.5))
     found = per.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 4).alias("support_hit"), F.round(F.avg("rank"), 4).alias("mean_rank"), half("nearest").alias("median_nearest"), half("centre").alias("median_centre")).filter("n >= 20")
     verdict = F.when(F.col("band") != "all", None).when((F.col("support_hit") > 0.4) & (F.col("median_centre") > 4 * F.greatest("median_nearest", F.lit(1.0))), "drift").when(F.col("support_hit") < 0.2, "collapse").otherwise("mixed")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mistrail.functions.filtering import MODELS, MOVES, BeliefModel, Filters, Ground, Histogram, Sight, detection, normalised
 from mistrail.functions.ground import Raster, walk_distances, walks_within
 from mistrail.functions.mixing import divergence, fit, raster
-from mistrail.operators.belief import beliefs, densest, entropy_bits, scored
+from mistrail.operators.belief import SCORES, beliefs, densest, entropy_bits, scored
 
 
 def world16(seed=3):
@@ -185,3 +185,18 @@ def test_no_work_for_particles_that_a_sighting_places(monkeypatch):
     for tick in range(5):
         filters.tick(tick, np.array([True, True]), np.array([True, tick == 4]), np.array([34, 35]), np.zeros((1, 256)), np.zeros(2, int))
     assert walkers == [1024] * 8 and (filters.cell == [[34], [35]]).all() and (filters.weight == 1 / 1024).all()
+
+
+def test_readings_in_the_task_equal_those_of_the_arrays(spark):
+    """Bins and probabilities of every belief were sent back, and shuffled to be scored."""
+    rows = [("m", slot, 1, None, tick, tick != 3, tick % 6 == 0, 3000.0, 3000.0) for tick in range(9) for slot in (0, 1)]
+    obs = spark.createDataFrame(rows, "match_id string, slot int, team int, role string, tick int, alive boolean, seen boolean, x double, z double")
+    sources = spark.createDataFrame([("m", t, 1, 3500.0, 3000.0, 900.0) for t in range(9)], "match_id string, tick int, team int, x double, z double, r double")
+    raster = Raster(np.ones((64, 64), bool), np.zeros((64, 64), bool), np.full((64, 64), -1))
+    truth = spark.createDataFrame([("m", slot, tick, 7 * 32 + 6 + slot) for tick in (1, 2, 3, 5, 6, 7) for slot in (0, 1)], "match_id string, slot int, tick int, true_bin int")
+    arrays = {(r.model, r.slot, r.tick): r for r in scored(beliefs(obs, sources, MODELS[-2:], raster, 230.625), truth, every=True).collect()}
+    read = beliefs(obs, sources, MODELS[-2:], raster, 230.625, bins=False, known=truth, read=SCORES)
+    assert read.columns == ["model", "match_id", "slot", "tick", "alive", "seen", "ess", "entropy", "area", "p_true", "pit"]
+    got = {(r.model, r.slot, r.tick): r for r in read.collect()}
+    assert got.keys() == arrays.keys() and sum(r.p_true is not None for r in got.values()) == 16
+    assert all((r.p_true, r.pit, r.area) == (arrays[k].p_true, arrays[k].pit, arrays[k].area) for k, r in got.items())
