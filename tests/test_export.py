@@ -2,6 +2,9 @@ import random
 
 import numpy as np
 
+from mistrail.functions.mixing import divergence, fit, raster
+from mistrail.plans.belief_exports import _MIDDLES, LOSSES, MIXTURES, PARTS, RASTERS, ROUNDS
+from mistrail.plans.belief_queries import BIN
 from mistrail.functions.filtering import BeliefModel
 from mistrail.functions.ground import Raster
 from mistrail.operators.belief import beliefs
@@ -49,3 +52,22 @@ def test_beliefs_use_sightings_and_their_absence_only(spark):
     assert inside("with") < 0.5 * inside("without")
     assert sorted(rows) == sorted(run(observed))
     assert run(observed.limit(0)) == []
+
+
+def test_mixtures_in_the_task_equal_those_of_one_belief():
+    """k3, k7 and l8 fitted, rastered and sent everything for each row; each now makes what it gives, null for rows not asked about."""
+    rng = np.random.default_rng(2)
+    size = np.array([30, 4, 50])
+    bins = np.concatenate([np.sort(rng.choice(1024, n, replace=False)) for n in size]).astype(np.int32)
+    p = np.concatenate([rng.dirichlet(np.ones(n)) for n in size])
+    asked = np.array([True, False, True])
+    weight, cx, cz, sigma = MIXTURES.of(asked, size, bins, p, {})
+    (kl,), (lit, v) = LOSSES.of(asked, size, bins, p, {}), RASTERS.of(asked, size, bins, p, {})
+    assert [c.is_valid().to_pylist() for c in (weight, sigma, kl, lit, v)] == [[True, False, True]] * 5
+    for k, at in ((0, slice(0, 30)), (2, slice(34, 84))):
+        w, c, s = fit(_MIDDLES[bins[at]], p[at], PARTS, ROUNDS)
+        q = raster(w, c, s, _MIDDLES, BIN / 2)
+        assert (weight[k].as_py(), cx[k].as_py(), cz[k].as_py(), sigma[k].as_py()) == (w.tolist(), c[:, 0].tolist(), c[:, 1].tolist(), s.tolist())
+        assert kl[k].as_py() == divergence(np.bincount(bins[at], p[at], 1024), q) and lit[k].as_py() == np.flatnonzero(q / q.max() >= 0.1).tolist() and max(v[k].as_py()) == 1
+    none = MIXTURES.of(np.zeros(3, bool), size, bins, p, {})
+    assert all(c.null_count == 3 for c in none)
