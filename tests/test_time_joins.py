@@ -1,5 +1,8 @@
 import random
 
+import pyarrow as pa
+
+from mistrail.plans.vision import _CHAIN, nearest_pairs
 from mistrail.operators.time_joins import as_of, within_intervals
 
 PROBES, READINGS = "k long, t double, __x string, tag long", "k long, t double, v double, tag string"
@@ -34,3 +37,14 @@ def test_intervals_equal_brute_force(spark):
     got = within_intervals(spark.createDataFrame(points, "k long, t double"), spark.createDataFrame(spans, "k long, a double, b double"), ["k"], "t", "a", "b", 16.0)
     want = sorted((k, t, a, b) for k, t in points for q, a, b in spans if k is not None and t is not None and k == q and a <= t <= b)
     assert sorted(map(tuple, got.select("k", "t", "a", "b").collect())) == want
+
+
+def test_pairs_of_many_chains_in_one_pass():
+    """j4_matched_transitions had a pandas frame for each chain; a batch now holds many, cut anywhere."""
+    rows = [("m", 1, 1, 1, 3.0, 3.5), ("m", 1, 1, 1, 4.0, 3.5), ("m", 1, 1, 1, 4.0, 5.0), ("m", 1, 1, 2, 90.0, 91.0), ("m", 1, 2, 1, 3.0, 3.5), ("n", 1, 1, 1, 3.0, 2.0), ("n", 1, 1, 1, 3.0, 4.0)]
+    table = pa.table(dict(zip([*_CHAIN, "a", "b"], zip(*rows))))
+    want = [("m", 1, 1, 1, 3.0, 3.5, 0.5), ("m", 1, 1, 1, 4.0, 5.0, 1.0), ("m", 1, 1, 2, 90.0, 91.0, 1.0), ("m", 1, 2, 1, 3.0, 3.5, 0.5), ("n", 1, 1, 1, 3.0, 2.0, 1.0)]
+    for size in (1, 3, 100):
+        got = [tuple(r.values()) for b in nearest_pairs(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert got == want
+    assert [*nearest_pairs(iter([]))] == []
