@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from mistrail.functions.filtering import MODELS, MOVES, BeliefModel, Filters, Ground, Histogram, Sight, detection, normalised
 from mistrail.functions.ground import Raster, walk_distances, walks_within
 from mistrail.functions.mixing import divergence, fit, raster
-from mistrail.operators.belief import SCORES, beliefs, densest, entropy_bits, scored
+from mistrail.operators.belief import SCORES, WHOLE, beliefs, densest, entropy_bits, scored
+from mistrail.plans.belief_queries import h14_belief_checks
 
 
 def world16(seed=3):
@@ -200,3 +201,34 @@ def test_readings_in_the_task_equal_those_of_the_arrays(spark):
     got = {(r.model, r.slot, r.tick): r for r in read.collect()}
     assert got.keys() == arrays.keys() and sum(r.p_true is not None for r in got.values()) == 16
     assert all((r.p_true, r.pit, r.area) == (arrays[k].p_true, arrays[k].pit, arrays[k].area) for k, r in got.items())
+
+
+def test_beliefs_are_checked_where_they_arise(spark, small):
+    """h14_belief_checks: all bins and probabilities went to Spark, only to be summed up there."""
+    size, p = np.array([2, 2, 2, 0, 2, 1]), np.array([0.5, 0.5, 0.5, 0.4, 1.5, -0.5, np.nan, 1.0, 1.0])
+    whole = lambda n, p: WHOLE.of(np.ones(len(n), bool), n, np.arange(9, dtype=np.int32), p, {})[0].tolist()
+    assert whole(size, p) == [True, False, False, False, False, True] and not any(whole(size, p[:-1])) and not any(whole(size[:-1], p))
+    plan = h14_belief_checks(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "whole#" in plan and "bins#" not in plan
+
+
+def test_sources_that_stay_equal_those_of_each_tick(spark):
+    """Wards went to the filter once for each tick of their lives."""
+    rows = [("m", slot, team, None, tick, True, tick == 0, 3000.0, 3000.0) for tick in range(9) for slot, team in ((0, 1), (5, 0))]
+    obs = spark.createDataFrame(rows, "match_id string, slot int, team int, role string, tick int, alive boolean, seen boolean, x double, z double")
+    spans = [("m", -3, 4, 1, 3500.0, 3000.0, 900.0), ("m", 2, 99, 1, 2500.0, 2500.0, 700.0), ("m", 5, None, 0, 3000.0, 3000.0, 400.0), ("m", 7, 6, 0, 3000.0, 3000.0, 9000.0), ("m", 1, 8, None, 1.0, 1.0, 9e4), ("m", 1, 8, 7, 1.0, 1.0, 9e4)]
+    lit = spark.createDataFrame(spans, "match_id string, tick int, last int, team int, x double, z double, r double")
+    single = lit.withColumn("tick", F.explode(F.expr("CASE WHEN last IS NULL THEN array(tick) WHEN last >= tick THEN sequence(tick, last) END"))).drop("last")
+    raster = Raster(np.ones((64, 64), bool), np.zeros((64, 64), bool), np.full((64, 64), -1))
+    of = lambda sources: sorted((r.slot, r.tick, r.p, r.bins) for r in beliefs(obs, sources, MODELS[-1:], raster, 230.625).collect())
+    assert of(lit) == of(single) and of(lit) != of(lit.filter("team = 7"))
+
+
+def test_strides_equal_the_formula():
+    ground, rng, n = world16(), np.random.default_rng(9), 4000
+    model, goals = BeliefModel(), rng.choice(ground.open, 5)
+    cell, heading, goal, draw = rng.choice(ground.open, n), rng.integers(0, 9, n), rng.choice(goals, n), rng.random(n)
+    for some in (goals[:2], goals):
+        strides = ground.prepare(some, model)
+    assert [a.tolist() for a in ground.step(cell, heading, goal, model, draw, strides)] == [a.tolist() for a in ground.step(cell, heading, goal, model, draw)]
+    assert (strides.close.take(strides.first.take(goal) + cell) == ground.close(model.arrive).take(ground.way(cell, goal))).all()
