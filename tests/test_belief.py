@@ -3,10 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from mistrail.functions.filtering import MODELS, MOVES, BeliefModel, Filters, Ground, Histogram, Sight, detection, normalised
-from mistrail.functions.ground import Raster, walk_distances, walks_within
+from mistrail.functions.ground import Raster, walk_distances, walks_from, walks_within
 from mistrail.functions.mixing import divergence, fit, raster
-from mistrail.operators.belief import SCORES, WHOLE, beliefs, densest, entropy_bits, scored
-from mistrail.plans.belief_queries import h14_belief_checks
+from mistrail.functions.scoring import Scorer
+from mistrail.operators.belief import LEVELS, SCORES, WHOLE, belief_sums, beliefs, densest, entropy_bits, scored
+from mistrail.plans.belief_queries import h14_belief_checks, h16_ablation
 
 
 def world16(seed=3):
@@ -232,3 +233,45 @@ def test_strides_equal_the_formula():
         strides = ground.prepare(some, model)
     assert [a.tolist() for a in ground.step(cell, heading, goal, model, draw, strides)] == [a.tolist() for a in ground.step(cell, heading, goal, model, draw)]
     assert (strides.close.take(strides.first.take(goal) + cell) == ground.close(model.arrive).take(ground.way(cell, goal))).all()
+
+
+def test_sums_of_a_match_equal_those_of_its_beliefs(spark, small):
+    """h16_ablation: each match was sent once for each of the seven models, and a row for every belief came back."""
+    rows = [(m, slot, slot // 2, None, tick, not (slot == 1 and 3 <= tick < 6), (tick + slot) % 7 == 0, 3000.0 + 90 * tick, 3000.0) for m in ("m", "n") for tick in range(-1, 40) for slot in (0, 1, 2) if tick != 9]
+    obs = spark.createDataFrame(rows, "match_id string, slot int, team int, role string, tick int, alive boolean, seen boolean, x double, z double")
+    sources = spark.createDataFrame([("m", t, t + 5, k % 2, 2500.0 + 300 * k, 3300.0, 1100.0) for t in range(0, 40, 5) for k in range(4)], "match_id string, tick int, last int, team int, x double, z double, r double")
+    blocked = np.zeros((64, 64), bool)
+    blocked[20:44, 30] = blocked[5:9, 5:60] = True
+    raster = Raster(~blocked, blocked, np.full((64, 64), -1))
+    truth = spark.createDataFrame([("m", slot, tick, 7 * 32 + 6 + slot + tick // 9) for tick in range(38) for slot in (0, 1, 2) if tick % 5], "match_id string, slot int, tick int, true_bin int")
+    want = beliefs(obs, sources, MODELS, raster, 230.625, bins=False, known=truth, read=SCORES).toPandas()
+    got = {(r.model, r.match_id): r for r in belief_sums(obs.join(truth, ["match_id", "slot", "tick"], "left"), sources, MODELS, raster, 230.625, 0.2).collect()}
+    assert len(got) == 14 and sum(r.n for r in got.values()) == 7 * want[want.model == "full"].p_true.count()
+    for key, of in want.groupby(["model", "match_id"]):
+        r, rated = got[key], of[of.p_true.notna()]
+        assert (r.n_rows, r.n_dark, r.n_alive, r.n_dark_alive, r.n) == (len(of), (~of.seen).sum(), of.alive.sum(), (of.alive & ~of.seen).sum(), len(rated))
+        nll = -np.log(np.maximum(rated.p_true, 0.5 / 1024) / 0.2)
+        assert np.allclose((r.nll, r.entropy, r.area), (nll.sum(), rated.entropy.sum(), rated.area.sum()), rtol=1e-12)
+        assert all((rated.pit <= q - 1e-9).sum() <= n <= (rated.pit <= q + 1e-9).sum() for q, n in zip(LEVELS, r.n_covered))
+    plan = h16_ablation(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_covered" in plan and "[uniform,disc" not in plan and "p_true" not in plan
+
+
+def test_counted_particles_are_scored_like_weighed_ones():
+    rng = np.random.default_rng(3)
+    open_cells = rng.random((64, 64)) < 0.8
+    open_cells[32:] = False
+    ground = Ground(Raster(open_cells, ~open_cells, np.full((64, 64), -1)), 230.0)
+    cell = np.concatenate([rng.integers(0, 4096, (30, 1024)), np.clip(rng.normal(700, 90, (30, 1024)), 0, 4095).astype(int), np.repeat(rng.integers(0, 4096, (9, 1)), 1024, 1)])
+    true, scorer = rng.integers(0, 1024, len(cell)), Scorer(ground, BeliefModel(), 0.9)
+    even, weighed = scorer(cell, true), scorer(cell, true, np.full(cell.shape, 1 / 1024))
+    assert (even[0] == weighed[0]).all() and (even[3] == weighed[3]).all() and np.allclose(even[1:3], weighed[1:3], atol=1e-12)
+
+
+def test_balls_of_many_cells_equal_those_of_one():
+    ground = world16()
+    far = walks_from(ground.raster.open, ground.open)
+    assert all((row.reshape(16, 16) == walk_distances(ground.raster.open, *divmod(cell, 16))).all() for cell, row in zip(ground.open.tolist(), far))
+    alone = world16()
+    ground.prepare_balls(np.arange(256))
+    assert all(ground.within(c, r).tolist() == alone.within(c, r).tolist() for c in range(0, 256, 7) for r in (0.0, 100.0, 140.0, 141.5, 555.0, 1e5)) and len(ground.whole_balls) == 256 and not ground.balls
